@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .language_id import op10_language_id
 from .substring_dedup import op3_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
