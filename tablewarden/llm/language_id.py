@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import by_bytes, documents, session_defaults
 
@@ -217,7 +218,7 @@ def keep_identified(docs: DataFrame, max_bits_per_char: float = 9.0, **sample) -
     session_defaults(docs.sparkSession)
     samples, letters = learn(docs, **sample)
     rows = docs.select(F.struct("*").alias("row"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, bits_per_char double"
+    schema = T.StructType([*rows.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_char", T.DoubleType())])
     found = rows.mapInArrow(_score(samples, letters), schema)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_char") <= max_bits_per_char)).select("row.*")
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .language_id import op10_language_id
+from .near_dedup import op9_near_dedup
 from .substring_dedup import op3_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op9_near_dedup, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}

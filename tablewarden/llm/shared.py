@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folder for written stage tables where the session names no spark.checkpoint.dir (tests only).
@@ -107,7 +107,12 @@ def as_batches(rows: Iterator[dict], schema: pa.Schema = SCHEMA, at_once: int =
 
 def target_of(doc: np.ndarray, n: int) -> np.ndarray:
     """Partition of a document among n."""
-    return (mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
+    return ((doc ^ (doc >> 7) ^ (doc >> 17)) % n).astype(np.int32)
+
+
+def target_column(doc: Column, n: int) -> Column:
+    """The same, of a column of longs."""
+    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 7)).bitwiseXOR(F.shiftright(doc, 17)), F.lit(n)).cast("int")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
