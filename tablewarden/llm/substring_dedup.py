@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -258,6 +259,31 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, STRIPPED)], schema=STRIPPED)
 
 
+def _without(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    """Each text without the words of its spans and the white space after them; other characters stay."""
+
+    def cut(t, b, e):
+        if t is None or b is None or not len(b):
+            return t
+        words = Words(pa.array([t]))
+        raw, out, at = words.buf.tobytes(), [], 0
+        for x, y in zip(b, e):
+            out.append(raw[at : words.start[x]])
+            at = int(words.start[y]) if y < len(words.start) else len(raw)
+        return b"".join((*out, raw[at:])).decode()
+
+    return pd.Series([cut(*x) for x in zip(text, begins, ends)], dtype=object)
+
+
+def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """The rows of docs, all columns, with text and n_chars of what is left. A text of which nothing is left goes."""
+    spans = repeated_spans(docs, min_words, all_levels=False).select(F.col("doc_id").alias("_id"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends")).where("size(_begins) > 0")
+    both = docs.join(spans, docs["doc_id"] == spans["_id"], "left").withColumn("_left", F.pandas_udf(_without, "string")("text", "_begins", "_ends"))
+    both = both.where(F.col("_id").isNull() | F.col("_left").rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": F.col("_left"), "n_chars": F.length("_left").cast("long")}
+    return both.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest of dedup_substrings over all of documents."""
     out = dedup_substrings(documents(spark, sf_dir), 50)
