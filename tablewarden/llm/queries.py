@@ -9,6 +9,7 @@ from .near_dedup import op9_near_dedup
 from .packing import op6_best_fit_packing
 from .quality_rules import op5_quality_rules
 from .substring_dedup import op3_substring_dedup
+from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_substring_dedup, op4_minhash_fingerprints, op5_quality_rules, op6_best_fit_packing, op9_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_substring_dedup, op4_minhash_fingerprints, op5_quality_rules, op6_best_fit_packing, op7_toxicity, op9_near_dedup, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
