@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .fingerprints import op4_minhash_fingerprints
 from .language_id import op10_language_id
+from .licences import op8_licence_scan
 from .mixing import op1_source_mix
 from .near_dedup import op9_near_dedup
 from .packing import op6_best_fit_packing
 from .quality_rules import op5_quality_rules
 from .substring_dedup import op3_substring_dedup
 from .toxicity import op7_toxicity
+from .warc import op2_warc_derivatives
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_substring_dedup, op4_minhash_fingerprints, op5_quality_rules, op6_best_fit_packing, op7_toxicity, op9_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_warc_derivatives, op3_substring_dedup, op4_minhash_fingerprints, op5_quality_rules, op6_best_fit_packing, op7_toxicity, op8_licence_scan, op9_near_dedup, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}

@@ -59,8 +59,11 @@ def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -
 class Words:
     """start, end: byte range of each word; doc: its text; first: each text's first word, and the number of words."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, table: np.ndarray | None = None):
+        """table: what each byte stands for, if not for itself."""
         self.buf, self.at = utf8(texts)
+        if table is not None:
+            self.buf = table[self.buf]
         n = len(self.buf)
         solid = ~SPACE[self.buf]
         edge = np.zeros(n + 1, bool)
