@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablewarden.functions import cells as C
+from tablewarden.plans.tables import share_package
 
 CANDIDATE = ("row_id", "column", "value", "detector", "error_type", "score", "suggested_fix")
 
@@ -93,9 +94,10 @@ def indel_ratio(a: str, b: str) -> float:
 def typos(df: DataFrame, column: str, most_values: int = 1000, rare_most: int = 2, anchor_least: int = 3, similarity: float = 0.85) -> DataFrame:
     """Rare values of a categorical column whose most similar frequent value is close. Only distinct values are compared,
     of which a categorical column has `most_values` at most; other columns give nothing."""
+    share_package(df.sparkSession)
     values = value_counts(df, column)
     size = values.agg(F.count("*").alias("k"), F.sum("n").alias("total"))
-    listed = values.join(F.broadcast(size)).where(F.col("k") <= most_values).select("value", "n", "total")
+    listed = values.join(F.broadcast(size)).where(F.col("k") <= most_values).select(F.lit(0).alias("one"), "value", "n", "total")
 
     def compare(rows):
         import pandas as pd
@@ -109,7 +111,7 @@ def typos(df: DataFrame, column: str, most_values: int = 1000, rare_most: int =
                 found.append((v, best[2], best[0]))
         return pd.DataFrame(found, columns=["value", "anchor", "score"])
 
-    best = listed.groupBy(F.lit(0)).applyInPandas(compare, "value string, anchor string, score double")
+    best = listed.groupBy("one").applyInPandas(compare, "value string, anchor string, score double")
     rows = df.select("row_id", F.col(column).alias("value")).join(F.broadcast(best), "value")  # at most most_values rows
     return _candidates(rows, column, "categorical_typo", "T", F.col("score"), F.col("anchor"))
 

@@ -78,7 +78,7 @@ def stability(df: DataFrame, lhs: str, rhs: str, rounds: int = 30, share: float
     """Share of rounds in which a hash sample of the rows holds the dependency with that confidence."""
     rows = pairs(df, [lhs, rhs], (F.col("lhs") == lhs) & ~C.is_blank(F.col("a")) & ~C.is_blank(F.col("b")))
     mine = F.filter(F.sequence(F.lit(1), F.lit(rounds)), lambda i: F.pmod(F.xxhash64("row_id", i), F.lit(1000)) < int(1000 * share))
-    counts = rows.groupBy("a", "b", F.explode(mine).alias("round")).agg(F.count("*").alias("n"))
+    counts = rows.select("a", "b", F.explode(mine).alias("round")).groupBy("a", "b", "round").agg(F.count("*").alias("n"))
     by_round = counts.groupBy("round", "a").agg(F.max("n").alias("top"), F.sum("n").alias("n")).groupBy("round").agg((F.sum("top") / F.sum("n")).alias("confidence"))
     return by_round.agg(F.avg((F.col("confidence") >= confidence).cast("double")).alias("stability"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -44,3 +46,10 @@ def at_most(df: DataFrame, n: int, keys: list[str], *order: Column) -> DataFrame
 def errors(df: DataFrame, error_type: str, rule: str, fix: Column | None = None, confidence: float | None = None, severity: str = "high") -> DataFrame:
     """Cells as findings."""
     return df.select("row_id", "column", "value", F.lit(error_type).alias("error_type"), F.lit(rule).alias("rule"), (F.lit(None) if fix is None else fix).cast("string").alias("suggested_fix"), F.lit(confidence).cast("double").alias("confidence"), F.lit(severity).alias("severity"))
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers of a local session find this package where the driver did."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)

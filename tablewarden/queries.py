@@ -72,10 +72,10 @@ def disguised_missing(spark, sf_dir):
     return detectors.disguised_missing(view(spark, sf_dir, "customers"))
 
 
-_TOKENS = "list_filter(list_transform(string_split(value, ','), x -> regexp_replace(x, '^\\s+|\\s+$', '', 'g')), x -> x <> '')"
+_TOKENS = "list_filter(list_transform(string_split(value, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 
 
-@query(f"{view_sql('customers')}, c AS ({unpivoted('customers', CUSTOMER_COLUMNS)}), t AS (SELECT row_id, \"column\", value, {_TOKENS} AS t FROM c) SELECT {error_sql('FI', 'duplicate_value', 't[1]', '0.9')} FROM t WHERE len(t) >= 2 AND len(list_distinct(list_transform(t, x -> lower(x)))) = 1")
+@query(f"{view_sql('customers')}, c AS ({unpivoted('customers', CUSTOMER_COLUMNS)}), t AS (SELECT row_id, \"column\", value, {_TOKENS} AS t FROM c) SELECT {error_sql('FI', 'duplicate_value', 't[1]', '0.9')} FROM t WHERE len(t) >= 2 AND len(list_distinct(list_transform(t, lambda x: lower(x)))) = 1")
 def duplicate_tokens(spark, sf_dir):
     return detectors.repeated_values(view(spark, sf_dir, "customers"))
 
@@ -88,7 +88,7 @@ def inconsistent_representation(spark, sf_dir):
     return detectors.standardised(view(spark, sf_dir, "customers"), "segment", SEGMENTS, [("X$", "")])
 
 
-@query(f"{view_sql('customers')}, c AS (SELECT row_id, 'note' AS \"column\", note AS value FROM customers WHERE NOT {blank('note')}) SELECT {error_sql('FI', 'metadata_leakage', chr(39) * 2, '0.8')} FROM c WHERE regexp_matches(value, '\\b[A-Z][A-Z0-9]\\s{{2,}}-\\s') AND length(value) > 3 * (SELECT quantile_cont(length(value), 0.5) FROM c)")
+@query(f"{view_sql('customers')}, c AS (SELECT row_id, 'note' AS \"column\", note AS value FROM customers WHERE NOT {blank('note')}), m AS (SELECT quantile_cont(length(note), 0.5) AS median FROM customers WHERE note IS NOT NULL) SELECT {error_sql('FI', 'metadata_leakage', chr(39) * 2, '0.8')} FROM c, m WHERE regexp_matches(value, '\\b[A-Z][A-Z0-9]\\s{{2,}}-\\s') AND length(value) > 3 * median")
 def leaked_metadata(spark, sf_dir):
     return detectors.leaked(view(spark, sf_dir, "customers"), ["note"])
 
@@ -266,7 +266,7 @@ e AS (SELECT 0 AS place, row_id, "column", value, 'MV' AS error_type, 'missing_v
 UNION ALL SELECT 1, row_id, "column", value, 'DMV', 'placeholder', '', 0.8 FROM c WHERE lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) IN {C.PLACEHOLDERS} AND NOT {blank('value')}
 UNION ALL SELECT 2, row_id, 'segment', value, 'FI', 'inconsistent_representation', fix, 0.85 FROM st WHERE fix <> value
 UNION ALL SELECT 3, row_id, "column", value, 'FI', 'metadata_leakage', '', 0.8 FROM c WHERE "column" = 'note' AND regexp_matches(value, '\\b[A-Z][A-Z0-9]\\s{{2,}}-\\s') AND length(value) > 3 * (SELECT quantile_cont(length(note), 0.5) FROM customers)
-UNION ALL SELECT 4, row_id, "column", value, 'FI', 'duplicate_value', t[1], 0.9 FROM tk WHERE len(t) >= 2 AND len(list_distinct(list_transform(t, x -> lower(x)))) = 1
+UNION ALL SELECT 4, row_id, "column", value, 'FI', 'duplicate_value', t[1], 0.9 FROM tk WHERE len(t) >= 2 AND len(list_distinct(list_transform(t, lambda x: lower(x)))) = 1
 UNION ALL SELECT 5, p.row_id, p.rhs, p.b, 'VAD', concat('fd:', p.lhs, '->', p.rhs), m.top, round(m.top_n / m.size, 3) FROM p JOIN m USING (lhs, rhs, a) JOIN ok USING (lhs, rhs) WHERE m.size >= 5 AND m.top_n / m.size >= 0.9 AND p.b <> m.top),
 f AS (SELECT row_id, "column", value, error_type, rule, suggested_fix, confidence, 'high' AS severity FROM e QUALIFY row_number() OVER (PARTITION BY row_id, "column" ORDER BY place, rule, coalesce(suggested_fix, '')) = 1) """
 
