@@ -129,7 +129,8 @@ def judged(cells: DataFrame, judgments: DataFrame | None = None, conflicts: Data
 def propagated_fixes(judged_cells: DataFrame) -> DataFrame:
     """Errors without a fix take the surest fix of the same value in the same column."""
     fixes = judged_cells.where("is_error and suggested_fix is not null and suggested_fix <> ''").groupBy("column", "value").agg(F.max(F.struct("confidence", "suggested_fix")).alias("best"))
-    out = judged_cells.join(fixes.withColumnRenamed("value", "_v"), (judged_cells.column == fixes.column) & judged_cells.value.eqNullSafe(F.col("_v")), "left").drop(fixes.column)
+    fixes = fixes.select(F.col("column").alias("_c"), F.col("value").alias("_v"), "best")
+    out = judged_cells.join(fixes, (F.col("column") == F.col("_c")) & F.col("value").eqNullSafe(F.col("_v")), "left")
     return out.withColumn("suggested_fix", F.when(F.col("is_error"), F.coalesce(F.nullif("suggested_fix", F.lit("")), "best.suggested_fix")).otherwise(F.col("suggested_fix"))).select(*judged_cells.columns)
 
 
