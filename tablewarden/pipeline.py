@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.operators import anomalies, dependencies, detectors, fusion, models, profile, rules
+from tablewarden.plans.tables import written
 from tablewarden.sources import tables
 
 
@@ -43,7 +44,7 @@ def run(df: DataFrame, options: Options = Options(), judgments: DataFrame | None
     grouped = [c for c in columns if kinds.get(c) in ("categorical", "id", "numeric")]
     if len(grouped) > 1:
         chain.append(dependencies.dependency_violations(df, grouped))
-    findings = detectors.first_of_each_cell(chain)
+    findings = written(detectors.first_of_each_cell(chain), "findings")
     dirty = detectors.dirty_cells(findings)
     found = []
     if options.statistical:
@@ -57,7 +58,8 @@ def run(df: DataFrame, options: Options = Options(), judgments: DataFrame | None
     evidence = fusion.as_evidence(findings)
     for f in found:
         evidence = evidence.unionByName(f.select(*evidence.columns))
-    fused = fusion.of_tier(fusion.fused(fusion.normalised(evidence)), options.min_tier)
+    evidence = written(evidence, "evidence")
+    fused = written(fusion.of_tier(fusion.fused(fusion.normalised(evidence)), options.min_tier), "fused")
     final = fusion.propagated_fixes(fusion.judged(fused, judgments)).where("is_error")
     return Result(findings, dirty, evidence, fused, final)
 

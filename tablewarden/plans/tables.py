@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,3 +54,11 @@ def share_package(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table that many plans read, as Parquet in the folder that all executors share (spark.checkpoint.dir)."""
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tablewarden"  # unset in tests only
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
