@@ -10,7 +10,7 @@ per bin, and only the bin where the budget ends is ordered.
 
 Defined results: null texts have no tokens; a null language or source is a leaf named by an empty string; leaves that
 the weights don't name take the weight of `*` at their level (1 if there is none); a weight of 0 selects nothing;
-documents without tokens are selected with the epoch's prefix around them; repeated rows and rows that share an id
+a leaf without tokens is taken once; repeated rows and rows that share an id
 count each, by a key of all their columns that the mix reads; a table without rows gives none; extra columns stay.
 """
 
@@ -44,6 +44,10 @@ class Mix:
                 return self.weights[known]
         return 1.0
 
+    def wants(self, path: Path) -> bool:
+        """Whether no weight on the way to the leaf is 0."""
+        return all(self.weight(path[: i + 1]) > 0 for i in range(len(path)))
+
 
 def water_fill(budget: float, weights: list[float], room: list[float]) -> list[float]:
     """Shares of budget by weight, none above its room; what is too much for one goes to the others."""
@@ -66,9 +70,7 @@ def budgets(tokens: dict[Path, int], mix: Mix, total: float) -> dict[Path, float
     """The token budget of each leaf."""
 
     def usable(path: Path) -> float:
-        if any(mix.weight(path[: i + 1]) <= 0 for i in range(len(path))):
-            return 0.0
-        return tokens[path] * mix.max_epochs
+        return tokens[path] * mix.max_epochs if mix.wants(path) else 0.0
 
     def share(prefix: Path, budget: float) -> dict[Path, float]:
         below = [p for p in tokens if p[: len(prefix)] == prefix]
@@ -107,7 +109,7 @@ def select_mix(docs: DataFrame, mix: Mix, levels: list[Column] | None = None, to
     sizes = written(sized.select("leaf", "n_tokens", "key"), "sizes")
     count = {tuple(r["leaf"]): r["n"] for r in sizes.groupBy("leaf").agg(F.sum("n_tokens").alias("n")).collect()}
     plan = budgets(count, mix, mix.share * sum(count.values()))
-    full = {p: min(mix.max_epochs, int(b // count[p])) if count[p] else int(b > 0 or mix.weight(p) > 0) for p, b in plan.items()}
+    full = {p: min(mix.max_epochs, int(b // count[p])) if count[p] else int(mix.wants(p)) for p, b in plan.items()}
     schema = T.StructType([T.StructField("leaf", T.ArrayType(T.StringType())), T.StructField("budget", T.DoubleType()), T.StructField("full", T.IntegerType()), T.StructField("rest", T.LongType())])
     leaves = spark.createDataFrame([(list(p), float(b), full[p], int(b - full[p] * count[p]) if full[p] < mix.max_epochs else 0) for p, b in plan.items()], schema)
 

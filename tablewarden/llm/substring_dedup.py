@@ -278,10 +278,13 @@ def _without(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """The rows of docs, all columns, with text and n_chars of what is left. A text of which nothing is left goes."""
     spans = repeated_spans(docs, min_words, all_levels=False).select(F.col("doc_id").alias("_id"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends")).where("size(_begins) > 0")
-    both = docs.join(spans, docs["doc_id"] == spans["_id"], "left").withColumn("_left", F.pandas_udf(_without, "string")("text", "_begins", "_ends"))
+    rows = docs.select(F.struct("*").alias("_row"))  # so that no column of docs clashes
+    text = F.col("_row").getField("text")
+    both = rows.join(spans, F.col("_row").getField("doc_id") == F.col("_id"), "left").withColumn("_left", F.pandas_udf(_without, "string")(text, "_begins", "_ends"))
     both = both.where(F.col("_id").isNull() | F.col("_left").rlike("[^\\x20\\x09-\\x0D]"))
-    new = {"text": F.col("_left"), "n_chars": F.length("_left").cast("long")}
-    return both.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+    cut = F.col("_id").isNotNull()
+    new = {"text": F.when(cut, F.col("_left")).otherwise(text), "n_chars": F.when(cut, F.length("_left").cast("long")).otherwise(F.col("_row").getField("n_chars"))} if "n_chars" in docs.columns else {"text": F.when(cut, F.col("_left")).otherwise(text)}
+    return both.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
