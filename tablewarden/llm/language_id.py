@@ -138,7 +138,7 @@ class Parser:
         return total, sizes, letter
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _parser(samples: tuple[tuple[str, str], ...], letters: str) -> Parser:
     return Parser(samples, letters)
 
@@ -148,7 +148,7 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_docs: int = 200, excerpt: int = 400, sample_chars: int = 40_000) -> tuple[tuple[tuple[str, str], ...], str]:
+def learn(docs: DataFrame, sample_docs: int = 200, excerpt: int = 400, sample_chars: int = 24_000) -> tuple[tuple[tuple[str, str], ...], str]:
     """The labelled sample of each language and the letters told apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("doc_id is not null and lang is not null and text is not null").where(~is_held_out())
@@ -184,7 +184,7 @@ def _score(samples: tuple[tuple[str, str], ...], letters: str):
             yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(with_text(batches), 8 << 20):
+        for batch in by_bytes(with_text(batches)):
             n = batch.num_rows
             pred, score, rate = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
             if samples:

@@ -30,7 +30,7 @@ from .shared import by_bytes, documents, parts, session_defaults, written
 END = 0
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def encoder(path: str):
     """Token ids of a text, as the tokenizer file at `path` gives them.
 
@@ -40,7 +40,7 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
+    whole = functools.cache(lambda: Tokenizer.from_file(path))  # few texts need it
     spec = json.load(open(path, encoding="utf-8"))
     special = {t["content"] for t in spec.get("added_tokens", ())}
     symbols = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,7 +51,7 @@ def encoder(path: str):
 
     def ids(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
         return fast.encode_to_numpy(text, disallowed_special=())
 
     return ids

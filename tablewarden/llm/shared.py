@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -49,6 +51,13 @@ def dealt(df: DataFrame, n: int) -> DataFrame:
     return df.repartitionById(n, F.col("part"))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only GNU's allocator has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of about `limit` text bytes; one longer text is a slice of its own."""
     for batch in batches:
@@ -61,6 +70,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: st
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    release()
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +113,8 @@ def as_batches(rows: Iterator[dict], schema: pa.Schema = SCHEMA, at_once: int =
             held = []
     if held:
         yield pa.RecordBatch.from_pylist(held, schema)
+    held = []
+    release()
 
 
 def target_of(doc: np.ndarray, n: int) -> np.ndarray:

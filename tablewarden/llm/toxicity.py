@@ -239,7 +239,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _score(model: dict | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 8 << 20):
+        for batch in by_bytes(batches):
             n = batch.num_rows
             worst = np.full(n, -np.inf)
             units: list[str] = [""] * n
@@ -290,9 +290,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, sample_ch
         return None
     key = F.xxhash64("doc_id", F.lit(7))
     share = F.when(F.col("toxic"), min(1.0, 1.2 * sample_docs / many[True])).otherwise(min(1.0, 1.2 * sample_docs / many[False]))
-    picked = mark.where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20))
+    picked = mark.where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20)).limit(4 * sample_docs)  # expected: 2.4 times sample_docs
     text = F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, sample_chars)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(picked, "doc_id").select(key.alias("key"), "toxic", "text").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(picked), "doc_id").select(key.alias("key"), "toxic", "text").collect()
     rows = sorted(rows, key=lambda r: (r["toxic"], r["key"], r["text"]))
     rows = [r for t in (False, True) for r in [r for r in rows if r["toxic"] == t][:sample_docs]]
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], **how)

@@ -49,9 +49,13 @@ def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -
     if some.any():
         s, n = start[some], size[some]
         at = np.concatenate(([0], np.cumsum(n)[:-1]))
-        pos = np.arange(int(n.sum())) - np.repeat(at, n)
-        terms = buf[pos + np.repeat(s, n)].astype(np.uint64) + np.uint64(1)
-        terms *= powers(int(n.max()))[pos]
+        kind = np.int32 if len(buf) < 1 << 31 else np.int64  # half the memory where it holds
+        pos = np.arange(int(n.sum()), dtype=kind)
+        byte = buf[pos + np.repeat((s - at).astype(kind), n)]
+        pos -= np.repeat(at.astype(kind), n)
+        terms = powers(int(n.max()))[pos]
+        del pos
+        terms *= byte.astype(np.uint64) + np.uint64(1)
         out[some] = np.add.reduceat(terms, at)
     return mix(out + np.uint64(seed) + mix(size.astype(np.uint64)))
 
