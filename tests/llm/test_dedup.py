@@ -135,3 +135,16 @@ def test_sample_agrees_as_often_as_weights_overlap():
         b = near_dedup.sample(h, w2, np.array([0]), np.array([2]), np.array([0.0]), seed)
         same += int(a[0] == b[0])
     assert abs(same / 600 - np.minimum(w1, w2).sum() / np.maximum(w1, w2).sum()) < 0.07
+
+
+def test_substrings_match_sql(spark):
+    import duckdb
+
+    from tablewarden.llm.queries import ORACLE_SQL, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet*')")
+    want = con.sql(ORACLE_SQL["op3_substring_dedup"])
+    got = QUERIES["op3_substring_dedup"](spark, folder).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
