@@ -37,6 +37,7 @@ class Mix:
     max_epochs: int = 1
     seed: int = 1
     bins: int = 4096
+    most_broadcast: int = 100_000  # leaves; tables of more leaves are joined by a shuffle
 
     def weight(self, path: Path) -> float:
         for known in (path, (*path[:-1], "*"), *((*("*",) * i, *path[i:]) for i in range(1, len(path))), ("*",) * len(path)):
@@ -113,19 +114,21 @@ def select_mix(docs: DataFrame, mix: Mix, levels: list[Column] | None = None, to
     schema = T.StructType([T.StructField("leaf", T.ArrayType(T.StringType())), T.StructField("budget", T.DoubleType()), T.StructField("full", T.IntegerType()), T.StructField("rest", T.LongType())])
     leaves = spark.createDataFrame([(list(p), float(b), full[p], int(b - full[p] * count[p]) if full[p] < mix.max_epochs else 0) for p, b in plan.items()], schema)
 
+    small = F.broadcast if len(plan) <= mix.most_broadcast else (lambda df: df)
+
     def keyed(df: DataFrame) -> DataFrame:
         """Order of a row in the last epoch of its leaf, and its bin."""
         order = F.xxhash64("key", F.col("full") + 1, F.lit(mix.seed))
-        return df.join(leaves, "leaf").withColumn("order", order).withColumn("bin", F.shiftrightunsigned("order", 64 - (mix.bins - 1).bit_length()))
+        return df.join(small(leaves), "leaf").withColumn("order", order).withColumn("bin", F.shiftrightunsigned("order", 64 - (mix.bins - 1).bit_length()))
 
     partial = keyed(sizes).where("rest > 0")
     bins = partial.groupBy("leaf", "bin").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     bins = bins.withColumn("before", F.sum("n").over(W.partitionBy("leaf").orderBy("bin")) - F.col("n"))
     cut = written(bins.where("before <= rest and before + n > rest").select("leaf", F.col("bin").alias("cut_bin"), "before"), "cuts")
-    inside = partial.join(cut, "leaf").where("bin = cut_bin").withColumn("upto", F.sum("n_tokens").over(W.partitionBy("leaf").orderBy("order", "key").rangeBetween(W.unboundedPreceding, 0)) + F.col("before"))
+    inside = partial.join(small(cut), "leaf").where("bin = cut_bin").withColumn("upto", F.sum("n_tokens").over(W.partitionBy("leaf").orderBy("order", "key").rangeBetween(W.unboundedPreceding, 0)) + F.col("before"))
     last = written(inside.groupBy("leaf").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("order", "key"))).alias("last")), "prefixes")
     limits = leaves.join(cut.select("leaf", "cut_bin"), "leaf", "left").join(last, "leaf", "left").select("leaf", "cut_bin", "last")
-    rows = keyed(sized).join(limits, "leaf", "left")
+    rows = keyed(sized).join(small(limits), "leaf", "left")
     in_prefix = (F.col("rest") > 0) & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & F.coalesce(F.struct("order", "key") <= F.col("last"), F.lit(False))))
     times = F.col("full") + in_prefix.cast("int")
     rows = rows.withColumn("times", times).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times"))))
