@@ -114,6 +114,49 @@ def test_a_chain_of_copies_is_one_class(spark):
     assert got == brute_classes(rows, 5, 0.8)
 
 
+def plain_classes(rows, k=5, threshold=0.8):
+    bags = {}
+    for i, t, *_ in rows:
+        w = words(t)
+        bags[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    parent = {i: i for i in bags}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b in sorted(bags):
+        for a in sorted(bags):
+            if a < b and bags[a] and len(bags[a] & bags[b]) >= threshold * len(bags[a] | bags[b]):
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: root(i) for i in bags}
+
+
+def test_plain_near_copies_of_a_hot_group(spark, tmp_path):
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(240):
+        w = [f"t{rng.randrange(300)}" for _ in range(rng.randint(30, 120))]
+        if i % 3 == 0:  # a third of all rows: copies of one text, each with two words of its own
+            w = list(base)
+            for j in (rng.randrange(10, 90), rng.randrange(100, 190)):
+                w[j] = f"e{i}x{j}"
+        elif i % 30 == 1:  # a phrase many times: as a set like the next row, which has it twice
+            w = w + "one two three four five six".split() * 20
+        elif i % 30 == 2:
+            w = [x for x in rows[-1][1].split() if x[0] == "t"] + "one two three four five six".split() * 2
+        rows.append((i, " ".join(w), "en", "s", 0))
+    want = plain_classes(rows)
+    assert {want[i] for i in range(0, 240, 3)} == {0}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.op9_near_dedup(spark, str(tmp_path)).collect()} == want
+    assert sorted(r["doc_id"] for r in near_dedup.keep_first(docs).collect()) == sorted(i for i, c in want.items() if i == c)
+
+
 def test_near_dedup_stage(spark):
     docs = spark.createDataFrame(random_docs(40, 6) + awkward(500), SCHEMA).withColumnRenamed("lang", "class_id")
     out = near_dedup.keep_first(docs)
