@@ -7,6 +7,11 @@ at a time: a paragraph that is no ordinary text, but whose best family stays bel
 `unknown`. A family's prediction stands only if enough of the paragraph's 2-grams are in that family's templates;
 otherwise the paragraph is `unknown` too, if it is no ordinary text.
 
+Notices within longer lines, wherever they begin, are judged apart: a span of a line, at least SHORTEST 2-grams of a
+family's templates with a share of `confirm` or more, one of them of no other family, is a notice if it has a cue word and
+the classifier, reading its words alone, names the family too; of overlapping spans the one with the most such 2-grams
+counts. Unknown notices are also sought in overlapping windows of 16 and 64 words.
+
 Training reads a bounded sample of the corpus: `sample_docs` documents by the hash of their id, `sample_paragraphs`
 paragraphs of them. Scanning takes whole texts.
 
@@ -29,6 +34,9 @@ from .words import Words, powers
 
 NONE, UNKNOWN = "none", "unknown"
 LONGEST = 64
+SHORTEST = 3
+#: Words of the overlapping windows within a line, each half a window from the last.
+WINDOWS = (16, LONGEST)
 BUCKETS = 1 << 17
 #: Notices of the licence families; each line is a paragraph of a template. Fixed values.
 TEMPLATES = {
@@ -96,6 +104,8 @@ class Paragraphs:
         start, count = runs(line)
         nth = np.arange(n) - np.repeat(start, count)
         part = line * np.int64(1 << 20) + nth // LONGEST
+        self.line = line
+        self.lines = start, count
         self.begin, self.count = runs(part)
         self.doc = words.doc[self.begin]
         self.words = words
@@ -119,6 +129,91 @@ class Paragraphs:
             out[:, c] = np.bincount(self.of, table[column, c], n)
         return out / np.sqrt(np.maximum(size, 1))[:, None] + bias
 
+    def line_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First words and hashes of the 2-grams of whole lines."""
+        at = np.flatnonzero(self.line[:-1] == self.line[1:])
+        h = self.words.hash
+        return at, mix(sum((h[at + j] * p for j, p in enumerate(powers(2))), np.uint64(2)))
+
+    def span_scores(self, begin: np.ndarray, end: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """The scores of words begin to end (without it), each range within a line."""
+        h = self.words.hash
+        out, size = np.zeros((len(begin), table.shape[1])), np.zeros(len(begin))
+        for k in (1, 2, 3):
+            if len(h) < k:
+                continue
+            gram = h if k == 1 else mix(sum((h[j : len(h) - k + 1 + j] * p for j, p in enumerate(powers(k))), np.uint64(k)))
+            column = (gram >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64)
+            last = np.maximum(end - k + 1, begin)
+            size += last - begin
+            for c in range(table.shape[1]):
+                total = np.concatenate(([0.0], np.cumsum(table[column, c], dtype=np.float64)))
+                out[:, c] += total[np.minimum(last, len(gram))] - total[np.minimum(begin, len(gram))]
+        return out / np.sqrt(np.maximum(size, 1))[:, None] + bias
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the overlapping windows of all lines that are longer than one."""
+        begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size in WINDOWS:
+            start, count = (x[self.lines[1] > size] for x in self.lines)
+            n = -(-(count - size) // (size // 2)) + 1
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            begins.append(np.repeat(start, n) + np.minimum(nth * (size // 2), np.repeat(count - size, n)))
+            ends.append(begins[-1] + size)
+        return np.concatenate(begins), np.concatenate(ends)
+
+
+def _spans(hit: np.ndarray, line: np.ndarray, confirm: float) -> Iterator[tuple[int, int, int]]:
+    """First and last 2-gram, and number of hits, of the spans of a line with a share of hits of confirm or more.
+
+    hit: places of hits in order; line: their lines. Such a span has three hits within five 2-grams.
+    """
+    near = np.flatnonzero((line[2:] == line[:-2]) & (hit[2:] - hit[:-2] <= 2 / confirm + 1))
+    for which in np.unique(line[near]).tolist():
+        places = hit[np.searchsorted(line, which) : np.searchsorted(line, which, "right")].tolist()
+        i = 0
+        while i < len(places):
+            score, best, end, j = 0.0, 0.0, i, i
+            while j < len(places):
+                score += 1 - confirm - (confirm * (places[j] - places[j - 1] - 1) if j > i else 0)
+                if score <= 0:
+                    break
+                if score >= best:
+                    best, end = score, j
+                j += 1
+            if end - i + 1 >= SHORTEST:
+                yield places[i], places[end], end - i + 1
+            i = end + 1
+
+
+def _within_lines(grams: Paragraphs, model: dict, confirm: float, raw: bytes) -> list[tuple[int, int, int, float]]:
+    """Notices of families in any place of a line: first word, end, column of the family, score."""
+    names, known = model["names"], model["known"]
+    at, pair = grams.line_pairs()
+    some = np.isin(pair, np.concatenate(list(known.values())))
+    at, pair = at[some], pair[some]
+    found = []
+    for c, family in enumerate(names[1:], 1):
+        mine = np.isin(pair, known[family])
+        others = np.concatenate([v for f, v in known.items() if f != family])
+        own = at[mine & ~np.isin(pair, others)]
+        for first, last, n in _spans(at[mine], grams.line[at[mine]], confirm):
+            if np.searchsorted(own, first) < np.searchsorted(own, last, "right"):
+                found.append((n, first, last + 2, c))
+    if not found:
+        return []
+    found.sort(key=lambda x: (-x[0], x[1:]))
+    chance = _chance(grams.span_scores(np.array([x[1] for x in found]), np.array([x[2] for x in found]), model["table"], model["bias"]))
+    out, taken = [], np.zeros(len(grams.line), bool)
+    for (_, b, e, c), z in zip(found, chance):
+        if taken[b:e].any() or z[0] >= 0.5 or z[c] < model["least"] or int(z[1:].argmax()) + 1 != c:
+            continue
+        text = raw[grams.words.start[b] : grams.words.end[e - 1]].decode(errors="replace").lower()
+        if any(w in text for w in CUES):
+            taken[b:e] = True
+            out.append((b, e, c, float(z[c])))
+    return sorted(out)
+
 
 def _pieces(rng: np.random.Generator, each: int) -> list[tuple[str, str]]:
     """Template paragraphs, whole and cut, with the family."""
@@ -222,9 +317,13 @@ def _scan(model: dict, confirm: float):
                 chance = _chance(grams.scores(model["table"], model["bias"]))
                 odd = np.flatnonzero((chance[:, 0] < 0.5) & (chance[:, 1:].max(axis=1) > 0.1) & (grams.count > 1))
                 pair, of = grams.pairs
-                raw = None
+                raw = utf8_bytes(batch.column("text"))
+                inside = _within_lines(grams, model, confirm, raw)
+                seen = np.zeros(len(grams.line), bool)  # words of notices
+                for b, e, _, _ in inside:
+                    seen[b:e] = True
+                of_family = np.zeros(len(grams.line), np.int8)
                 for p in odd.tolist():
-                    raw = raw or utf8_bytes(batch.column("text"))
                     row, best = out[grams.doc[p]], int(chance[p, 1:].argmax()) + 1
                     mine = pair[np.searchsorted(of, p) : np.searchsorted(of, p, "right")]
                     same = float(np.isin(mine, known[names[best]]).mean()) if len(mine) else 0.0
@@ -235,9 +334,29 @@ def _scan(model: dict, confirm: float):
                         row["n_notices"] += 1
                         row["score"] = max(row["score"], float(chance[p, best]))
                         row["notices"].append(notice)
-                    elif chance[p, 0] < 0.1 and any(w in notice.lower() for w in CUES):
+                        of_family[first : first + grams.count[p]] = best
+                        seen[first : first + grams.count[p]] = True
+                    elif chance[p, 0] < 0.1 and not seen[first : first + grams.count[p]].any() and any(w in notice.lower() for w in CUES):
+                        row["n_unknown"] += 1
+                        row["notices"].append(notice)
+                        seen[first : first + grams.count[p]] = True
+                for b, e, c, score in inside:
+                    if not (of_family[b:e] == c).any():
+                        row = out[grams.words.doc[b]]
+                        row["families"].add(names[c])
+                        row["n_notices"] += 1
+                        row["score"] = max(row["score"], score)
+                        row["notices"].append(raw[grams.words.start[b] : grams.words.end[e - 1]].decode(errors="replace"))
+                begin, end = grams.windows()
+                chance = _chance(grams.span_scores(begin, end, model["table"], model["bias"]))
+                for i in np.flatnonzero((chance[:, 0] < 0.1) & (chance[:, 1:].max(axis=1) > 0.1)).tolist():
+                    b, e = begin[i], end[i]
+                    notice = raw[grams.words.start[b] : grams.words.end[e - 1]].decode(errors="replace")
+                    if not seen[b:e].any() and any(w in notice.lower() for w in CUES):
+                        row = out[grams.words.doc[b]]
                         row["n_unknown"] += 1
                         row["notices"].append(notice)
+                        seen[b:e] = True
                 for row in out:
                     row["families"] = sorted(row["families"])
                     row["licence"] = row["families"][0] if len(row["families"]) == 1 else "several" if row["families"] else UNKNOWN if row["n_unknown"] else NONE

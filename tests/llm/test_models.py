@@ -84,6 +84,36 @@ def test_licence_families(spark):
     assert licences.scan_licences(strange, licences.learn(docs)).first()["licence"] in ("unknown", "none")
 
 
+def test_licence_notices_within_long_lines(spark):
+    rng = random.Random(6)
+    plain = lambda n: " ".join(rng.choice(CALM) for _ in range(n))
+    notices = {"apache": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0."}
+    rows, truth = [], {}
+    for i, (family, notice) in enumerate(notices.items()):
+        for j, before in enumerate((1, 7, 20, 59, 60, 62, 63, 64, 100, 125, 126)):  # also across words 64 and 128
+            rows.append((100 * i + j, f"{plain(before)} {notice} {plain(90)}", "en", "s", 0))
+            truth[100 * i + j] = [family]
+        rows.append((100 * i + 50, f"{plain(6)} {notice} {plain(6)}", "en", "s", 0))
+        truth[100 * i + 50] = [family]
+    rows.append((1000, f"{plain(70)} {notices['mit']} {plain(80)} {notices['gpl']} {plain(9)}", "en", "s", 0))
+    truth[1000] = ["gpl", "mit"]
+    for i in range(2000, 2150):
+        rows.append((i, f"{plain(60)} under the terms of the {plain(60)}", "en", "s", 0))
+        truth[i] = []
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in licences.scan_licences(docs, licences.learn(docs)).collect()}
+    assert {i: r["families"] for i, r in got.items()} == truth
+    assert all(r["n_notices"] == len(truth[i]) and r["n_unknown"] == 0 for i, r in got.items())
+
+
+def test_span_scores_match_paragraph_scores():
+    rng = np.random.default_rng(3)
+    table, bias = rng.normal(size=(licences.BUCKETS, 2)).astype(np.float32), np.array([0.1, -0.2])
+    grams = licences.Paragraphs(pa.array(["one two three four\nfive", "six", "seven eight"]))
+    spans = grams.span_scores(grams.begin, grams.begin + grams.count, table, bias)
+    assert np.allclose(spans, grams.scores(table, bias), atol=1e-3)
+
+
 def test_paragraph_scores_match_brute_force():
     rng = np.random.default_rng(1)
     table, bias = rng.normal(size=(licences.BUCKETS, 2)).astype(np.float32), np.array([0.1, -0.2])
