@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from tests_llm_helpers import SCHEMA, awkward, words
 
 from tablewarden.llm import near_dedup, substring_dedup
@@ -191,3 +192,25 @@ def test_substrings_match_sql(spark):
     want = con.sql(ORACLE_SQL["op3_substring_dedup"])
     got = QUERIES["op3_substring_dedup"](spark, folder).select(*want.columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def edited(rng, base, most):
+    """base with up to `most` words changed, some to words that other copies get too, and now and then cut."""
+    w = list(base)
+    for j in rng.sample(range(len(w)), rng.randint(0, most)):
+        w[j] = f"e{j % 3}" if rng.random() < 0.6 else f"own{rng.random()}"
+    return w[: rng.randint(int(0.7 * len(w)), len(w))] if rng.random() < 0.3 else w
+
+
+@pytest.mark.parametrize("pairwise, plain", [(256, True), (40, True), (256, False)])
+def test_texts_unlike_their_pivot_are_still_linked(spark, pairwise, plain):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    second = base[:60] + [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join(edited(rng, base if i % 2 else second, 9 if plain else 2)), "en", "s", 0) for i in range(150)]
+    want = plain_classes(rows) if plain else brute_classes(rows, 5, 0.8)
+    assert len(set(want.values())) > 20 and max(map(list(want.values()).count, want.values())) > 20
+    docs = spark.createDataFrame(rows, SCHEMA)
+    # bands of one row miss no pair, so what is missing would be the fault of the pivots
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs, plain=plain, bands=24, rows=1, pairwise=pairwise).collect()}
+    assert got == want
