@@ -159,3 +159,39 @@ def test_counts_and_rules(spark):
     bare = quality_rules.apply_quality_rules(docs, marks.limit(0))
     assert bare.where("not base_failed and not kept").isEmpty()
     assert quality_rules.apply_quality_rules(docs.limit(0), marks).collect() == []
+
+
+def test_rules_keep_their_guarantee_by_brute_force(spark):
+    """The chain of each stratum goes as far as exact binomial sums allow; a small stratum is pooled."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(2400):
+        lang = "en" if i % 3 else "de" if i % 27 else "fr"
+        good = rng.random() < 0.75
+        body = [f"word{rng.randrange(900)}" for _ in range(rng.randint(15, 40))]
+        marks = rng.random() * (0.15 if good and lang == "en" else 0.0 if good else 1.0)
+        rows.append((i, " ".join(w + "#" if rng.random() < marks else w for w in body), lang, "s", 0))
+        labels.append((i, int(good), 0))
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    counts = quality_rules.counted(docs)
+    risk, delta = 0.05, 0.05
+    rules = quality_rules.cutoffs(counts, marks, risk, delta)
+    seen = [r.asDict() for r in quality_rules.labelled(counts, marks).collect()]
+    n = {s: sum(r["tests"] and r["good"] for r in seen if r["stratum"] == s) for s in ("en", "de", "fr")}
+    group = quality_rules.pools(n, risk, delta)
+    assert group["en"] == "en" and group["fr"] == "*" and rules["en"] and "fr" not in rules
+    for g in set(group.values()):
+        mine = [r for r in seen if group[r["stratum"]] == g and r["tests"] and r["good"]]
+        lost = sum(any(r[k] > c for k, c in rules.get(g, {}).items()) for r in mine)
+        assert binomial_tail(lost, len(mine), risk) <= delta / len(set(group.values())) or not rules.get(g)
+    judged = quality_rules.judged(counts, rules).where("size(rejected_by) > 0").count()
+    assert judged > 300
+
+
+def test_chain_takes_the_cheapest_step_first():
+    grid = {"a": [(9.0, 0, 5), (5.0, 3, 50)], "b": [(2.0, 0, 20), (1.0, 1, 25)]}
+    assert quality_rules.chain_of(grid, 10) == [("b", 2.0), ("a", 9.0), ("b", 1.0), ("a", 5.0)]
+    assert quality_rules.chain_of(grid, 0) == [("b", 2.0), ("a", 9.0)]
+    for k, n, p in ((0, 50, 0.02), (7, 300, 0.03), (40, 90, 0.4), (89, 90, 0.99)):
+        assert abs(quality_rules.binomial_tail(k, n, p) - binomial_tail(k, n, p)) < 1e-9
+    assert quality_rules.binomial_tail(2_000_000, 100_000_000, 0.0201) < 1e-9 < quality_rules.binomial_tail(2_000_000, 100_000_000, 0.02)
