@@ -25,18 +25,31 @@ def phrases(text, sample):
     return n
 
 
-def test_counts_match_a_plain_parse():
-    samples, letters = (("a", "abc abd xyz"), ("b", "hello world")), "abcdehlorwxyz"
-    parser = m.Parser(samples, letters)
-    texts = ["abc hello", "zzz", "", None, "abd  xyz 12 wor", "q", "été abc " * 600]
-    total, sizes, letter = parser.phrases(texts)
+def test_counts_match_a_plain_parse(monkeypatch):
+    samples = (("a", "abc abd xyz 汉字文本"), ("b", "hello world"))
+    parser = m.Parser(samples)
+    texts = ["abc hello", "zzz", "", None, "abd  xyz 12 wor", "q", "été abc " * 600, "汉字 文 本语 " * 9, "hello wor" * 999, "\U0001f600 1"]
     decode = lambda codes: "".join(chr(97 + c) for c in codes)
     known = [decode(parser.alphabet.codes([t])[0]) for _, t in samples]
-    for i, t in enumerate(texts):
-        code = decode(parser.alphabet.codes([t])[0])
-        for k, sample in enumerate(known):
-            assert total[k, i] == sum(phrases(code[s : s + m.SEGMENT], sample) for s in range(0, len(code), m.SEGMENT))
-    assert letter.tolist() == [True, True, False, False, True, True, True]
+    for segment in (m.SEGMENT, 7):  # phrases over the edges of pieces count once
+        monkeypatch.setattr(m, "SEGMENT", segment)
+        total, sizes, letter = parser.phrases(texts)
+        for i, t in enumerate(texts):
+            code = decode(parser.alphabet.codes([t])[0])
+            assert sizes[i] == len(code)
+            for k, sample in enumerate(known):
+                assert total[k, i] == phrases(code, sample)
+        assert letter.tolist() == [True, True, False, False, True, True, True, True, True, False]
+
+
+def test_scripts_of_many_letters_are_told_apart(spark):
+    rng = random.Random(8)
+    pool = {"zh": [chr(0x4E00 + i) for i in range(0, 1500, 2)], "ja": [chr(0x4E00 + i) for i in range(1, 1500, 2)], "ko": [chr(0xAC00 + i) for i in range(800)], "ru": list("абвгдежзиклмнопрст")}
+    text = lambda lang: " ".join("".join(rng.choices(pool[lang][: 40 if k else None], k=4)) for k in range(40))
+    rows = [(i, text(lang), lang, "s", 0) for i in range(160) for lang in [sorted(pool)[i % 4]]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = m.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 20 and all(r["lang"] == r["lang_pred"] for r in got)
 
 
 def test_held_out_accuracy(spark):
