@@ -10,9 +10,9 @@ BLANK = ("", "empty", "null", "n/a", "na", "none", "-")
 #: The wider set that feature encoders treat as missing (fixed values).
 BLANK_FOR_MODELS = (*BLANK, "nan", "?", "--")
 #: Placeholders that stand for a missing value (fixed values).
-PLACEHOLDERS = ("?", "??", "--", "---", "unknown", "unk", "undefined", "not available", "not applicable", "no data", "missing", "tbd", "tba", "xxx", "nan", "nil", "#n/a", "#ref!", "#value!", "n.a.", "not specified", "unspecified", "no value", "x")
-#: Units of measurement by the words for them (fixed values).
-UNITS = {"min": "minute", "mins": "minute", "minute": "minute", "minutes": "minute", "h": "hour", "hr": "hour", "hour": "hour", "hours": "hour", "%": "percent", "percent": "percent", "oz": "ounce", "ounce": "ounce", "ounces": "ounce"}
+PLACEHOLDERS = ("?", "??", "???", "unknown", "unk", "n.a.", "n.a", "nil", "nan", "missing", "tbd", "tba", "undefined", "unspecified", "not available", "not applicable", "no value", "no data", "xx", "xxx", "xxxx", "--", "---", "...")
+#: Units of measurement by the words for them (fixed values); other words stand for themselves.
+UNITS = {"min": "minute", "mins": "minute", "minutes": "minute", "hr": "hour", "hrs": "hour", "hours": "hour", "%": "percent", "oz": "ounce", "ounces": "ounce"}
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 
 
@@ -57,13 +57,13 @@ def number_tokens(v: Column) -> Column:
 
 
 def number_with_unit(v: Column) -> Column:
-    """Struct of x and unit: thousands separators and exponents are read; values that are no finite number are null."""
-    pattern = r"^([-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*([A-Za-z]+|%)?$"
-    text = stripped(v)
-    x = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "").try_cast("double")
-    word = F.lower(F.regexp_extract(text, pattern, 2))
+    """Struct of x and unit: thousands separators, exponents and a full stop at the end are read; what is no finite number is null."""
+    text = F.lower(stripped(v))
+    grouped = text.rlike(r"^[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?\s*[a-z%]*\.?\z")
+    plain, pattern = F.replace(text, F.lit(","), F.lit("")), r"^([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?)\s*([a-z%]*)\.?\z"
+    x, word = F.regexp_extract(plain, pattern, 1).try_cast("double"), F.regexp_extract(plain, pattern, 2)
     known = F.create_map(*(F.lit(y) for pair in UNITS.items() for y in pair))
-    ok = text.rlike(pattern) & x.isNotNull() & (F.abs(x) < float("inf"))
+    ok = (~F.contains(text, F.lit(",")) | grouped) & plain.rlike(pattern) & x.isNotNull() & (F.abs(x) < float("inf"))
     return F.when(ok, F.struct(x.alias("x"), F.coalesce(F.try_element_at(known, word), word).alias("unit")))
 
 
@@ -74,9 +74,14 @@ def repeated_token(v: Column, sep: str = ",") -> Column:
     return F.when((F.size(tokens) >= 2) & same, F.get(tokens, F.lit(0)))
 
 
+#: A reference manager's tag, and names of literature databases (fixed values).
+LEAK_TAG = r"[A-Z][A-Z0-9]\s{2,}-\s"
+LEAK_SOURCES = ("PubMed", "MEDLINE", "NLM", "Ovid", "EBSCOhost", "EMBASE")
+
+
 def looks_leaked(v: Column) -> Column:
-    """Whether a reference manager's tag or a database keyword is in the cell."""
-    return v.rlike(r"\b[A-Z][A-Z0-9]\s{2,}-\s") | v.rlike(r"(?i)\b(select|insert into|update|delete from|drop table)\b.*\b(from|values|set|where)\b")
+    """Whether a reference manager's tag or a literature database's name is in the cell."""
+    return v.rlike(LEAK_TAG) | v.rlike(rf"\b(?:{'|'.join(LEAK_SOURCES)})\b")
 
 
 def is_subsequence(short: Column, long: Column) -> Column:

@@ -31,16 +31,38 @@ def robust_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return out.select(*keys, F.col("q")[1].alias("median"), mad.alias("mad"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "n")
 
 
-def outliers(df: DataFrame, column: str, clean: DataFrame | None = None, z: float = 3.0, k: float = 1.5, min_clean: int = 20, detector: str = "statistical") -> DataFrame:
-    """Numbers more than z robust deviations from the median, or beyond k quartile ranges. Estimates come from clean rows."""
-    x = C.number(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column).cast("double")
-    rows = df.select("row_id", F.col(column).alias("value"), x.alias("x")).where("x is not null")
-    basis = rows if clean is None else rows.join(clean.select("row_id"), "row_id", "left_semi")
-    s = robust_stats(basis, "x").where(F.col("n") >= min_clean)
+def best_date_format(df: DataFrame, column: str, sample: int = 200, least: float = 0.8) -> str | None:
+    """The date format that reads most of the first `sample` cells that aren't blank, if it reads enough; one row comes to the driver."""
+    v = F.col(column)
+    first = df.where(~C.is_blank(v)).select("row_id", v.cast("string").alias("v")).orderBy("row_id").limit(sample)
+    rates = first.agg(*(F.avg(F.try_to_timestamp("v", F.lit(f)).isNotNull().cast("double")).alias(f"r{i}") for i, f in enumerate(DATE_FORMATS))).first()
+    best = max(range(len(DATE_FORMATS)), key=lambda i: (rates[i] or 0.0, -i))
+    return DATE_FORMATS[best] if (rates[best] or 0.0) >= least else None
+
+
+def outliers(df: DataFrame, column: str, clean: DataFrame | None = None, z: float = 3.0, k: float = 1.5, min_clean: int = 20, detector: str = "statistical", dates: bool = False) -> DataFrame:
+    """Numbers more than z robust deviations from the median, or beyond k quartile ranges. Estimates come from the clean
+    rows, or from all if fewer than min_clean of those have a number; if these are too few as well, nothing is found.
+    dates: the cells are dates of the column's best format, if it reads nine in ten; they count in seconds."""
+    if dates:
+        form = best_date_format(df, column)
+        x = F.unix_seconds(F.try_to_timestamp(F.col(column), F.lit(form)) if form else parsed_date(F.col(column))).cast("double")
+    else:
+        x = C.number(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column).cast("double")
+    rows = df.select("row_id", F.col(column).alias("value"), x.alias("x"), C.is_blank(F.col(column).cast("string")).alias("blank"))
+    read = rows.agg(F.avg(F.when(~F.col("blank"), F.col("x").isNotNull().cast("double"))).alias("read")).where(F.col("read") >= (0.9 if dates else 0.0))
+    rows = rows.where("x is not null").select("row_id", "value", "x")
+    s = robust_stats(rows, "x").where(F.col("n") >= min_clean)
+    if clean is not None:
+        mine = robust_stats(rows.join(clean.select("row_id"), "row_id", "left_semi"), "x").where(F.col("n") >= min_clean)
+        s = mine.withColumn("_all", F.lit(0)).unionByName(s.withColumn("_all", F.lit(1))).agg(F.min_by(F.struct("median", "mad", "q1", "q3", "n"), "_all").alias("s")).where("s is not null").select("s.*")
+    if dates:
+        s = s.join(F.broadcast(read)).drop("read")  # both are one row
     far = F.abs(F.col("x") - F.col("median")) / F.col("mad")
-    wide = F.col("q3") - F.col("q1")
+    wide = F.greatest(F.col("q3") - F.col("q1"), F.lit(1e-9))
     out = rows.join(F.broadcast(s)).where((far > z) | (F.col("x") < F.col("q1") - k * wide) | (F.col("x") > F.col("q3") + k * wide))
-    return _candidates(out, column, detector, "DIST", far, F.round("median", 6))
+    fix = F.date_format(F.timestamp_seconds("median"), "yyyy-MM-dd") if dates else F.round("median", 6)
+    return _candidates(out, column, detector, "DIST", far, fix)
 
 
 def unit_outliers(df: DataFrame, column: str, z: float = 6.0, min_refs: int = 5) -> DataFrame:
@@ -140,8 +162,8 @@ def odd_patterns(df: DataFrame, column: str, dominant: float = 0.8, rare_most: i
     return rare.unionByName(_candidates(broken, column, "pattern_outlier", "FI", F.lit(0.85)))
 
 
-#: Date formats that are tried in turn (fixed values).
-DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd-MM-yyyy", "dd.MM.yyyy", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy", "yyyy-MM-dd HH:mm:ss")
+#: Date formats that are tried in turn (fixed values): ISO, with slashes, American, European, with dashes, with dots, with times, without separators, with names of months, of a month.
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "yyyy.MM.dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm", "yyyyMMdd", "dd-MMM-yyyy", "dd MMM yyyy", "MMM dd, yyyy", "yyyy-MM")
 
 
 def parsed_date(v: Column) -> Column:

@@ -24,10 +24,12 @@ from .dependencies import arithmetic
 
 #: Family of each operator (fixed values).
 FAMILY = {"missing": "missing", "dmv": "missing", "duplicate": "format", "normalize": "semantic", "regex": "format", "type": "format", "range": "domain", "statistical": "statistical", "fd": "relation", "neighbor": "neighbor", "compare": "relation", "temporal": "relation", "arithmetic": "relation"}
-ERROR_TYPE = {"missing": "MV", "dmv": "DMV", "format": "FI", "semantic": "FI", "domain": "FI", "statistical": "DIST", "relation": "VAD", "neighbor": "VAD"}
+ERROR_TYPE = {"missing": "MV", "dmv": "DMV", "format": "FI", "semantic": "FI", "domain": "FI", "statistical": "OTHER", "relation": "VAD", "neighbor": "OTHER"}
 PARAMS = {"missing": set(), "dmv": {"tokens"}, "duplicate": set(), "normalize": {"mapping", "strip", "case"}, "regex": {"pattern"}, "type": {"type"}, "range": {"min", "max", "unit"}, "statistical": {"z"}, "fd": {"min_support", "confidence"}, "neighbor": {"min_support", "confidence"}, "compare": set(), "temporal": set(), "arithmetic": {"expression", "tolerance"}}
 EVIDENCE = ("row_id", "column", "constraint_id", "source_group", "family", "status", "score", "error_type", "suggested_fix", "support", "reliability")
-TOKENS = ("?", "--", "unknown", "n.a.", "not available")
+#: Placeholders by default, and the order in which constraints are kept (fixed values).
+TOKENS = ("unknown", "missing", "?", "not available", "unspecified")
+PRIORITY = {"missing": 0, "range": 1, "normalize": 2, "regex": 3, "fd": 4, "arithmetic": 4, "compare": 4, "temporal": 4, "type": 5, "dmv": 6, "duplicate": 7, "statistical": 8, "neighbor": 9}
 
 
 @dataclass(frozen=True)
@@ -76,9 +78,9 @@ def program_from_json(text: str) -> list[Constraint]:
 
 
 def merged(programs: list[list[Constraint]], most: int = 96, per_target: int = 6) -> list[Constraint]:
-    """All constraints once, by the order of FAMILY, up to `most`, and `per_target` for each target."""
-    order, seen, used, out = list(FAMILY), set(), {}, []
-    for c in sorted((c for p in programs for c in p), key=lambda c: (order.index(c.operator), c.id)):
+    """All constraints once, by PRIORITY, up to `most`, and `per_target` for each target."""
+    seen, used, out = set(), {}, []
+    for c in sorted((c for p in programs for c in p), key=lambda c: (PRIORITY[c.operator], c.id)):
         if c.id in seen or len(out) >= most or any(used.get(t, 0) >= per_target for t in c.targets):
             continue
         seen.add(c.id)
@@ -102,10 +104,9 @@ def _own_checks(c: Constraint, target: str) -> tuple[Column, Column]:
         bad = (F.size(parts) > 1) & (F.get(parts, F.lit(0)) != "") & (F.size(F.array_distinct(parts)) == 1)
         fix = F.get(parts, F.lit(0))
     elif c.operator == "normalize":
-        fix = C.stripped(v) if p.get("strip", True) else v
-        fix = {"lower": F.lower, "upper": F.upper}.get(p.get("case"), lambda x: x)(fix)
-        if p.get("mapping"):
-            fix = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in p["mapping"].items() for x in pair)), v), fix)
+        fix = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in p["mapping"].items() for x in pair)), v), v) if p.get("mapping") else v
+        fix = C.stripped(fix) if p.get("strip") else fix
+        fix = {"lower": F.lower, "upper": F.upper, "title": F.initcap}.get(p.get("case"), lambda x: x)(fix)
         bad = fix != v
     elif c.operator == "regex":
         bad = F.when(F.length(v) <= 512, ~C.full_match(v, p["pattern"]))
@@ -171,7 +172,6 @@ def leave_one_out(df: DataFrame, keys: list[str], value: str, min_support: int =
 def execute(df: DataFrame, program: list[Constraint]) -> DataFrame:
     """Evidence of every constraint, row and target. Constraints of one row share one pass; those of groups join their counts."""
     own: list[DataFrame] = []
-    total = None
     for c in program:
         scope = _in_scope(c)
         for target in c.targets:
@@ -188,36 +188,52 @@ def execute(df: DataFrame, program: list[Constraint]) -> DataFrame:
                 raw = rows.join(F.broadcast(q), "unit").groupBy("unit").agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("raw"))
                 s = q.join(raw, "unit").withColumn("mad", F.greatest(1.4826 * F.col("raw"), 0.1 * F.col("sd"), F.lit(1e-6)))
                 far = F.abs(F.col("x") - F.col("median")) / F.col("mad") > c.params.get("z", 6)
-                own.append(_evidence(rows.join(s, "unit", "left"), c, target, F.when(F.col("n") >= 5, far), F.lit(None).cast("string"), F.col("n")))
+                own.append(_evidence(rows.join(s, "unit", "left"), c, target, F.when(F.col("n") >= 5, far), F.col("median").cast("string"), F.when(F.col("n") >= 5, F.col("n"))))
             else:
-                total = df.agg(F.count("*").alias("_n")) if total is None else total
+                total = df.where(scope).agg(F.count("*").alias("_n"))  # one row
                 bad, fix = _own_checks(c, target)
-                own.append(_evidence(df.join(F.broadcast(total)), c, target, F.when(scope, bad), fix, F.col("_n")))
+                bad = F.when(scope, bad)
+                own.append(_evidence(df.join(F.broadcast(total)), c, target, bad, fix, F.when(bad.isNotNull(), F.col("_n"))))
     return reduce(DataFrame.unionByName, own)
 
 
 def evidence_features(evidence: DataFrame) -> DataFrame:
-    """Of each cell and family: checks, mean score and reliability, violations, support. Abstentions are left out, and each source counts once."""
+    """Of each cell and family: mean violation score, share of checks passed, mean reliability and support (50 and more
+    counting as 1), coverage and whether checks disagree. Abstentions are left out, and each source counts once."""
     said = evidence.where("status <> 'abstain'")
     once = said.groupBy("row_id", "column", "family", "source_group").agg(F.max(F.struct("score", "reliability", "support", "status")).alias("e")).select("row_id", "column", "family", "e.*")
-    return once.groupBy("row_id", "column", "family").agg(F.count("*").alias("checks"), F.round(F.avg("score"), 6).alias("score"), F.round(F.avg("reliability"), 6).alias("reliability"), F.sum((F.col("status") == "violation").cast("long")).alias("violations"), F.max("support").alias("support"))
+    bad, mean = F.col("status") == "violation", lambda x: F.round(F.avg(x), 6)
+    return once.groupBy("row_id", "column", "family").agg(
+        mean(F.when(bad, F.col("score")).otherwise(0.0)).alias("violation"), mean((~bad).cast("double")).alias("passed"), mean("reliability").alias("reliability"), mean(F.least(F.col("support") / 50, F.lit(1.0))).alias("support"),
+        F.lit(1.0).alias("coverage"), (F.max(bad & (F.col("score") > 0)) & F.max(~bad)).cast("double").alias("disagreement"),
+    )
 
 
 def constraint_quality(evidence: DataFrame) -> DataFrame:
-    """Of each constraint: coverage (share of rows that it judges), violation rate, support."""
-    return evidence.groupBy("constraint_id").agg(F.round(F.avg((F.col("status") != "abstain").cast("double")), 6).alias("coverage"), F.sum((F.col("status") == "violation").cast("long")).alias("violations"), F.max("support").alias("support"))
+    """Of each constraint: coverage (share of cells that it judges), mean support (50 and more counting as 1), stability (1
+    less four standard errors of its rate of violations) and the share of counter-evidence (column counterevidence, if there)."""
+    active, bad = F.col("status") != "abstain", F.when(F.col("status") != "abstain", (F.col("status") == "violation").cast("double"))
+    against = F.coalesce(F.col("counterevidence").cast("double"), F.lit(0.0)) if "counterevidence" in evidence.columns else F.lit(0.0)
+    out = evidence.groupBy("constraint_id").agg(F.avg(active.cast("double")).alias("coverage"), F.avg(F.when(active, F.least(F.col("support") / 50, F.lit(1.0)))).alias("support"), F.avg(bad).alias("p"), F.count(bad).alias("n"), F.avg(F.when(active, against)).alias("counter"))
+    error = F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
+    return out.select("constraint_id", F.round("coverage", 6).alias("coverage"), *(F.round(F.coalesce(x, F.lit(0.0)), 6).alias(k) for k, x in {"support": F.col("support"), "stability": F.greatest(F.lit(0.0), 1 - 4 * error), "counterevidence": F.col("counter")}.items()))
 
 
 def decisions(evidence: DataFrame, threshold: float = 0.5, low: float = 0.35, high: float = 0.65) -> DataFrame:
-    """Verdict of each cell: the best score times reliability, halved if as many reliable checks pass as fail."""
+    """Verdict of each cell: the best score times reliability of its violations, halved if every one of them has
+    counter-evidence (column counterevidence, if there). Unsure: a middling score, or fewer than two reliable families of checks."""
+    bad = F.col("status") == "violation"
+    against = F.coalesce(F.col("counterevidence"), F.lit(False)) if "counterevidence" in evidence.columns else F.lit(False)
+    weighed = F.when(bad, F.col("score") * F.col("reliability"))
     f = evidence.where("status <> 'abstain'").groupBy("row_id", "column").agg(
-        F.max(F.col("score") * F.col("reliability")).alias("raw"), F.sum((F.col("status") == "violation").cast("int")).alias("bad"), F.sum(((F.col("status") == "check_passed") & (F.col("family") == "relation")).cast("int")).alias("good"),
-        F.count_distinct(F.when(F.col("status") == "violation", F.col("family"))).alias("families"), F.max_by("error_type", F.struct(F.col("score") * F.col("reliability"), "error_type")).alias("error_type"), F.max_by("suggested_fix", F.struct(F.col("suggested_fix").isNotNull(), "score", "suggested_fix")).alias("suggested_fix"),
+        F.max(weighed).alias("raw"), F.min(F.when(bad, against)).alias("against"), F.count_distinct(F.when(F.col("reliability") >= 0.5, F.col("family"))).alias("families"),
+        F.max_by(F.struct("error_type", "suggested_fix"), F.when(bad, F.struct(weighed, "constraint_id"))).alias("primary"),
     )
-    score = F.round(F.when((F.col("good") >= F.col("bad")) & (F.col("bad") > 0), F.col("raw") * 0.5).otherwise(F.col("raw")), 6)
+    score = F.round(F.coalesce(F.col("raw") * F.when(F.col("against"), 0.5).otherwise(1.0), F.lit(0.0)), 6)
     out = f.withColumn("error_score", score)
-    unsure = ((F.col("error_score") >= low) & (F.col("error_score") <= high)) | (F.col("families") < 2)
-    return out.select("row_id", "column", (F.col("error_score") >= threshold).alias("is_error"), "error_score", F.when(F.col("bad") > 0, F.col("error_type")).otherwise("NONE").alias("error_type"), unsure.alias("low_confidence"), F.when(F.col("bad") > 0, F.col("suggested_fix")).alias("suggested_fix"))
+    unsure = F.col("error_score").between(low, high) | (F.col("families") < 2)
+    kind = F.when(F.col("raw").isNotNull(), F.col("primary.error_type")).otherwise("NONE")
+    return out.select("row_id", "column", (F.col("error_score") >= threshold).alias("is_error"), "error_score", kind.alias("error_type"), unsure.alias("low_confidence"), F.when(F.col("raw").isNotNull(), F.col("primary.suggested_fix")).alias("suggested_fix"))
 
 
 def localised(df: DataFrame, lhs: str, rhs: str, anchors: list[str], min_support: int = 3, share: float = 0.9, most: float = 0.5) -> DataFrame:
@@ -244,7 +260,7 @@ def localised(df: DataFrame, lhs: str, rhs: str, anchors: list[str], min_support
 def local_program(df: DataFrame, columns: list[str], confidence: float = 0.9) -> list[Constraint]:
     """A program from one profile of the table: one row of counts, and one for each pair of columns, come to the driver."""
     from .dependencies import Gates, group_tops
-    from .detectors import bounds_of
+    from .detectors import RANGES, name_words
 
     n = F.count("*").alias("n")
     stats = df.agg(n, *(x for c in columns for x in (F.avg(C.is_blank(F.col(c)).cast("double")).alias(f"m_{c}"), F.avg(F.when(~C.is_blank(F.col(c)), C.number_with_unit(F.col(c)).isNotNull().cast("double"))).alias(f"x_{c}")))).first()
@@ -254,7 +270,7 @@ def local_program(df: DataFrame, columns: list[str], confidence: float = 0.9) ->
             out.append(Constraint("missing", (c,), (c,)))
         if (stats[f"x_{c}"] or 0) >= 0.8:
             out.append(Constraint("type", (c,), (c,), params={"type": "numeric"}))
-            if b := bounds_of(c):
+            if b := next((x for words, x in RANGES if set(words) & set(name_words(c))), None):
                 out.append(Constraint("range", (c,), (c,), params={k: v for k, v in (("min", b[0]), ("max", b[1])) if v is not None}))
             out.append(Constraint("statistical", (c,), (c,), params={"z": 6}))
         else:

@@ -167,8 +167,8 @@ def order_breaks(df: DataFrame, rank: str, measure: str, bucket: int = 10_000, s
 
 
 def arithmetic(expression: str, columns: dict[str, Column]) -> Column:
-    """A column of an expression of + - * / % **, comparisons, and/or/not, abs, min, max and round over named columns."""
-    binary = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide, ast.Mod: F.try_mod, ast.Pow: F.pow}
+    """A column of an expression of + - * / % (of the divisor's sign) **, comparisons, and/or/not, abs, min, max and round over named columns."""
+    binary = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide, ast.Mod: lambda a, b: F.try_mod(F.try_mod(a, b) + b, b), ast.Pow: F.pow}
     tests = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
     calls = {"abs": F.abs, "min": F.least, "max": F.greatest, "round": lambda x, n=None: F.bround(x, 0 if n is None else n)}
 
@@ -210,9 +210,9 @@ def arithmetic_violations(df: DataFrame, expression: str, result: str, tolerance
 
 
 def resolve_conflicts(findings: DataFrame, user_prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """One finding for each cell: by user's rules, confidence, family (cfd, dc, fd) and severity. If the two best are
+    """One finding for each cell: by user's rules, confidence, family (cfd, dc, fd, others) and severity. If the two best are
     alike and the fixes differ, it is of medium severity. `place` is the order in which equals came."""
-    family = F.when(F.col("rule").startswith("cfd:"), 3).when(F.col("rule").startswith("dc:"), 2).otherwise(1)
+    family = F.when(F.col("rule").startswith("cfd:"), 3).when(F.col("rule").startswith("dc:"), 2).when(F.col("rule").startswith("fd:") | F.coalesce(F.col("error_type") == "VAD", F.lit(False)), 1).otherwise(0)
     user = F.lit(False)
     for p in user_prefixes:
         user = user | F.col("rule").startswith(p)

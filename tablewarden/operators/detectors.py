@@ -12,8 +12,16 @@ from pyspark.sql import Window as W
 from tablewarden.functions import cells as C
 from tablewarden.plans.tables import cells, errors
 
-#: Bounds by a word of the column's name or kind (fixed values): least, most, whole numbers only.
-RANGES = {"age": (0, 120, False), "percent": (0, 100, False), "latitude": (-90, 90, False), "longitude": (-180, 180, False), "price": (0, None, False), "salary": (0, None, False), "count": (0, None, True), "year": (1000, 2100, True)}
+#: Bounds by a part of the column's kind or name, the first that occurs (fixed values): least, most, whole numbers only.
+RANGES = (
+    (("age",), (0, 120, False)),
+    (("percent", "percentage", "rate", "ratio"), (0, 100, False)),
+    (("latitude",), (-90, 90, False)),
+    (("longitude",), (-180, 180, False)),
+    (("price", "amount", "cost", "salary", "income", "currency", "fee"), (0, None, False)),
+    (("quantity", "count", "number", "qty"), (0, None, True)),
+    (("year",), (1000, 2100, True)),
+)
 
 
 def missing(df: DataFrame, nullable: frozenset[str] = frozenset()) -> DataFrame:
@@ -51,8 +59,8 @@ def leaked(df: DataFrame, columns: list[str], longer: float = 3.0) -> DataFrame:
 
 
 def bounds_of(name: str, kind: str = "") -> tuple | None:
-    words = set(name_words(kind)) | set(name_words(name))
-    return next((b for k, b in RANGES.items() if k in words), None)
+    text = f"{kind} {name}".lower()
+    return next((b for words, b in RANGES if any(w in text for w in words)), None)
 
 
 def name_words(name: str) -> list[str]:
@@ -65,7 +73,7 @@ def out_of_range(df: DataFrame, column: str, kind: str = "", least_numeric: floa
     low, high, whole = bounds_of(column, kind) or (None, None, False)
     x = C.number(F.col(column))
     bad = F.lit(False)
-    for test in (x < low if low is not None else None, x > high if high is not None else None, x != F.floor(x) if whole else None):
+    for test in (x < low if low is not None else None, x > high if high is not None else None, F.abs(x - F.rint(x)) > 1e-9 if whole else None):
         bad = bad if test is None else bad | test
     rows = df.where(~C.is_blank(F.col(column))).select("row_id", F.lit(column).alias("column"), F.col(column).alias("value"), x.alias("x"), bad.alias("bad"))
     share = rows.agg(F.avg(F.col("x").isNotNull().cast("double")).alias("numeric")).where(F.col("numeric") >= least_numeric)

@@ -10,10 +10,10 @@ from tablewarden.functions import cells as C
 from tablewarden.plans.tables import counted, majority, pairs
 
 #: How much each detector's score counts, and to which family it belongs (fixed values).
-WEIGHTS = {"strong_rule": 1.0, "approx_fd": 0.9, "approx_fd_medium": 0.5, "reconstruction": 0.85, "numeric_format": 0.85, "categorical_typo": 0.8, "typo": 0.8, "neighbor": 0.75, "pattern_outlier": 0.6, "statistical": 0.6, "format_cluster": 0.6, "value_burst": 0.6, "secondary_format": 0.5}
-FAMILIES = {"strong_rule": "rule", "approx_fd": "dependency", "approx_fd_medium": "dependency", "reconstruction": "model", "neighbor": "model", "numeric_format": "format", "pattern_outlier": "format", "format_cluster": "format", "secondary_format": "format", "categorical_typo": "typo", "typo": "typo", "statistical": "statistical", "value_burst": "burst"}
+WEIGHTS = {"strong_rule": 1.0, "approx_fd": 0.9, "approx_fd_medium": 0.5, "reconstruction": 0.85, "numeric_format": 0.85, "categorical_typo": 0.8, "typo": 0.8, "neighbor_consistency": 0.75, "pattern_outlier": 0.6, "statistical": 0.6, "format_cluster": 0.6, "value_burst": 0.6, "secondary_format": 0.5}
+FAMILIES = {"strong_rule": "rule", "approx_fd": "rule", "approx_fd_medium": "rule", "reconstruction": "model", "statistical": "statistical", "neighbor_consistency": "neighbor", "pattern_outlier": "pattern", "format_cluster": "pattern", "secondary_format": "pattern", "numeric_format": "format", "typo": "text", "categorical_typo": "text", "value_burst": "burst"}
 #: Detectors whose scores only order their own findings.
-SOFT = ("reconstruction", "statistical", "neighbor")
+SOFT = ("reconstruction", "statistical", "neighbor_consistency")
 
 
 def _lookup(table: dict, key: Column, default) -> Column:

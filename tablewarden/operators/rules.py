@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions import cells as C
 
-DATE = r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}.*"
+#: Forms of a date, loose on purpose, and other names of the logical types (fixed values).
+DATE = r"\d{1,4}[-/.]\d{1,2}([-/.]\d{1,4})?([ T].*)?"
+TYPES = {"bool": "bool", "boolean": "bool", "int": "int", "integer": "int", "float": "float", "numeric": "float", "number": "float", "date": "date"}
 BOOLEANS = ("true", "false", "yes", "no", "y", "n", "t", "f", "1", "0")
 
 
@@ -42,10 +44,10 @@ def violates(rule: Rule) -> Column | None:
     elif rule.kind == "numeric_range" and set(s) & {"min", "max"}:
         x = F.when(C.is_float(v), F.regexp_replace(C.stripped(v), "_", "").try_cast("double"))
         bad = F.coalesce(_any([t for t in (x < s["min"] if "min" in s else None, x > s["max"] if "max" in s else None) if t is not None]), F.lit(False))
-    elif rule.kind == "logical_type" and s.get("type") in ("bool", "int", "float", "date"):
+    elif rule.kind == "logical_type" and str(s.get("type", "")).strip().lower() in TYPES:
         t = C.stripped(v)
         ok = {"bool": F.lower(t).isin(*BOOLEANS), "int": t.rlike(r"^[-+]?\d+(?:_\d+)*$"), "float": C.is_float(v) | F.lower(t).rlike(r"^[-+]?(inf|infinity|nan)$"), "date": C.full_match(t, DATE)}
-        bad = ~ok[s["type"]]
+        bad = ~ok[TYPES[str(s["type"]).strip().lower()]]
     else:
         return None
     return ~C.is_blank(v) & bad

@@ -10,7 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.functions import cells as C
 from tablewarden.operators import anomalies, constraints, dependencies, detectors, evaluation, fusion, models, profile, rules
 from tablewarden.plans.dirty import view, view_sql
 
@@ -32,8 +31,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+#: The SQL spells its values out, so that it can't share an error of the operators.
+BLANK_SQL = "('', 'empty', 'null', 'n/a', 'na', 'none', '-')"
+PLACEHOLDER_SQL = "('?', '??', '???', 'unknown', 'unk', 'n.a.', 'n.a', 'nil', 'nan', 'missing', 'tbd', 'tba', 'undefined', 'unspecified', 'not available', 'not applicable', 'no value', 'no data', 'xx', 'xxx', 'xxxx', '--', '---', '...')"
+LEAK_SQL = "(regexp_matches({v}, '[A-Z][A-Z0-9]\\s{{2,}}-\\s') OR regexp_matches({v}, '\\b(PubMed|MEDLINE|NLM|Ovid|EBSCOhost|EMBASE)\\b'))"
+DEFAULT_TOKENS_SQL = "('unknown', 'missing', '?', 'not available', 'unspecified')"
+
+
 def blank(v: str) -> str:
-    return f"({v} IS NULL OR lower(regexp_replace({v}, '^\\s+|\\s+$', '', 'g')) IN {C.BLANK})"
+    return f"({v} IS NULL OR lower(regexp_replace({v}, '^\\s+|\\s+$', '', 'g')) IN {BLANK_SQL})"
 
 
 def unpivoted(name: str, columns: list[str]) -> str:
@@ -67,7 +73,7 @@ def missing_values(spark, sf_dir):
     return detectors.missing(view(spark, sf_dir, "customers"))
 
 
-@query(f"{view_sql('customers')}, c AS ({unpivoted('customers', CUSTOMER_COLUMNS)}) SELECT {error_sql('DMV', 'placeholder', chr(39) * 2, '0.8')} FROM c WHERE lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) IN {C.PLACEHOLDERS} AND NOT {blank('value')}")
+@query(f"{view_sql('customers')}, c AS ({unpivoted('customers', CUSTOMER_COLUMNS)}) SELECT {error_sql('DMV', 'placeholder', chr(39) * 2, '0.8')} FROM c WHERE lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) IN {PLACEHOLDER_SQL} AND NOT {blank('value')}")
 def disguised_missing(spark, sf_dir):
     return detectors.disguised_missing(view(spark, sf_dir, "customers"))
 
@@ -88,7 +94,7 @@ def inconsistent_representation(spark, sf_dir):
     return detectors.standardised(view(spark, sf_dir, "customers"), "segment", SEGMENTS, [("X$", "")])
 
 
-@query(f"{view_sql('customers')}, m AS (SELECT quantile_cont(length(note), 0.5) AS median FROM customers), c AS (SELECT row_id, 'note' AS \"column\", note AS value FROM customers, m WHERE regexp_matches(note, '\\b[A-Z][A-Z0-9]\\s{{2,}}-\\s') AND length(note) > 3 * median) SELECT {error_sql('FI', 'metadata_leakage', chr(39) * 2, '0.8')} FROM c")
+@query(f"{view_sql('customers')}, m AS (SELECT quantile_cont(length(note), 0.5) AS median FROM customers), c AS (SELECT row_id, 'note' AS \"column\", note AS value FROM customers, m WHERE {LEAK_SQL.format(v='note')} AND length(note) > 3 * median) SELECT {error_sql('FI', 'metadata_leakage', chr(39) * 2, '0.8')} FROM c")
 def leaked_metadata(spark, sf_dir):
     return detectors.leaked(view(spark, sf_dir, "customers"), ["note"])
 
@@ -251,7 +257,12 @@ def _region_findings(spark, sf_dir) -> DataFrame:
     return fd.unionByName(cfd).withColumn("place", F.concat_ws("|", "place", "rule"))
 
 
-@query()
+_FD_ROWS = ORACLE_SQL["fd_violations"]
+_CFD_ROWS = ORACLE_SQL["cfd_constant"]
+
+
+@query(f"""WITH e AS (SELECT *, concat('1|', rule) AS place, 1 AS family FROM ({_FD_ROWS}) UNION ALL SELECT *, concat('2|', rule), 3 FROM ({_CFD_ROWS})), r AS (SELECT *, row_number() OVER w AS nth, lead(confidence) OVER w AS next_confidence, lead(family) OVER w AS next_family FROM e WINDOW w AS (PARTITION BY row_id, "column" ORDER BY confidence DESC, family DESC, place)),
+k AS (SELECT row_id, "column", count(DISTINCT suggested_fix) AS fixes FROM e GROUP BY ALL) SELECT row_id, "column", value, error_type, rule, suggested_fix, confidence, CASE WHEN fixes >= 2 AND confidence = next_confidence AND family = next_family THEN 'medium' ELSE 'high' END AS severity FROM r JOIN k USING (row_id, "column") WHERE nth = 1""")
 def rule_conflicts(spark, sf_dir):
     return dependencies.resolve_conflicts(_region_findings(spark, sf_dir))
 
@@ -263,9 +274,9 @@ def _customer_findings(spark, sf_dir) -> DataFrame:
 
 _CHAIN = f"""{_FD}, c AS ({unpivoted('customers', CUSTOMER_COLUMNS)}), tk AS (SELECT row_id, "column", value, {_TOKENS} AS t FROM c), st AS (SELECT row_id, segment AS value, CASE WHEN segment IN {tuple(SEGMENTS)} THEN upper(segment) ELSE regexp_replace(segment, 'X$', '') END AS fix FROM customers WHERE NOT {blank('segment')}),
 e AS (SELECT 0 AS place, row_id, "column", value, 'MV' AS error_type, 'missing_value' AS rule, CAST(NULL AS VARCHAR) AS suggested_fix, CAST(NULL AS DOUBLE) AS confidence FROM c WHERE {blank('value')}
-UNION ALL SELECT 1, row_id, "column", value, 'DMV', 'placeholder', '', 0.8 FROM c WHERE lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) IN {C.PLACEHOLDERS} AND NOT {blank('value')}
+UNION ALL SELECT 1, row_id, "column", value, 'DMV', 'placeholder', '', 0.8 FROM c WHERE lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) IN {PLACEHOLDER_SQL} AND NOT {blank('value')}
 UNION ALL SELECT 2, row_id, 'segment', value, 'FI', 'inconsistent_representation', fix, 0.85 FROM st WHERE fix <> value
-UNION ALL SELECT 3, row_id, "column", value, 'FI', 'metadata_leakage', '', 0.8 FROM c WHERE "column" = 'note' AND regexp_matches(value, '\\b[A-Z][A-Z0-9]\\s{{2,}}-\\s') AND length(value) > 3 * (SELECT quantile_cont(length(note), 0.5) FROM customers)
+UNION ALL SELECT 3, row_id, "column", value, 'FI', 'metadata_leakage', '', 0.8 FROM c WHERE "column" = 'note' AND {LEAK_SQL.format(v='value')} AND length(value) > 3 * (SELECT quantile_cont(length(note), 0.5) FROM customers)
 UNION ALL SELECT 4, row_id, "column", value, 'FI', 'duplicate_value', t[1], 0.9 FROM tk WHERE len(t) >= 2 AND len(list_distinct(list_transform(t, lambda x: lower(x)))) = 1
 UNION ALL SELECT 5, p.row_id, p.rhs, p.b, 'VAD', concat('fd:', p.lhs, '->', p.rhs), m.top, round(m.top_n / m.size, 3) FROM p JOIN m USING (lhs, rhs, a) JOIN ok USING (lhs, rhs) WHERE m.size >= 5 AND m.top_n / m.size >= 0.9 AND p.b <> m.top),
 f AS (SELECT row_id, "column", value, error_type, rule, suggested_fix, confidence, 'high' AS severity FROM e QUALIFY row_number() OVER (PARTITION BY row_id, "column" ORDER BY place, rule, coalesce(suggested_fix, '')) = 1) """
@@ -301,10 +312,14 @@ def robust_outliers(spark, sf_dir):
     return anomalies.outliers(view(spark, sf_dir, "events_table"), "value").select("row_id", "score", F.col("suggested_fix").cast("double").alias("fix"))
 
 
-@query(f"{view_sql('events_table')}, t AS (SELECT row_id, value, value AS x FROM events_table WHERE row_id % 401 <> 0){_STAT}, u AS (SELECT row_id, value AS x FROM events_table) " + _outlier_sql(6.0, 4.5).replace("FROM t, s", "FROM u, s"))
+_CLEAN_EVENTS = f"""{ORACLE_SQL['dc_order'].split("SELECT row_id, 'counter'")[0].replace("t AS (", "od AS (").replace("FROM t ", "FROM od ").replace("s AS (", "os AS (").rstrip()}, dirty AS (SELECT row_id FROM od, os WHERE ((m > p AND m > x) OR (m < p AND m < x)) AND least(abs(m - p), abs(m - x)) >= 3 * step)"""
+
+
+@query(f"{_CLEAN_EVENTS}, t AS (SELECT row_id, value, value AS x FROM events_table WHERE row_id NOT IN (SELECT row_id FROM dirty)){_STAT}, u AS (SELECT row_id, value AS x FROM events_table) " + _outlier_sql(6.0, 4.5).replace("FROM t, s", "FROM u, s"))
 def extreme_outliers(spark, sf_dir):
     df = view(spark, sf_dir, "events_table")
-    return anomalies.outliers(df, "value", df.where("row_id % 401 <> 0"), 6.0, 4.5).select("row_id", "score", F.col("suggested_fix").cast("double").alias("fix"))
+    clean = df.join(dependencies.order_breaks(df, "row_id", "counter"), "row_id", "left_anti")
+    return anomalies.outliers(df, "value", clean, 6.0, 4.5).select("row_id", "score", F.col("suggested_fix").cast("double").alias("fix"))
 
 
 @query(f"""{view_sql('parts')}, t AS (SELECT row_id, CAST(split_part(measure, ' ', 1) AS DOUBLE) AS x, CASE split_part(measure, ' ', 2) WHEN 'oz' THEN 'ounce' ELSE 'minute' END AS unit FROM parts), q AS (SELECT unit, quantile_cont(x, 0.5) AS median, stddev_pop(x) AS sd, count(*) AS n FROM t GROUP BY 1),
@@ -321,7 +336,8 @@ def edit_neighbours(spark, sf_dir):
     return anomalies.edit_neighbours(anomalies.value_counts(view(spark, sf_dir, "parts"), "type"), 5, 20)
 
 
-@query()
+@query(_TYPES + """, e AS (SELECT r.value AS rare, r.n, a.value AS anchor, a.n AS anchor_n FROM v r, v a WHERE r.n <= 2 AND a.n >= 3 AND a.n >= 2 * r.n AND length(a.value) >= 2 AND levenshtein(r.value, a.value) = 1), one AS (SELECT rare, any_value(anchor) AS anchor, any_value(anchor_n / n) AS ratio FROM e GROUP BY 1 HAVING count(*) = 1),
+c AS (SELECT row_id, rare, anchor, ratio, row_number() OVER (ORDER BY ratio DESC, row_id) AS nth FROM parts JOIN one ON type = rare) SELECT row_id, 'type' AS "column", rare AS value, anchor AS suggested_fix, round(ratio, 6) AS ratio FROM c WHERE nth <= floor(0.05 * (SELECT sum(n) FROM v))""")
 def vocabulary_noise(spark, sf_dir):
     return anomalies.vocabulary_noise(view(spark, sf_dir, "parts"), "type", ratio=2)
 
@@ -347,7 +363,12 @@ def pattern_outlier(spark, sf_dir):
     return anomalies.odd_patterns(view(spark, sf_dir, "orders_table"), "day", dates=True)
 
 
-@query(f"{view_sql('orders_table')} SELECT row_id, 'day' AS \"column\", day AS value, 'secondary_format' AS detector, 'FI' AS error_type, CAST(0.6 AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS suggested_fix FROM orders_table WHERE day LIKE '%/%'")
+#: The cells (so) of a second frequent format (sg: all formats, st: the first one).
+_SECONDARY = f"""sf AS (SELECT row_id, day, regexp_replace(regexp_replace(day, '[A-Za-z]+', 'A', 'g'), '\\d+', 'N', 'g') AS shape FROM orders_table WHERE NOT {blank('day')}), sg AS (SELECT shape, count(*) AS n, sum(count(*)) OVER () AS total FROM sf GROUP BY 1), st AS (SELECT * FROM sg QUALIFY row_number() OVER (ORDER BY n DESC, shape DESC) = 1),
+so AS (SELECT row_id, day FROM sf WHERE shape IN (SELECT a.shape FROM sg a, st b WHERE b.n >= 0.6 * b.total AND a.shape <> b.shape AND a.n >= 20 AND a.n >= 0.02 * a.total AND a.n <= 0.4 * a.total AND NOT regexp_matches(b.shape, array_to_string(list_transform(string_split(a.shape, ''), lambda x: regexp_escape(x)), '.*'))))"""
+
+
+@query(f"{view_sql('orders_table')}, {_SECONDARY} SELECT row_id, 'day' AS \"column\", day AS value, 'secondary_format' AS detector, 'FI' AS error_type, CAST(0.6 AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS suggested_fix FROM so")
 def secondary_format(spark, sf_dir):
     return anomalies.secondary_formats(view(spark, sf_dir, "orders_table"), "day")
 
@@ -390,14 +411,14 @@ def _evidence(spark, sf_dir) -> DataFrame:
     return out
 
 
-_EVIDENCE = f"""{view_sql('orders_table')}, e AS (SELECT row_id, 'day' AS "column", day AS value, 'pattern_outlier' AS detector, 'FI' AS error_type, 0.85 * 0.6 AS w FROM orders_table WHERE {shape_sql('day')} = 'dddd-dd-dd' AND try_strptime(day, '%Y-%m-%d') IS NULL
-UNION ALL SELECT row_id, 'day', day, 'secondary_format', 'FI', 0.6 * 0.5 FROM orders_table WHERE day LIKE '%/%'
+_EVIDENCE = f"""{view_sql('orders_table')}, {_SECONDARY}, e AS (SELECT row_id, 'day' AS "column", day AS value, 'pattern_outlier' AS detector, 'FI' AS error_type, 0.85 * 0.6 AS w FROM orders_table WHERE {shape_sql('day')} = 'dddd-dd-dd' AND try_strptime(day, '%Y-%m-%d') IS NULL
+UNION ALL SELECT row_id, 'day', day, 'secondary_format', 'FI', 0.6 * 0.5 FROM so
 UNION ALL SELECT row_id, 'discount_percent', discount_percent, 'numeric_format', 'FI', 0.9 * 0.85 FROM orders_table WHERE len(regexp_extract_all(discount_percent, '[-+]?\\d+(\\.\\d+)?')) <> 1
 UNION ALL SELECT row_id, 'discount_percent', discount_percent, 'strong_rule', 'FI', 0.95 FROM orders_table WHERE {number_sql('discount_percent')} > 100
 UNION ALL SELECT row_id, "column", value, 'strong_rule', 'MV', 0.9 FROM ({unpivoted('orders_table', ORDER_COLUMNS)}) WHERE {blank('value')}) """
 
 
-@query(_EVIDENCE + "SELECT row_id, \"column\", max(value) AS value, arg_max(error_type, w) AS error_type, CAST(NULL AS VARCHAR) AS suggested_fix, string_agg(detector, ',' ORDER BY detector) AS detectors, count(DISTINCT CASE WHEN detector = 'strong_rule' THEN 'rule' ELSE 'format' END) AS family_count, round(1 - product(1 - w), 6) AS suspicion, CASE WHEN round(1 - product(1 - w), 6) >= 0.85 THEN 'high' WHEN round(1 - product(1 - w), 6) >= 0.6 THEN 'mid' ELSE 'low' END AS tier FROM e GROUP BY row_id, \"column\"")
+@query(_EVIDENCE + "SELECT row_id, \"column\", max(value) AS value, arg_max(error_type, w) AS error_type, CAST(NULL AS VARCHAR) AS suggested_fix, string_agg(detector, ',' ORDER BY detector) AS detectors, count(DISTINCT CASE detector WHEN 'strong_rule' THEN 'rule' WHEN 'numeric_format' THEN 'format' ELSE 'pattern' END) AS family_count, round(1 - product(1 - w), 6) AS suspicion, CASE WHEN round(1 - product(1 - w), 6) >= 0.85 THEN 'high' WHEN round(1 - product(1 - w), 6) >= 0.6 THEN 'mid' ELSE 'low' END AS tier FROM e GROUP BY row_id, \"column\"")
 def fused_evidence(spark, sf_dir):
     return fusion.fused(fusion.normalised(_evidence(spark, sf_dir)))
 
@@ -413,7 +434,10 @@ def key_columns(spark, sf_dir):
     return fusion.key_columns(view(spark, sf_dir, "customers"), CUSTOMER_COLUMNS)
 
 
-@query()
+@query(f"""{view_sql('customers')}, p AS (SELECT DISTINCT * FROM ({paired('customers', ['nationkey', 'segment', 'nation', 'region'])}) WHERE lhs IN ('nationkey', 'segment') AND rhs IN ('nation', 'region')),
+g AS (SELECT lhs, rhs, a, max(n) AS top_n, sum(n) AS size FROM (SELECT lhs, rhs, a, b, count(*) AS n FROM p GROUP BY ALL) GROUP BY ALL HAVING sum(n) >= 3), d AS (SELECT lhs, rhs, sum(top_n) / sum(size) AS dominance, count(*) AS groups FROM g GROUP BY ALL),
+o AS (SELECT rhs, max(n) / sum(n) AS share, count(*) AS n_values FROM (SELECT rhs, b, count(*) AS n FROM (SELECT DISTINCT row_id, rhs, b FROM p) GROUP BY ALL) GROUP BY 1)
+SELECT rhs AS "column", lhs AS key, round(dominance, 6) AS dominance, groups FROM d JOIN o USING (rhs) WHERE dominance >= 0.5 AND dominance - share >= 0.15 AND groups <= n_values QUALIFY row_number() OVER (PARTITION BY rhs ORDER BY groups, dominance DESC, lhs) = 1""")
 def consensus_keys(spark, sf_dir):
     return fusion.consensus_keys(view(spark, sf_dir, "customers"), ["nation", "region"], ["nationkey", "segment"])
 
@@ -442,7 +466,11 @@ def judgments(spark, sf_dir):
     return _judged(spark, sf_dir)
 
 
-@query()
+_JUDGED = ORACLE_SQL["judgments"]
+
+
+@query(f"""WITH j AS ({_JUDGED}), b AS (SELECT "column" AS c, value AS v, suggested_fix AS fix FROM j WHERE is_error AND suggested_fix <> '' QUALIFY row_number() OVER (PARTITION BY "column", value ORDER BY confidence DESC, suggested_fix DESC) = 1)
+SELECT row_id, "column", value, is_error, error_type, confidence, CASE WHEN is_error THEN coalesce(nullif(suggested_fix, ''), fix) ELSE suggested_fix END AS suggested_fix FROM j LEFT JOIN b ON "column" = c AND value IS NOT DISTINCT FROM v""")
 def fix_propagation(spark, sf_dir):
     return fusion.propagated_fixes(_judged(spark, sf_dir))
 
@@ -452,7 +480,8 @@ def row_contexts(spark, sf_dir):
     return fusion.row_contexts(view(spark, sf_dir, "orders_table"), fusion.fused(fusion.normalised(_evidence(spark, sf_dir))))
 
 
-@query()
+@query(f"""WITH j AS ({_JUDGED}), d AS (SELECT DISTINCT row_id, "column" FROM ({_CHAIN} SELECT * FROM f)), w AS (SELECT row_id, "column" FROM j WHERE is_error AND confidence >= 0.6 QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY confidence DESC, row_id) <= floor(0.05 * (SELECT count(*) FROM customer)))
+SELECT row_id, "column" FROM d WHERE (row_id, "column") NOT IN (SELECT (row_id, "column") FROM j WHERE NOT is_error AND confidence >= 0.6 AND error_type NOT IN ('MV', 'DMV')) UNION SELECT * FROM w""")
 def refined_mask(spark, sf_dir):
     df = view(spark, sf_dir, "customers")
     return fusion.refined_dirty(detectors.dirty_cells(_customer_findings(spark, sf_dir)), _judged(spark, sf_dir), df.count())
@@ -489,15 +518,20 @@ def correction_accuracy(spark, sf_dir):
     return evaluation.correction_accuracy(_customer_findings(spark, sf_dir), _truth(spark, sf_dir))
 
 
-@query()
+@query(_EVAL + """, r AS (SELECT CASE WHEN max(tp + fp) > 0 THEN 1 ELSE 0 END AS hit, CASE WHEN max(tp + fn) > 0 THEN 1 ELSE 0 END AS truly FROM (SELECT coalesce(f.row_id, w.row_id) AS row_id, CASE WHEN f.row_id IS NOT NULL AND w.row_id IS NOT NULL THEN 1 ELSE 0 END AS tp, CASE WHEN w.row_id IS NULL THEN 1 ELSE 0 END AS fp, CASE WHEN f.row_id IS NULL THEN 1 ELSE 0 END AS fn FROM f FULL JOIN w ON f.row_id = w.row_id AND f."column" = w."column") GROUP BY row_id),
+q AS (SELECT CAST(sum(hit * truly) AS BIGINT) AS tp, CAST(sum(hit * (1 - truly)) AS BIGINT) AS fp, CAST(sum((1 - hit) * truly) AS BIGINT) AS fn FROM r) SELECT tp, fp, fn, round_even(tp / (tp + fp), 3) AS precision, round_even(tp / (tp + fn), 3) AS recall, round_even(2 * tp / (2 * tp + fp + fn), 3) AS f1 FROM q""")
 def row_quality(spark, sf_dir):
     return evaluation.row_quality(_customer_findings(spark, sf_dir), _truth(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH found AS ({ORACLE_SQL['robust_outliers']}), kept AS ({ORACLE_SQL['extreme_outliers']}), truth AS (SELECT event_id AS row_id FROM events WHERE event_id % 401 = 0)
+SELECT 'value' AS "column", count(*) AS resolved FROM found WHERE row_id NOT IN (SELECT row_id FROM truth) AND row_id NOT IN (SELECT row_id FROM kept)""")
 def false_alarms_resolved(spark, sf_dir):
-    found = _customer_findings(spark, sf_dir)
-    return evaluation.resolved_false_alarms(found, _judged(spark, sf_dir).where("is_error"), _truth(spark, sf_dir))
+    """False alarms of the wide outlier bounds that the narrow ones don't have; the wrong cells are those of the dirty view."""
+    df = view(spark, sf_dir, "events_table")
+    clean = df.join(dependencies.order_breaks(df, "row_id", "counter"), "row_id", "left_anti")
+    truth = df.where("row_id % 401 = 0").select("row_id", F.lit("value").alias("column"))
+    return evaluation.resolved_false_alarms(anomalies.outliers(df, "value"), anomalies.outliers(df, "value", clean, 6.0, 4.5), truth.select("row_id", "column"))
 
 
 @query(_EVAL + "SELECT w.\"column\", count(*) AS wrong, CAST(sum(CASE WHEN f.row_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS leaked, round(sum(CASE WHEN f.row_id IS NULL THEN 1 ELSE 0 END) / count(*), 6) AS leak_rate FROM w LEFT JOIN f ON f.row_id = w.row_id AND f.\"column\" = w.\"column\" GROUP BY 1")
@@ -510,19 +544,26 @@ def detector_ablation(spark, sf_dir):
     return evaluation.ablation(fusion.normalised(fusion.as_evidence(_customer_findings(spark, sf_dir))), _truth(spark, sf_dir))
 
 
-@query()
+_MODEL = f"""{view_sql('customers')}, p AS ({paired('customers', _FD_COLUMNS)}), n AS (SELECT lhs, a, rhs, b, count(*) AS n FROM p GROUP BY ALL), g AS (SELECT lhs, a, rhs, sum(n) AS size, max(n) AS top_n, arg_max(b, {{'n': n, 'b': b}}) AS top FROM n GROUP BY ALL), k AS (SELECT rhs, count(DISTINCT b) AS k FROM n GROUP BY 1),
+vote AS (SELECT row_id, rhs AS "column", p.b AS value, (n + 1) / (size + k) AS p, (top_n + 1) / (size + k) AS best_p, top FROM p JOIN n USING (lhs, a, rhs, b) JOIN g USING (lhs, a, rhs) JOIN k USING (rhs)),
+m AS (SELECT row_id, "column", value, round(avg(p), 6) AS p, arg_max(top, {{'p': best_p, 't': top}}) AS best, round(max(best_p), 6) AS best_p FROM vote GROUP BY ALL) """
+
+
+@query(_MODEL.replace(view_sql("customers"), _BOTH_CUSTOMERS) + _TRUTH.rstrip() + """, b AS (SELECT t.t AS threshold, CASE WHEN w.row_id IS NULL THEN 0 ELSE 1 END AS hit FROM m LEFT JOIN w ON m.row_id = w.row_id AND m."column" = w."column" JOIN (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS t) t ON 1 - m.p >= t.t), q AS (SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(sum(hit) AS BIGINT) AS tp, CAST(sum(1 - hit) AS BIGINT) AS fp, (SELECT count(*) FROM w) - sum(hit) AS fn FROM b GROUP BY 1)
+SELECT threshold, tp, fp, CAST(fn AS BIGINT) AS fn, round_even(tp / (tp + fp), 3) AS precision, round_even(tp / (tp + fn), 3) AS recall, round_even(2 * tp / (2 * tp + fp + fn), 3) AS f1 FROM q""")
 def gate_grid(spark, sf_dir):
     df = view(spark, sf_dir, "customers")
     scored = models.predictions(df, _FD_COLUMNS).select("row_id", "column", (1 - F.col("p")).alias("score"))
     return evaluation.gate_grid(scored, _truth(spark, sf_dir), [0.5, 0.6, 0.7, 0.8, 0.9])
 
 
-@query()
+@query(_MODEL + "SELECT * FROM m")
 def model_predictions(spark, sf_dir):
     return models.predictions(view(spark, sf_dir, "customers"), _FD_COLUMNS)
 
 
-@query()
+@query(_MODEL + """, s AS (SELECT *, -ln(p + 1e-9) AS s FROM m), l AS (SELECT "column", quantile_cont(s, 0.99) AS most FROM s GROUP BY 1 HAVING avg(CASE WHEN best = value THEN 1.0 ELSE 0.0 END) >= 0.5)
+SELECT row_id, "column", value, 'reconstruction' AS detector, 'DIST' AS error_type, round(s, 6) AS score, best AS suggested_fix FROM s JOIN l USING ("column") WHERE (s > most OR p < 0.02) AND best <> value""")
 def unlikely_cells(spark, sf_dir):
     return models.unlikely_cells(models.predictions(view(spark, sf_dir, "customers"), _FD_COLUMNS))
 
@@ -567,7 +608,7 @@ def constraint_evidence(spark, sf_dir):
 
 def _own_row_sql() -> str:
     c = CUSTOMER_PROGRAM
-    tests = {c[0].id: ("nation", blank("nation")), c[1].id: ("region", f"lower(regexp_replace(region, '^\\s+|\\s+$', '', 'g')) IN {constraints.TOKENS}"), c[4].id: ("nation", "NOT regexp_full_match(nation, 'NATION_\\d+')"), c[6].id: ("nationkey", "CAST(nationkey AS INTEGER) < 0 OR CAST(nationkey AS INTEGER) > 24")}
+    tests = {c[0].id: ("nation", blank("nation")), c[1].id: ("region", f"lower(regexp_replace(region, '^\\s+|\\s+$', '', 'g')) IN {DEFAULT_TOKENS_SQL}"), c[4].id: ("nation", "NOT regexp_full_match(nation, 'NATION_\\d+')"), c[6].id: ("nationkey", "CAST(nationkey AS INTEGER) < 0 OR CAST(nationkey AS INTEGER) > 24")}
     return view_sql("customers") + " " + " UNION ALL ".join(f"SELECT row_id, '{col}' AS \"column\", '{i}' AS constraint_id, CASE WHEN {blank(col)} AND '{i}' <> '{c[0].id}' THEN 'abstain' WHEN {t} THEN 'violation' ELSE 'check_passed' END AS status FROM customers" for i, (col, t) in tests.items())
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import csv
 import fcntl
 import hashlib
 import json
@@ -16,7 +17,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MASK_TRUE, MASK_FALSE = ("true", "1", "yes", "t"), ("false", "0", "no", "f")
 
@@ -24,22 +24,36 @@ MASK_TRUE, MASK_FALSE = ("true", "1", "yes", "t"), ("false", "0", "no", "f")
 def with_row_ids(df: DataFrame, key: str | None = None) -> DataFrame:
     """row_id: a natural key if one is named, else the place in the table, counted by partition so that no task counts all.
 
-    Places need a table that reads in the same order again, as files do.
+    Places need a table that reads in the same order again, as files do. Only the numbers of rows come to the driver.
     """
     if key is not None:
         return df.withColumnRenamed(key, "row_id")
-    spark, schema = df.sparkSession, T.StructType([T.StructField("row_id", T.LongType()), *df.schema])
-    return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), schema)
+    spark = df.sparkSession
+    at = F.monotonically_increasing_id()  # the partition from bit 33 on, below it the place in it
+    tagged = df.select(F.shiftright(at, 33).cast("int").alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"), F.struct("*").alias("_row"))
+    counts = {r["_part"]: r["count"] for r in tagged.groupBy("_part").count().collect()}
+    begin, starts = 0, []
+    for part in sorted(counts):
+        starts.append((part, begin))
+        begin += counts[part]
+    known = spark.createDataFrame(starts, "_part int, _begin long")  # one row for each partition
+    return tagged.join(F.broadcast(known), "_part").select((F.col("_begin") + F.col("_place")).alias("row_id"), "_row.*")
 
 
-def read_csv(spark: SparkSession, path: str, keep_empty: bool = False, key: str | None = None) -> DataFrame:
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The names in a CSV file's first line, as they stand there."""
+    line = spark.read.text(path).first()
+    return [] if line is None else next(csv.reader([re.sub("^\ufeff", "", line[0])]), [])
+
+
+def read_csv(spark: SparkSession, path: str, keep_empty: bool = False, key: str | None = None, multi_line: bool = True) -> DataFrame:
     """All columns as strings, with row_id. Empty cells are null; keep_empty: empty strings, and the header must name
-    each column once, and the table must have rows."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False)
+    each column once, and the table must have rows. Without multi_line a cell can't hold a line break, and files can be split."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("inferSchema", False)
     df = reader.csv(path)
     if keep_empty:
-        head = [re.sub("^﻿", "", c) for c in df.columns]
-        if any(not c.strip() or re.fullmatch(r"_c\d+", c) for c in head) or len({re.sub(r"\d+$", "", c) for c in head}) < len({c for c in head}) and any(h in head[:i] for i, h in enumerate(head)):
+        head = header_of(spark, path)
+        if not head or not all(head) or len(set(head)) < len(head):
             raise ValueError("the header must name each column once")
         df = df.toDF(*head).na.fill("")
         if df.isEmpty():

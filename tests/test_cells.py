@@ -38,8 +38,8 @@ def test_numbers(spark):
 
 
 def test_numbers_with_units(spark):
-    got = one(spark, ["109 min", "1,2", "1,234", "3 hrs", "1e400", "7 %"], C.number_with_unit(A))
-    assert [None if g is None else (g["x"], g["unit"]) for g in got] == [(109.0, "minute"), None, (1234.0, ""), (3.0, "hrs"), None, (7.0, "percent")]
+    got = one(spark, ["109 min", "1,2", "1,234", "3 hrs", "1e400", "7 %", "5 oz.", ".5", "5.", "1,234.5 MIN."], C.number_with_unit(A))
+    assert [None if g is None else (g["x"], g["unit"]) for g in got] == [(109.0, "minute"), None, (1234.0, ""), (3.0, "hour"), None, (7.0, "percent"), (5.0, "ounce"), (0.5, ""), (5.0, ""), (1234.5, "minute")]
 
 
 def test_repeated_tokens(spark):
@@ -54,7 +54,7 @@ def test_subsequence_and_abbreviation(spark):
 
 
 def test_leaks_and_matches(spark):
-    assert one(spark, ["TY  - JOUR", "SELECT a FROM b", "plain"], C.looks_leaked(A)) == [True, True, False]
+    assert one(spark, ["TY  - JOUR", "xTY  - JOUR", "SELECT a FROM b", "found in PubMed today", "Ovidian", "plain"], C.looks_leaked(A)) == [True, True, False, True, False, False]
     assert one(spark, ["xz", "az"], C.starts_with_match(A, "a|z")) == [False, True]
     assert one(spark, ["ab", "abc"], C.full_match(A, "ab")) == [True, False]
 
