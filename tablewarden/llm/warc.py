@@ -3,24 +3,30 @@
 Each response gives two records. The `metadata` record (application/warc-fields) holds the page's title, language,
 declared character set and number of links, and the `conversion` record (text/plain) the page's text. Both name the
 response in WARC-Refers-To, with its target URI and date, keep the response's own headers as X-Source-*, and carry
-SHA-1 digests of their block; the response's payload digest stays in WARC-Source-Payload-Digest. Record ids are
-name-based, so a lost task that runs again gives the same records.
+SHA-1 digests of their block; WARC-Source-Payload-Digest is the payload digest that the response gives, or else that of its
+bytes. Record ids are name-based, so a lost task that runs again gives the same records.
 
-Text leaves out scripts, styles, comments and the head, breaks lines at block elements, resolves character
-references and joins runs of white space.
+Responses come from a table or, by read_responses, from WARC files (1.0 or 1.1, plain or gzip by member). Bodies are
+bytes, read in the character set that the HTTP header or the page declares, else UTF-8.
+
+A page is scanned once from front to end, so the time is proportional to its length whatever is left unclosed. Text leaves out
+scripts, styles, comments and the head, breaks lines at block elements, resolves character references and joins runs of white space.
 
 Defined results: a null or empty body gives records with an empty text and the digest of nothing; a null URI is left
 out of the headers; rows that share an id or are repeated give the same record ids, each row its two records; a null
-id is part of the name as an empty string; a table without rows gives none; extra columns are ignored.
+id is part of the name as an empty string; a response of unknown date has the caller's `date`; a table without rows gives
+none; extra columns are ignored. In files, records other than responses, and what is cut off at a file's end, are left out.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,30 +39,80 @@ VERSION = "WARC/1.1"
 SPACE_OF_NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:derived-warc-records")
 RECORD = pa.schema([("page_id", pa.int64()), *((k, pa.string()) for k in ("record_type", "record_id", "refers_to", "target_uri", "block_digest", "source_payload_digest", "headers", "block")), ("content_length", pa.int64())])
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
+#: Elements whose content is no text, and those that end a line.
+RAW = ("script", "style", "noscript", "template")
+BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split())
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*RAW, "title")}
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_CHARSET = re.compile(r"\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
 
 
 def squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
+def parsed(page: str) -> tuple[str, list[tuple[str, str]]]:
+    """The text, one line for each block, and the fields of a page."""
+    out, fields, links, in_head, at = [], {}, 0, False, 0
+    last = page.rfind(">")
+    while True:
+        tag = page.find("<", at)
+        if tag < 0 or (tag > last and not page.startswith("<!--", tag)):  # no tag can end any more, but a comment ends with the page
+            tag = page.find("<!--", at) if tag >= 0 else -1
+        if not in_head:
+            out.append(page[at : tag if tag >= 0 else len(page)])
+        if tag < 0:
+            break
+        if page.startswith("<!--", tag):
+            end = page.find("-->", tag + 4)
+            out.append(" ")
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if not (tag + 1 < len(page) and (page[tag + 1] in "/!?" or page[tag + 1].isascii() and page[tag + 1].isalpha())):
+            out.append("" if in_head else "<")
+            at = tag + 1
+            continue
+        at = page.index(">", tag) + 1
+        m = _NAME.match(page, tag, at)
+        name, opens = (m[1].lower(), page[tag + 1] != "/") if m else ("", False)
+        body = page[m.end() : at] if m else ""
+        if name in BLOCK and not in_head:
+            out.append("\n")
+        if name == "head":
+            in_head = opens
+            out.append(" ")
+        elif opens and name == "title" and "title" not in fields:
+            end = _END["title"].search(page, at)
+            fields["title"] = page[at : end.start() if end else len(page)]
+        elif opens and name == "a":
+            links += bool(_HREF.search(body))
+        elif opens and (found := {"html": ("language", _LANG), "meta": ("charset", _CHARSET)}.get(name)) and found[0] not in fields and (value := found[1].search(body)):
+            fields[found[0]] = value[1]
+        elif opens and name in RAW:
+            end = _END[name].search(page, at)
+            out.append(" ")
+            at = end.end() if end else len(page)
+    text = "\n".join(line for line in map(squeezed, html.unescape("".join(out)).split("\n")) if line)
+    return text, [*((k, squeezed(html.unescape(fields[k]))) for k in ("title", "language", "charset") if k in fields), ("outlinks", str(links))]
+
+
 def plain_text(page: str) -> str:
-    """Lines of text, one for each block."""
-    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", _DROP.sub(" ", page))))
-    return "\n".join(line for line in map(squeezed, text.split("\n")) if line)
+    return parsed(page)[0]
 
 
 def page_fields(page: str) -> list[tuple[str, str]]:
-    bare = _DROP.sub(lambda m: m[0] if m[1] and m[1].lower() == "head" else " ", page)
-    found = [("title", _TITLE.search(bare)), ("language", _LANG.search(bare)), ("charset", _CHARSET.search(bare))]
-    out = [(k, squeezed(html.unescape(m[1]))) for k, m in found if m]
-    return [*out, ("outlinks", str(len(_LINK.findall(bare))))]
+    return parsed(page)[1]
+
+
+def decoded(body: bytes, media: str = "") -> str:
+    """A body as text: in the character set of its media type, or that its first 2048 bytes declare, else UTF-8."""
+    for found in (_CHARSET.search(media), _CHARSET.search(body[:2048].decode("latin-1"))):
+        if found:
+            with contextlib.suppress(LookupError, UnicodeDecodeError):
+                return body.decode(found[1])
+    return body.decode("utf-8", "replace")
 
 
 def digest(block: bytes) -> str:
@@ -72,25 +128,23 @@ def _line(value: str) -> str:
     return squeezed(value)
 
 
-def derived(page_id: int | None, uri: str | None, body: str | None, date: str, source: dict[str, str]) -> Iterator[dict]:
+def derived(page_id: int | None, uri: str | None, body: bytes | None, date: str, source: dict[str, str]) -> Iterator[dict]:
     """The two records of a response."""
-    body = body or ""
-    payload = digest(body.encode())
+    body = body or b""
+    payload = source.get("WARC-Payload-Digest") or digest(body)
     name = "" if page_id is None else str(page_id)
     response = source.get("WARC-Record-ID") or record_id("response", name, uri or "", payload)
     kept = {k: v for k, v in source.items() if k != "WARC-Record-ID"}
-    blocks = {
-        "metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in page_fields(body))),
-        "conversion": ("text/plain; charset=utf-8", plain_text(body)),
-    }
+    text, fields = parsed(decoded(body, source.get("Content-Type") or ""))
+    blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), "conversion": ("text/plain; charset=utf-8", text)}
     ids = {kind: record_id(kind, response, payload) for kind in blocks}
     for kind, (media, text) in blocks.items():
-        block = text.encode()
+        block = text.encode("utf-8", "replace")
         other = ids["conversion" if kind == "metadata" else "metadata"]
         head = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", response), ("WARC-Concurrent-To", other), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", digest(block)), ("WARC-Source-Payload-Digest", payload)]
         head += [(f"X-Source-{k}", v) for k, v in sorted(kept.items())] + [("Content-Type", media), ("Content-Length", str(len(block)))]
         headers = "\r\n".join([VERSION, *(f"{k}: {_line(v)}" for k, v in head if v is not None)])
-        yield {"page_id": page_id, "record_type": kind, "record_id": ids[kind], "refers_to": response, "target_uri": uri, "block_digest": digest(block), "source_payload_digest": payload, "headers": headers, "block": text, "content_length": len(block)}
+        yield {"page_id": page_id, "record_type": kind, "record_id": ids[kind], "refers_to": response, "target_uri": uri, "block_digest": digest(block), "source_payload_digest": payload, "headers": headers, "block": block.decode(), "content_length": len(block)}
 
 
 def _derive(date: str):
@@ -110,7 +164,7 @@ def build_derivatives(responses: DataFrame, date: str = "1970-01-01T00:00:00Z")
     session_defaults(responses.sparkSession)
     has = set(responses.columns)
     rows = responses.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("body").cast("string").alias("body"),
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("body").cast("binary").alias("body"),
         (F.col("date").cast("string") if "date" in has else F.lit(None).cast("string")).alias("date"),
         (F.col("source").cast("map<string,string>") if "source" in has else F.lit(None).cast("map<string,string>")).alias("source"),
     )
@@ -118,6 +172,102 @@ def build_derivatives(responses: DataFrame, date: str = "1970-01-01T00:00:00Z")
     return rows.mapInArrow(_derive(date), schema)
 
 
+def _records(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of a stream of bytes."""
+    held = bytearray()
+
+    def more(n: int) -> bool:
+        while len(held) < n:
+            piece = next(data, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while True:
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not more(seen + 1):
+                return
+        lines = bytes(held[:end]).decode("utf-8", "replace").strip().split("\r\n")
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        del held[: end + 4]
+        if not lines[0].startswith("WARC/") or not head.get("content-length", "").isdigit():
+            return
+        size = int(head["content-length"])
+        if not more(size):
+            return
+        yield head, bytes(held[:size])
+        del held[:size]
+        more(4)
+        del held[:4]
+
+
+def _unzipped(content: bytes, at_once: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file; of a gzip file those of all its members, piece by piece."""
+    if content[:2] != b"\x1f\x8b":
+        yield from (content[i : i + at_once] for i in range(0, len(content), at_once))
+        return
+    stream, rest, at = zlib.decompressobj(31), content[:at_once], at_once
+    while rest:
+        with contextlib.suppress(zlib.error):
+            yield stream.decompress(rest)
+            rest = stream.unused_data
+            if stream.eof:
+                stream = zlib.decompressobj(31)
+            if not rest:
+                rest, at = content[at : at + at_once], at + at_once
+            elif len(rest) < 18:
+                rest, at = rest + content[at : at + at_once], at + at_once
+            continue
+        return  # what follows is no gzip member
+
+
+def _payload(block: bytes) -> tuple[dict[str, str], bytes] | None:
+    """HTTP headers (with HTTP-Status) and body of a response block, transfer and content encodings undone."""
+    head, sep, body = block.partition(b"\r\n\r\n")
+    lines = head.decode("latin-1").split("\r\n")
+    status = lines[0].split(" ")
+    if not sep or len(status) < 2 or not lines[0].startswith("HTTP/"):
+        return None
+    headers = {k.strip().title(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])} | {"HTTP-Status": status[1]}
+    if headers.get("Transfer-Encoding", "").lower() == "chunked":
+        whole, at = [], 0
+        while (end := body.find(b"\r\n", at)) >= 0:
+            size = body[at:end].split(b";")[0].strip()
+            if not re.fullmatch(rb"[0-9a-fA-F]+", size) or not int(size, 16):
+                break
+            whole.append(body[end + 2 : end + 2 + int(size, 16)])
+            at = end + 4 + int(size, 16)
+        body = b"".join(whole) if whole else body
+    if headers.get("Content-Encoding", "").lower() in ("gzip", "x-gzip", "deflate"):
+        with contextlib.suppress(zlib.error):
+            body = zlib.decompressobj(47).decompress(body)
+    return headers, body
+
+
+RESPONSE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("body", pa.binary()), ("date", pa.string()), ("source", pa.map_(pa.string(), pa.string()))])
+
+
+def _read_responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for content in batch.column("content"):
+            for head, block in _records(_unzipped(content.as_py())):
+                if head.get("warc-type") == "response" and (found := _payload(block)):
+                    given = {k: head[k.lower()] for k in ("WARC-Record-ID", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-IP-Address") if k.lower() in head}
+                    row = {"page_id": None, "url": head.get("warc-target-uri", "").strip("<>") or None, "body": found[1], "date": head.get("warc-date"), "source": list((found[0] | given).items())}
+                    yield pa.RecordBatch.from_pylist([row], RESPONSE)
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The responses of WARC files as build_derivatives takes them. A gzip file can't be split, so each file is read by one
+    task, which holds it as it is packed and one record of it; Spark reads files of up to 2 GB so."""
+    session_defaults(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
+    return files.mapInArrow(_read_responses, "page_id long, url string, body binary, date string, source map<string,string>")
+
+
 def write_warc(records: DataFrame, path: str) -> None:
     """The records as WARC files, one for each partition."""
     records.select(F.concat("headers", F.lit("\r\n\r\n"), "block").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
