@@ -3,14 +3,15 @@
 A paragraph (a line, or a part of 64 words of a longer one) is a bag of word 1- to 3-grams, lower case and without
 punctuation. Sparse logistic regression, one curve for each licence family and one for ordinary text, is trained on
 pieces of the template texts and on paragraphs of the corpus. The unknown class is calibrated by leaving out one family
-at a time: a paragraph that is no ordinary text, but whose best family stays below what such strangers reach, is
-`unknown`. A family's prediction stands only if enough of the paragraph's 2-grams are in that family's templates;
-otherwise the paragraph is `unknown` too, if it is no ordinary text.
+at a time: a family is named only above what nine in ten such strangers reach. A family's prediction stands only if enough
+of the paragraph's 2-grams are in that family's templates. Another paragraph is `unknown` if it is less like ordinary text than
+999 in 1000 paragraphs that the classifier had not seen, and has two licence words or more. Licence words are learned:
+those that the templates of two families or more have, but no paragraph of the corpus sample that isn't like a template.
 
 Notices within longer lines, wherever they begin, are judged apart: a span of a line, at least SHORTEST 2-grams of a
-family's templates with a share of `confirm` or more, one of them of no other family, is a notice if it has a cue word and
+family's templates with a share of `confirm` or more, one of them of no other family, is a notice if it has a licence word and
 the classifier, reading its words alone, names the family too; of overlapping spans the one with the most such 2-grams
-counts. Unknown notices are also sought in overlapping windows of 16 and 64 words.
+counts. Unknown notices are also sought in overlapping windows of 16 and 64 words. Parts of one line that name one family are one notice.
 
 Training reads a bounded sample of the corpus: `sample_docs` documents by the hash of their id, `sample_paragraphs`
 paragraphs of them. Scanning takes whole texts.
@@ -186,7 +187,7 @@ def _spans(hit: np.ndarray, line: np.ndarray, confirm: float) -> Iterator[tuple[
             i = end + 1
 
 
-def _within_lines(grams: Paragraphs, model: dict, confirm: float, raw: bytes) -> list[tuple[int, int, int, float]]:
+def _within_lines(grams: Paragraphs, model: dict, confirm: float, cues: np.ndarray) -> list[tuple[int, int, int, float]]:
     """Notices of families in any place of a line: first word, end, column of the family, score."""
     names, known = model["names"], model["known"]
     at, pair = grams.line_pairs()
@@ -208,8 +209,7 @@ def _within_lines(grams: Paragraphs, model: dict, confirm: float, raw: bytes) ->
     for (_, b, e, c), z in zip(found, chance):
         if taken[b:e].any() or z[0] >= 0.5 or z[c] < model["least"] or int(z[1:].argmax()) + 1 != c:
             continue
-        text = raw[grams.words.start[b] : grams.words.end[e - 1]].decode(errors="replace").lower()
-        if any(w in text for w in CUES):
+        if cues[e] > cues[b]:
             taken[b:e] = True
             out.append((b, e, c, float(z[c])))
     return sorted(out)
@@ -279,19 +279,22 @@ def train(ordinary: list[str], each: int = 30, seed: int = 8) -> dict:
         return _fit(grams(rows), (label[rows][:, None] == np.array(columns)).astype(float))
 
     everyone = list(range(len(names)))
-    strangers, friends = [], []
+    strangers = []
     for f in range(1, len(names)):
         columns = [c for c in everyone if c != f]
         table, bias = fit(np.flatnonzero(~test & (label != f)), columns)
         strange = np.flatnonzero(test & (label == f))
         strangers += _chance(grams(strange).scores(table, bias))[:, 1:].max(axis=1).tolist() if len(strange) else []
     table, bias = fit(np.flatnonzero(~test), everyone)
-    kin = np.flatnonzero(test & (label > 0))
-    if len(kin):
-        friends = _chance(grams(kin).scores(table, bias))[np.arange(len(kin)), label[kin]].tolist()
-    least = min(float(np.quantile(strangers, 0.9)) if strangers else 0.5, float(np.quantile(friends, 0.05)) if friends else 0.5)
+    calm = np.flatnonzero(test & (label == 0))
+    plain = _chance(grams(calm).scores(table, bias))[:, 0] if len(calm) else np.array([0.5])
     table, bias = fit(np.arange(len(texts)), everyone)
-    return {"names": names, "table": table, "bias": bias, "least": max(0.3, least), "known": known}
+    # a family must pass what nine in ten strangers reach; nothing is unknown that is as ordinary as the least ordinary of 1000
+    least, odd = float(np.quantile(strangers, 0.9)) if strangers else 0.5, float(np.quantile(plain, 0.001))
+    word_sets = [np.unique(Paragraphs(pa.array([t])).words.hash) for t in TEMPLATES.values()]
+    many, times = np.unique(np.concatenate(word_sets), return_counts=True)
+    seen = Paragraphs(pa.array(ordinary)).words.hash if ordinary else many[:0]
+    return {"names": names, "table": table, "bias": bias, "least": max(0.3, least), "odd": min(0.5, odd), "known": known, "cues": np.setdiff1d(many[times > 1], seen)}
 
 
 def learn(docs: DataFrame, sample_docs: int = 400, sample_paragraphs: int = 1500, excerpt: int = 4000) -> dict:
@@ -315,10 +318,11 @@ def _scan(model: dict, confirm: float):
             grams = Paragraphs(batch.column("text"))
             if n and len(grams.begin):
                 chance = _chance(grams.scores(model["table"], model["bias"]))
-                odd = np.flatnonzero((chance[:, 0] < 0.5) & (chance[:, 1:].max(axis=1) > 0.1) & (grams.count > 1))
+                odd = np.flatnonzero((chance[:, 0] < 0.5) & (grams.count > 1))
                 pair, of = grams.pairs
                 raw = utf8_bytes(batch.column("text"))
-                inside = _within_lines(grams, model, confirm, raw)
+                cues = np.concatenate(([0], np.cumsum(np.isin(grams.words.hash, model["cues"]))))
+                inside = _within_lines(grams, model, confirm, cues)
                 seen = np.zeros(len(grams.line), bool)  # words of notices
                 for b, e, _, _ in inside:
                     seen[b:e] = True
@@ -331,12 +335,15 @@ def _scan(model: dict, confirm: float):
                     notice = raw[grams.words.start[first] : grams.words.end[first + grams.count[p] - 1]].decode(errors="replace")
                     if chance[p, best] >= model["least"] and same >= confirm:
                         row["families"].add(names[best])
-                        row["n_notices"] += 1
                         row["score"] = max(row["score"], float(chance[p, best]))
-                        row["notices"].append(notice)
+                        if first and grams.line[first - 1] == grams.line[first] and of_family[first - 1] == best:
+                            row["notices"][-1] += " " + notice  # the next part of the same line
+                        else:
+                            row["n_notices"] += 1
+                            row["notices"].append(notice)
                         of_family[first : first + grams.count[p]] = best
                         seen[first : first + grams.count[p]] = True
-                    elif chance[p, 0] < 0.1 and not seen[first : first + grams.count[p]].any() and any(w in notice.lower() for w in CUES):
+                    elif chance[p, 0] < model["odd"] and not seen[first : first + grams.count[p]].any() and cues[first + grams.count[p]] - cues[first] > 1:
                         row["n_unknown"] += 1
                         row["notices"].append(notice)
                         seen[first : first + grams.count[p]] = True
@@ -349,10 +356,10 @@ def _scan(model: dict, confirm: float):
                         row["notices"].append(raw[grams.words.start[b] : grams.words.end[e - 1]].decode(errors="replace"))
                 begin, end = grams.windows()
                 chance = _chance(grams.span_scores(begin, end, model["table"], model["bias"]))
-                for i in np.flatnonzero((chance[:, 0] < 0.1) & (chance[:, 1:].max(axis=1) > 0.1)).tolist():
+                for i in np.flatnonzero((chance[:, 0] < model["odd"]) & (cues[end] - cues[begin] > 1)).tolist():
                     b, e = begin[i], end[i]
                     notice = raw[grams.words.start[b] : grams.words.end[e - 1]].decode(errors="replace")
-                    if not seen[b:e].any() and any(w in notice.lower() for w in CUES):
+                    if not seen[b:e].any():
                         row = out[grams.words.doc[b]]
                         row["n_unknown"] += 1
                         row["notices"].append(notice)
@@ -367,10 +374,6 @@ def _scan(model: dict, confirm: float):
     return run
 
 
-#: An unknown licence names what it is in one of these ways.
-CUES = ("licen", "copyright", "permission", "permitted", "warrant", "redistribut", "all rights reserved")
-
-
 def utf8_bytes(texts: pa.Array) -> bytes:
     from .words import utf8
 

@@ -80,8 +80,12 @@ def test_licence_families(spark):
     assert len(got) == docs.count()
     assert {r["doc_id"]: r["licence"] for r in got if r["doc_id"] in truth} == truth
     assert {r["licence"] for r in got if r["doc_id"] in (5000, 5001, 5002)} == {"none"}
-    strange = spark.createDataFrame([(1, "All rights reserved under the terms of the Frobnitz proprietary licence agreement; redistribution is not permitted.", "en", "s", 0)], SCHEMA)
-    assert licences.scan_licences(strange, licences.learn(docs)).first()["licence"] in ("unknown", "none")
+    strange = ["You may copy and modify this software, provided that this copyright notice is kept; the authors give no warranty of any kind.", "Use of the software in source and binary forms needs permission of the copyright holders."]
+    calm = ["two times three is six", "people now say that water may find its way down"]
+    more = spark.createDataFrame([(i, f"{plain()}.\n{t}\n{plain()}", "en", "s", 0) for i, t in enumerate(strange + calm)], SCHEMA)
+    assert [r["licence"] for r in licences.scan_licences(more, licences.learn(docs)).orderBy("doc_id").collect()] == ["unknown"] * 2 + ["none"] * 2
+    long = " ".join(licences.TEMPLATES["mit"].split("\n")[2:4])  # one line of more than 64 words
+    assert licences.scan_licences(spark.createDataFrame([(1, long, "en", "s", 0)], SCHEMA), licences.learn(docs)).first()["n_notices"] == 1
 
 
 def test_licence_notices_within_long_lines(spark):
@@ -187,3 +191,49 @@ def test_records_are_linked_and_kept(spark, tmp_path):
     back = warc.read_warc(spark, str(tmp_path / "w")).collect()
     assert sorted((b["headers"]["WARC-Record-ID"], b["block"]) for b in back) == sorted((r["record_id"], r["block"]) for r in out)
     assert warc.build_derivatives(warc.responses_of_pages(pages.limit(0))).collect() == []
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    for piece in ("<a ", "<!-- ", "<script ", "<title>", "<", "</title ", "<a>", "<style>x"):
+        warc.parsed(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 20
+    assert warc.parsed("a < b <b>c</b> <i") == ("a < b c <i", [("outlinks", "0")])
+    assert warc.parsed("<head><title>T &lt;<b>1</title></head>x<!-- no > end <p>")[0] == "x"
+    assert warc.parsed("<header>h</header><p>1<script>if (a</b) x</script>2<!-- c --> 3")[0] == "h\n1 2 3"
+
+
+def warc_bytes(version, kind, block, **headers):
+    lines = [f"WARC/{version}", f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_responses_of_warc_files(spark, tmp_path):
+    import gzip
+
+    page = "<html lang=fr><head><meta charset=iso-8859-1><title>Été</title></head><p>Déjà vu\r\n\r\nWARC/1.0 ici</html>".encode("latin-1")
+    zipped = gzip.compress(b"<p>zipped")
+    chunks = b"4\r\n<p>o\r\n3\r\nne \r\n0\r\n\r\n"
+    records = [
+        warc_bytes("1.0", "warcinfo", b"software: x\r\n"),
+        warc_bytes("1.0", "response", b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + page, WARC_Record_ID="<urn:uuid:1>", WARC_Target_URI="<http://a.example/>", WARC_Date="2020-01-02T03:04:05Z", WARC_Payload_Digest="sha1:GIVEN"),
+        warc_bytes("1.1", "response", b"HTTP/1.1 404 Not Found\r\ncontent-encoding: gzip\r\n\r\n" + zipped, WARC_Record_ID="<urn:uuid:2>", WARC_Target_URI="http://b.example/"),
+        warc_bytes("1.1", "response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunks, WARC_Record_ID="<urn:uuid:3>", WARC_Target_URI="http://c.example/"),
+        warc_bytes("1.1", "request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID="<urn:uuid:4>"),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "in" / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)) + gzip.compress(records[1])[:40])
+    responses = warc.read_responses(spark, str(tmp_path / "in"))
+    assert responses.count() == 6
+    out = warc.build_derivatives(responses).collect()
+    by = {(r["refers_to"], r["record_type"]): r for r in out}
+    assert len(out) == 12 and len(by) == 6
+    first = by["<urn:uuid:1>", "conversion"]
+    assert first["block"] == "Déjà vu\nWARC/1.0 ici" and first["source_payload_digest"] == "sha1:GIVEN" and first["target_uri"] == "http://a.example/"
+    assert "WARC-Date: 2020-01-02T03:04:05Z" in first["headers"] and "X-Source-Server: s" in first["headers"]
+    assert by["<urn:uuid:1>", "metadata"]["block"] == "title: Été\r\nlanguage: fr\r\ncharset: iso-8859-1\r\noutlinks: 0\r\n"
+    assert by["<urn:uuid:2>", "conversion"]["block"] == "zipped" and by["<urn:uuid:3>", "conversion"]["block"] == "one"
+    assert "X-Source-HTTP-Status: 404" in by["<urn:uuid:2>", "metadata"]["headers"]
