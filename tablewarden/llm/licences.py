@@ -6,7 +6,7 @@ pieces of the template texts and on paragraphs of the corpus. The unknown class
 at a time: a family is named only above what nine in ten such strangers reach. A family's prediction stands only if enough
 of the paragraph's 2-grams are in that family's templates. Another paragraph is `unknown` if it is less like ordinary text than
 999 in 1000 paragraphs that the classifier had not seen, and has two licence words or more. Licence words are learned:
-those that the templates of two families or more have, but no paragraph of the corpus sample that isn't like a template.
+those that the templates of two families or more have, but no text of the corpus sample outside spans like a template.
 
 Notices within longer lines, wherever they begin, are judged apart: a span of a line, at least SHORTEST 2-grams of a
 family's templates with a share of `confirm` or more, one of them of no other family, is a notice if it has a licence word and
@@ -215,6 +215,17 @@ def _within_lines(grams: Paragraphs, model: dict, confirm: float, cues: np.ndarr
     return sorted(out)
 
 
+def _without_notices(grams: Paragraphs, known: np.ndarray, families: np.ndarray, confirm: float = 0.6) -> np.ndarray:
+    """The words, as hashes, that are in no span of a line with a share of `confirm` or more of known 2-grams, one of them of one family alone."""
+    at, pair = grams.line_pairs()
+    hit, one = at[np.isin(pair, known)], at[np.isin(pair, known[families == 1])]
+    keep = np.ones(len(grams.line), bool)
+    for first, last, _ in _spans(hit, grams.line[hit], confirm):
+        if np.searchsorted(one, first) < np.searchsorted(one, last, "right"):
+            keep[first : last + 2] = False
+    return grams.words.hash[keep]
+
+
 def _pieces(rng: np.random.Generator, each: int) -> list[tuple[str, str]]:
     """Template paragraphs, whole and cut, with the family."""
     out = []
@@ -293,7 +304,7 @@ def train(ordinary: list[str], each: int = 30, seed: int = 8) -> dict:
     least, odd = float(np.quantile(strangers, 0.9)) if strangers else 0.5, float(np.quantile(plain, 0.001))
     word_sets = [np.unique(Paragraphs(pa.array([t])).words.hash) for t in TEMPLATES.values()]
     many, times = np.unique(np.concatenate(word_sets), return_counts=True)
-    seen = Paragraphs(pa.array(ordinary)).words.hash if ordinary else many[:0]
+    seen = _without_notices(Paragraphs(pa.array(ordinary)), *np.unique(own, return_counts=True)) if ordinary else many[:0]
     return {"names": names, "table": table, "bias": bias, "least": max(0.3, least), "odd": min(0.5, odd), "known": known, "cues": np.setdiff1d(many[times > 1], seen)}
 
 
