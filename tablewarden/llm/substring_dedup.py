@@ -17,11 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import PACKED, as_batches, by_bytes, dealt, documents, mix, packed, parts, runs, session_defaults, target_of, unpacked, written
 from .words import Words
@@ -259,31 +259,40 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, STRIPPED)], schema=STRIPPED)
 
 
-def _without(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
-    """Each text without the words of its spans and the white space after them; other characters stay."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with, where they have spans, the text without the words of these and the white space after them; other characters stay."""
 
-    def cut(t, b, e):
-        if t is None or b is None or not len(b):
-            return t
-        words = Words(pa.array([t]))
-        raw, out, at = words.buf.tobytes(), [], 0
-        for x, y in zip(b, e):
-            out.append(raw[at : words.start[x]])
-            at = int(words.start[y]) if y < len(words.start) else len(raw)
-        return b"".join((*out, raw[at:])).decode()
-
-    return pd.Series([cut(*x) for x in zip(text, begins, ends)], dtype=object)
+    def with_text():
+        for batch in batches:
+            row = batch.column("_row")
+            yield pa.RecordBatch.from_arrays([row, batch.column("_begins"), batch.column("_ends"), row.field("text").cast(pa.string())], ["_row", "_begins", "_ends", "text"])
+
+    for batch in by_bytes(with_text()):
+        left: list[str | None] = [None] * batch.num_rows
+        begins, ends = batch.column("_begins"), batch.column("_ends")
+        for i in np.flatnonzero(begins.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            words = Words(batch.column("text").slice(i, 1))
+            raw, out, at = words.buf.tobytes(), [], 0
+            for x, y in zip(begins[i].as_py(), ends[i].as_py()):
+                out.append(raw[at : words.start[x]])
+                at = int(words.start[y]) if y < len(words.start) else len(raw)
+            left[i] = b"".join((*out, raw[at:])).decode()
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), begins.is_valid(), pa.array(left, pa.string())], ["_row", "_is_cut", "_left"])
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """The rows of docs, all columns, with text and n_chars of what is left. A text of which nothing is left goes."""
-    spans = repeated_spans(docs, min_words, all_levels=False).select(F.col("doc_id").alias("_id"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends")).where("size(_begins) > 0")
+    """The rows of docs, all columns, with text and n_chars of what is left. A text of which nothing is left goes.
+
+    The spans come through all levels, up to the longest that repeats.
+    """
+    spans = repeated_spans(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends")).where("size(_begins) > 0")
     rows = docs.select(F.struct("*").alias("_row"))  # so that no column of docs clashes
-    text = F.col("_row").getField("text")
-    both = rows.join(spans, F.col("_row").getField("doc_id") == F.col("_id"), "left").withColumn("_left", F.pandas_udf(_without, "string")(text, "_begins", "_ends"))
-    both = both.where(F.col("_id").isNull() | F.col("_left").rlike("[^\\x20\\x09-\\x0D]"))
-    cut = F.col("_id").isNotNull()
-    new = {"text": F.when(cut, F.col("_left")).otherwise(text), "n_chars": F.when(cut, F.length("_left").cast("long")).otherwise(F.col("_row").getField("n_chars"))} if "n_chars" in docs.columns else {"text": F.when(cut, F.col("_left")).otherwise(text)}
+    both = rows.join(spans, F.col("_row").getField("doc_id") == F.col("_id"), "left").select("_row", "_begins", "_ends")
+    schema = T.StructType([*rows.schema, T.StructField("_is_cut", T.BooleanType()), T.StructField("_left", T.StringType())])
+    both = both.mapInArrow(_cut, schema).where(~F.col("_is_cut") | F.col("_left").rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": F.when(F.col("_is_cut"), F.col("_left")).otherwise(F.col("_row").getField("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_is_cut"), F.length("_left").cast("long")).otherwise(F.col("_row").getField("n_chars"))
     return both.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 

@@ -27,8 +27,9 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def powers(n: int, base: int = _ODD) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    return _powers(1 << max(10, int(n).bit_length()), base)[:n]
+    """base**0 .. base**(n-1) modulo 2**64. Long ones aren't kept, as Python workers live on."""
+    size = 1 << max(10, int(n).bit_length())
+    return (_powers if size <= 1 << 16 else _powers.__wrapped__)(size, base)[:n]
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
