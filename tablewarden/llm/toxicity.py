@@ -1,19 +1,21 @@
 """Operator 7: toxicity by a subsequence-kernel support vector machine with Nystrom landmarks.
 
 The kernel of two strings sums over all subsequences of three letters, gaps allowed up to `SPAN` characters, each
-weighing `DECAY` to the power of its span, so `idiot` stays close to `id-iot` and `idxiot`. The units compared are
-the words of a sentence, and runs of single characters (`i d i o t`) joined to one. A sentence scores as its highest
-unit, a text as its highest sentence.
+weighing `DECAY` to the power of its span, so `idiot` stays close to `id-iot`, `id iot` and `idxiot`. The units compared are
+the words of a sentence, its pairs of neighbouring words of which one has at most `SHORT` bytes and both `PAIR` (what a
+space inside an insult leaves), and runs of single characters (`i d i o t`) joined to one. A sentence scores as its
+highest unit, a text as its highest sentence. Of an insult of several longer words each word counts by itself. Words of one or two
+letters are units only within pairs and runs; words of more than `PIECE` characters are scored in overlapping pieces.
 
 Sentences of labelled texts inherit the label. Which unit of a toxic text is the insult isn't known, so training
 alternates (multiple-instance): fit on the present witnesses, then take each toxic text's highest units as its
-witnesses and the highest units of clean texts as hard negatives. Kernel values with `landmarks` units, whitened by
+witnesses and the highest units of clean texts, pairs included, as hard negatives. Kernel values with `landmarks` units, whitened by
 their own kernel matrix, are the features of a linear squared-hinge machine. The machine is linear in kernel values and
 these are sums over subsequences, so it becomes one exact table of weights by subsequence, which scores all texts.
 A logistic curve over the highest units of the training texts gives the score.
 
-Training takes at most `sample_docs` labelled texts of each label, by the hash of their id, and `sample_chars`
-characters of each; scoring takes whole texts.
+Training takes at most `sample_docs` labelled texts of each label, by the hash of their id, `sample_chars`
+characters of each, and `most_pairs` pairs of clean ones; scoring takes whole texts.
 
 Defined results: a null or empty text scores as a text without any unit; without a toxic or a clean label everything
 scores 0; a document with several labels is toxic if any says so; null ids are never learned from and not held out;
@@ -32,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, documents, session_defaults
+from .shared import by_bytes, documents, mix, session_defaults
 from .words import Words
 
 DECAY = 0.7
 SPAN = 8
 SIZE = 32  # codes: 0 is a gap, 1 to 26 the letters, the rest other alphabets
+SHORT, PAIR = 3, 12  # bytes of the shorter word of a pair, and of both
 PIECE = 24  # longer units are scored in pieces of this length, half of it overlapping
 #: Characters that often stand for a letter.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -161,6 +164,18 @@ def text_units(text: str) -> set[str]:
     return {u.lower() for u in out if len(u) > 2}
 
 
+def sentence_pairs(text: str) -> set[str]:
+    """The pairs of neighbouring words within a sentence that are units."""
+    out = set()
+    for line in text.split("\n"):
+        words = WORD.findall(line)
+        for a, b in zip(words, words[1:]):
+            sizes = len(a.encode("utf-8", "replace")), len(b.encode("utf-8", "replace"))
+            if min(sizes) <= SHORT and max(sizes) > 1 and sum(sizes) <= PAIR and a[-1] not in ".!?":
+                out.add(f"{a} {b}".lower())
+    return out
+
+
 def _pieces(unit: str) -> list[str]:
     return [unit[i : i + PIECE] for i in range(0, max(1, len(unit) - PIECE // 2), PIECE // 2)] if len(unit) > PIECE else [unit]
 
@@ -171,9 +186,14 @@ def _gapped(units: list[str], rng: np.random.Generator) -> list[str]:
     return [u[:i] + ".-*x_"[int(x * 5)] + u[i:] for u, i, x in zip(units, at, rng.random(len(units)))]
 
 
-def train(texts: list[str], toxic: list[bool], landmarks: int = 192, rounds: int = 4, most: int = 4000, seed: int = 7) -> dict | None:
+def train(texts: list[str], toxic: list[bool], landmarks: int = 192, rounds: int = 4, most: int = 4000, seed: int = 7, most_pairs: int = 50_000) -> dict | None:
     """The model from labelled texts: table, bias and the logistic curve's slope and middle."""
     rng = np.random.default_rng(seed)
+    pairs: dict[str, None] = {}
+    for t, bad in zip(texts, toxic):
+        if not bad and len(pairs) < most_pairs:
+            pairs |= dict.fromkeys(sorted(sentence_pairs(t)))
+    pairs_of = list(pairs)[:most_pairs]
     bags = [sorted(text_units(t)) for t in texts]
     y = np.array(toxic, bool)
     if y.all() or not y.any():
@@ -204,20 +224,26 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = 192, rounds: int
         negative = np.unique(np.concatenate((hard, frequent, others)))
         if not len(positive) or not len(negative):
             return None
+        odd_pairs = [pairs_of[i] for i in np.argsort(-pair_scores, kind="stable")[: most // 2]] if table is not None else []
         pos = [names[i] for i in positive]
         marks = pos[: landmarks // 2]
         marks += [names[i] for i in (*hard[: landmarks // 4], *rng.permutation(negative)[: landmarks - len(marks) - landmarks // 4])]
         marks = list(dict.fromkeys(u for u in marks if unit_scores([u], np.ones(SIZE**3, np.float32))[0] > 0))
         if not marks:
             return None
-        units = pos + _gapped(pos, rng) + [names[i] for i in negative]
-        sign = np.array([1.0] * (2 * len(pos)) + [-1.0] * len(negative))
+        against = [names[i] for i in negative] + odd_pairs
+        units = pos + _gapped(pos, rng) + against
+        sign = np.array([1.0] * (2 * len(pos)) + [-1.0] * len(against))
         power = np.array([witness[i] for i in positive], float) ** 0.5
-        power = np.concatenate((power, 0.5 * power, np.ones(len(negative))))
-        power[sign > 0] *= 0.5 * len(negative) / power[sign > 0].sum()
+        power = np.concatenate((power, 0.5 * power, np.ones(len(against))))
+        power[sign > 0] *= 0.5 * len(against) / power[sign > 0].sum()
         table, bias = _fit(units, sign, power, marks)
-        scores = unit_scores(names, table) + bias
+        scores, pair_scores = unit_scores(names, table) + bias, unit_scores(pairs_of, table)
     best = np.array([scores[b].max() if len(b) else bias for b in bags])
+    two = [sorted(sentence_pairs(t)) for t in texts]
+    flat, owner = [p for x in two for p in x], np.repeat(np.arange(len(two)), list(map(len, two)))
+    for i in range(0, len(flat), 50_000):
+        np.maximum.at(best, owner[i : i + 50_000], unit_scores(flat[i : i + 50_000], table) + bias)
     slope, middle = _logistic(best, y)
     return {"table": table, "bias": bias, "slope": slope, "middle": middle}
 
@@ -237,6 +263,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(-beta[1] / slope)
 
 
+def _pairs_of(words: Words) -> np.ndarray:
+    """The first words of the pairs that are units, as sentence_pairs has them."""
+    size = words.end - words.start
+    a, b = size[:-1], size[1:]
+    ok = (words.doc[:-1] == words.doc[1:]) & (np.minimum(a, b) <= SHORT) & (np.maximum(a, b) > 1) & (a + b <= PAIR) & ~np.isin(words.buf[words.end[:-1] - 1], np.frombuffer(b".!?", np.uint8))
+    breaks = np.concatenate(([0], np.cumsum(words.buf == 10)))
+    at = np.flatnonzero(ok)
+    return at[breaks[words.start[at + 1]] == breaks[words.end[at]]]
+
+
 def _score(model: dict | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
@@ -259,6 +295,18 @@ def _score(model: dict | None):
                     at = np.flatnonzero(scores == worst[words.doc])
                     for j in at[np.unique(words.doc[at], return_index=True)[1]].tolist():
                         units[words.doc[j]] = names[inverse[j]]
+                two = _pairs_of(words)
+                if len(two):
+                    _, first, inverse_two = np.unique(mix(words.hash[two] + mix(words.hash[two + 1])), return_index=True, return_inverse=True)
+                    at_two = two[first]
+                    joined = [f"{raw[s:e].decode()} {raw[t:f].decode()}" for s, e, t, f in zip(words.start[at_two].tolist(), words.end[at_two].tolist(), words.start[at_two + 1].tolist(), words.end[at_two + 1].tolist())]
+                    got = unit_scores(joined, model["table"])[inverse_two]
+                    top = np.full(n, -np.inf)
+                    np.maximum.at(top, words.doc[two], got)
+                    at = np.flatnonzero((got == top[words.doc[two]]) & (got > worst[words.doc[two]]))
+                    for j in at[np.unique(words.doc[two[at]], return_index=True)[1]].tolist():
+                        units[words.doc[two[j]]] = joined[inverse_two[j]]
+                    worst = np.maximum(worst, top)
                 lone = np.fromiter(map(len, names), np.int64, len(names))[inverse] == 1 if len(size) else np.zeros(0, bool)
                 begin = np.flatnonzero(lone & np.concatenate(([True], ~lone[:-1] | (words.doc[1:] != words.doc[:-1])))) if len(lone) else []
                 for s in begin:
@@ -290,7 +338,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, sample_ch
         return None
     key = F.xxhash64("doc_id", F.lit(7))
     share = F.when(F.col("toxic"), min(1.0, 1.2 * sample_docs / many[True])).otherwise(min(1.0, 1.2 * sample_docs / many[False]))
-    picked = mark.where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20)).limit(4 * sample_docs)  # expected: 2.4 times sample_docs
+    picked = mark.where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20)).orderBy(key, "doc_id").limit(4 * sample_docs)  # a bound; expected are 2.4 times sample_docs
     text = F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, sample_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(picked), "doc_id").select(key.alias("key"), "toxic", "text").collect()
     rows = sorted(rows, key=lambda r: (r["toxic"], r["key"], r["text"]))

@@ -53,14 +53,14 @@ def talk(n, seed):
 
 def test_held_out_accuracy_and_gaps(spark):
     rows, labels = talk(700, 3)
-    odd = [(9000, "well you are an id-iot said he", "en", "s", 0), (9001, "well you are an i d i o t said he", "en", "s", 0), (9002, "he is a m0ron and so on", "en", "s", 0)]
+    odd = [(9000, "well you are an id-iot said he", "en", "s", 0), (9001, "well you are an i d i o t said he", "en", "s", 0), (9002, "he is a m0ron and so on", "en", "s", 0), (9003, "well you id iot said he", "en", "s", 0), (9004, "so stu pid of him", "en", "s", 0), (9005, "that pathetic scumbag of a man", "en", "s", 0)]
     docs = spark.createDataFrame(rows + odd + awkward(5000), SCHEMA)
     model = toxicity.learn(docs, spark.createDataFrame(labels + [(None, 1, 1)], "doc_id long, quality int, toxic int"))
     out = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
     held = [i for i, _, _ in labels if out[i]["held_out"]]
     truth = {i: t for i, _, t in labels}
     assert np.mean([(out[i]["score"] >= 0.3) == bool(truth[i]) for i in held]) > 0.97
-    assert all(out[i]["score"] >= 0.3 for i in (9000, 9001, 9002))
+    assert all(out[i]["score"] >= 0.3 for i in range(9000, 9006))
     assert all(0 <= r["score"] <= 1 for r in out.values()) and out[5000]["score"] < 0.3
     assert toxicity.score_toxicity(docs.limit(0), model).collect() == []
     assert {r["score"] for r in toxicity.score_toxicity(docs, None).collect()} == {0.0}
@@ -237,3 +237,14 @@ def test_responses_of_warc_files(spark, tmp_path):
     assert by["<urn:uuid:1>", "metadata"]["block"] == "title: Été\r\nlanguage: fr\r\ncharset: iso-8859-1\r\noutlinks: 0\r\n"
     assert by["<urn:uuid:2>", "conversion"]["block"] == "zipped" and by["<urn:uuid:3>", "conversion"]["block"] == "one"
     assert "X-Source-HTTP-Status: 404" in by["<urn:uuid:2>", "metadata"]["headers"]
+
+
+def test_pairs_of_words_are_those_of_a_sentence():
+    from tablewarden.llm.words import Words
+
+    texts = ["you id iot. of no use\nto me, a b verylongword it", None, "x", "stu pid of", "ünd so é"]
+    words = Words(pa.array(texts))
+    raw = words.buf.tobytes()
+    got = [(int(words.doc[i]), f"{raw[words.start[i]:words.end[i]].decode()} {raw[words.start[i + 1]:words.end[i + 1]].decode()}".lower()) for i in toxicity._pairs_of(words)]
+    assert sorted(set(got)) == sorted((d, p) for d, t in enumerate(texts) for p in toxicity.sentence_pairs(t or ""))
+    assert (0, "id iot.") in got and (0, "iot. of") not in got and (0, "use to") not in got
