@@ -7,7 +7,7 @@ hexadecimal digits, and the chance that such bits agree by accident is taken out
 
 Defined results: a null text is an empty one; a text without words has an empty fingerprint, which is like another
 empty one (1) and like nothing else (0); one of 1 to 4 words is one shingle; the last document's next one is the
-first; of one document alone, itself; rows that share an id follow each other in the order of their texts; a null
+first; of one document alone, itself; rows that share an id follow each other in the order of their texts' hashes; a null
 id comes first; a table without rows gives none; extra columns are ignored.
 """
 
@@ -78,14 +78,35 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(rest)
 
 
+#: Quantiles of the ids that place a row among all.
+QUANTILES = 512
+
+
+def bucket_of(rows: DataFrame) -> Column:
+    """Buckets of about as many neighbouring rows (doc_id, h) as there are buckets, by rank: exact at quantiles of the ids, and
+    in proportion between two. Null ids come first, by hash. Only the quantiles come to the driver."""
+    shares = [i / QUANTILES for i in range(QUANTILES + 1)] + [1 - 10.0**-i for i in (3, 4)]
+    known, n = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, sorted(shares))), F.lit(100 * QUANTILES)), F.count("*")).first()
+    at, share = [], []
+    for x, s in zip(known or [0], sorted(shares)):
+        if not at or x > at[-1]:
+            at.append(x), share.append(s)
+    bounds, ranks = F.array(*map(F.lit, at)), F.array(*map(F.lit, share))
+    i = F.greatest(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))) - 1, F.lit(0))  # the segment
+    low, high = F.get(bounds, i), F.coalesce(F.get(bounds, i + 1), F.get(bounds, i) + 1)
+    part = (F.col("doc_id") - low).cast("double") / (high - low).cast("double")
+    rank = F.get(ranks, i) + part * (F.coalesce(F.get(ranks, i + 1), F.lit(1.0)) - F.get(ranks, i))
+    many = max(1, int(n**0.5))
+    null = F.floor(F.col("h").cast("double") / 2.0**64 * many).cast("long") - many  # below all others
+    return F.when(F.col("doc_id").isNull(), null).otherwise(F.floor(rank * many).cast("long"))
+
+
 def in_buckets(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, h) in buckets of neighbouring ids, about as many as each holds, with a copy (extra) of the
     row that follows the bucket's last: the next bucket's first, after the last bucket the first one's."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, int(((high or 0) - (low or 0) + 1) / max(1.0, n**0.5)))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = rows.withColumn("bucket", bucket).withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("bucket", bucket_of(rows.select("doc_id", "h")))
     heads = written(rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("head")), "heads")
     order = W.orderBy("bucket")
     before = F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))

@@ -52,39 +52,32 @@ class Mix:
 
 def water_fill(budget: float, weights: list[float], room: list[float]) -> list[float]:
     """Shares of budget by weight, none above its room; what is too much for one goes to the others."""
-    out, open_ = [0.0] * len(weights), [i for i, w in enumerate(weights) if w > 0]
-    while open_ and budget > 0:
-        unit = budget / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * unit >= room[i]]
-        if not full:
-            for i in open_:
-                out[i] = weights[i] * unit
-            return out
-        for i in full:
-            out[i] = room[i]
-            budget -= room[i]
-        open_ = [i for i in open_ if i not in full]
+    out, total = [0.0] * len(weights), sum(w for w in weights if w > 0)
+    for i in sorted((i for i, w in enumerate(weights) if w > 0), key=lambda i: room[i] / weights[i]):  # the first to be full comes first
+        out[i] = min(room[i], weights[i] * budget / total) if budget > 0 and total > 0 else 0.0
+        budget, total = budget - out[i], total - weights[i]
     return out
 
 
 def budgets(tokens: dict[Path, int], mix: Mix, total: float) -> dict[Path, float]:
-    """The token budget of each leaf."""
-
-    def usable(path: Path) -> float:
-        return tokens[path] * mix.max_epochs if mix.wants(path) else 0.0
-
-    def share(prefix: Path, budget: float) -> dict[Path, float]:
-        below = [p for p in tokens if p[: len(prefix)] == prefix]
-        if below == [prefix]:
-            return {prefix: budget}
-        children = sorted({p[: len(prefix) + 1] for p in below})
-        room = [sum(usable(p) for p in below if p[: len(c)] == c) for c in children]
-        out: dict[Path, float] = {}
-        for child, b in zip(children, water_fill(budget, [mix.weight(c) for c in children], room)):
-            out |= share(child, b)
-        return out
-
-    return share((), total) if tokens else {}
+    """The token budget of each leaf: room is summed up the tree in one pass, and budgets go down in another."""
+    room: dict[Path, float] = {}
+    children: dict[Path, set[Path]] = {}
+    for path, n in tokens.items():
+        usable = n * mix.max_epochs if mix.wants(path) else 0.0
+        for i in range(len(path) + 1):
+            room[path[:i]] = room.get(path[:i], 0.0) + usable
+            if i:
+                children.setdefault(path[: i - 1], set()).add(path[:i])
+    out: dict[Path, float] = {}
+    todo = [((), total)] if tokens else []
+    while todo:
+        prefix, budget = todo.pop()
+        below = sorted(children.get(prefix, ()))
+        if not below:
+            out[prefix] = budget
+        todo += zip(below, water_fill(budget, [mix.weight(c) for c in below], [room[c] for c in below]))
+    return out
 
 
 def word_tokens(text: str = "text") -> Column:

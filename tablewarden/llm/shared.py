@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,8 +15,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder for written stage tables where the session names no spark.checkpoint.dir (tests only).
-FALLBACK_DIR = "/tmp/checkpoints/tablewarden"
 #: Bytes of an Arrow batch that Spark hands to a Python worker.
 BATCH_BYTES = 8 << 20
 
@@ -32,11 +31,20 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of this machine, but only if all of Spark runs on it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
+    return root.rstrip("/")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a stage in the shared folder and read it back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
