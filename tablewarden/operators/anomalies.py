@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablewarden.functions import cells as C
-from tablewarden.plans.tables import share_package
+from tablewarden.plans.tables import leading, share_package
 
 CANDIDATE = ("row_id", "column", "value", "detector", "error_type", "score", "suggested_fix")
 
@@ -99,8 +99,8 @@ def vocabulary_noise(df: DataFrame, column: str, ratio: float = 10, most: float
     single = near.groupBy("rare").agg(F.count("*").alias("k"), F.first("anchor").alias("anchor"), F.first("anchor_n").alias("anchor_n"), F.first("n").alias("n")).where("k = 1")
     total = values.agg(F.sum("n").alias("total"))
     cells = df.join(single, F.col(column) == F.col("rare")).select("row_id", F.col(column).alias("value"), (F.col("anchor_n") / F.col("n")).alias("ratio"), "anchor")
-    nth = cells.withColumn("nth", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("ratio"), "row_id")))  # rare cells alone, a share of which is reported
-    return nth.join(F.broadcast(total)).where(F.col("nth") <= F.floor(most * F.col("total"))).select("row_id", F.lit(column).alias("column"), "value", F.col("anchor").alias("suggested_fix"), F.round("ratio", 6).alias("ratio"))
+    first = leading(cells.join(F.broadcast(total)).withColumn("column", F.lit(column)), ["column"], F.col("ratio"), F.floor(most * F.col("total")))  # total is one row
+    return first.select("row_id", "column", "value", F.col("anchor").alias("suggested_fix"), F.round("ratio", 6).alias("ratio"))
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -203,33 +203,46 @@ def bursts(df: DataFrame, column: str, min_rows: int = 100, min_count: int = 15,
     return _candidates(df.select("row_id", F.col(column).alias("value")).join(hit, "value"), column, "value_burst", "VAD", F.col("score"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
-    """query_id, vec_id, distance, nth: the k nearest vectors (columns vec_id, embedding) of each query, itself left out. Exact.
+def _packed_blocks(size: int):
+    """Vectors as rows of up to `size` of them."""
 
-    Queries go to the executors in blocks of bounded size; each partition keeps its k nearest and these are merged.
-    """
-    n = queries.count()
-    numbered = queries.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // block) or 1)).alias("block"))
-    out = None
-    for b in range(-(-n // block) or 1):
-        rows = numbered.where(F.col("block") == b).collect()
-        ids, mat = np.array([r["vec_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64)
-
-        def local(batches: Iterator[pa.RecordBatch], ids=ids, mat=mat) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                theirs = batch.column("vec_id").to_numpy()
-                flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                for i, q in zip(ids, mat):
-                    d = np.sqrt(((flat - q) ** 2).sum(axis=1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, size):
+                part = batch.slice(i, size)
+                flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("vec_id").to_numpy().astype("<i8").tobytes()]), pa.array([flat.tobytes()])], ["ids", "flat"])
+
+    return run
+
+
+def _nearest_of_blocks(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine, theirs = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+                q, v = np.frombuffer(row["q_flat"], "<f8").reshape(len(mine), -1), np.frombuffer(row["flat"], "<f8").reshape(len(theirs), -1)
+                found = []
+                for i, x in zip(mine, q):
+                    d = np.sqrt(((v - x) ** 2).sum(axis=1))
                     d[theirs == i] = np.inf
                     best = np.lexsort((theirs, d))[:k]
                     best = best[np.isfinite(d[best])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), i)), pa.array(theirs[best]), pa.array(d[best])], ["query_id", "vec_id", "distance"])
+                    found.append((np.full(len(best), i), theirs[best], d[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "distance"])
 
-        got = vectors.select("vec_id", "embedding").mapInArrow(local, "query_id long, vec_id long, distance double")
-        out = got if out is None else out.unionByName(got)
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+    """query_id, vec_id, distance, nth: the k nearest vectors (columns vec_id, embedding) of each query, itself left out. Exact.
+
+    Blocks of queries meet blocks of vectors on the executors; of each pair of blocks a query keeps its k nearest, and these are merged.
+    """
+    share_package(vectors.sparkSession)
+    packed = lambda df: df.where("vec_id is not null and embedding is not null").select("vec_id", "embedding").mapInArrow(_packed_blocks(block), "ids binary, flat binary")
+    pairs = packed(queries).select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat")).crossJoin(packed(vectors))  # of blocks
+    out = pairs.mapInArrow(_nearest_of_blocks(k), "query_id long, vec_id long, distance double")
     at = W.partitionBy("query_id").orderBy("distance", "vec_id")
     return out.withColumn("nth", F.row_number().over(at)).where(F.col("nth") <= k)
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import itertools
 import json
 import re
 from dataclasses import asdict, dataclass, field
@@ -236,25 +237,51 @@ def decisions(evidence: DataFrame, threshold: float = 0.5, low: float = 0.35, hi
     return out.select("row_id", "column", (F.col("error_score") >= threshold).alias("is_error"), "error_score", kind.alias("error_type"), unsure.alias("low_confidence"), F.when(F.col("raw").isNotNull(), F.col("primary.suggested_fix")).alias("suggested_fix"))
 
 
-def localised(df: DataFrame, lhs: str, rhs: str, anchors: list[str], min_support: int = 3, share: float = 0.9, most: float = 0.5) -> DataFrame:
-    """Which side of a broken dependency is wrong, by what rows with the same anchor value have.
+def localised(df: DataFrame, lhs: str, rhs: str, anchors: list[str], min_support: int = 3, share: float = 0.9, most: float = 0.5, most_anchors: int = 12, supported: bool = False) -> DataFrame:
+    """Which side of a dependency is wrong, by what other rows with the same value of an anchor column, or of two, have.
 
-    For each anchor column the modal (lhs, rhs) of its groups is counted once; a row that differs from it in one
-    participant names that one. row_id, side (lhs, rhs or unresolved), fix.
+    For each anchor group the (lhs, rhs) of its rows is counted once; for a row, the others' most frequent one counts if it
+    has a share of `share` of them. row_id, side (lhs, rhs or unresolved), fix, and status: localized (one participant
+    differs from it), context_supports_original (none does), multiple_participants_differ, or conflicting_context where
+    groups say different things. Rows that no group says anything about are left out and, unless `supported`, those whose
+    context supports the original.
     """
+    single = [(a,) for a in anchors[:most_anchors]]
+    every = [*single, *itertools.combinations(anchors[:most_anchors], 2)]
+    key = lambda names: F.when(reduce(lambda x, n: x & ~C.is_blank(F.col(n)), names, F.lit(True)), F.to_json(F.array(*(F.col(n).cast("string") for n in names))))
     pair = F.to_json(F.struct(F.col(lhs).alias("l"), F.col(rhs).alias("r")))
-    rows = df.select("row_id", pair.alias("pair"), F.col(lhs).alias("l"), F.col(rhs).alias("r"), F.inline(F.array(*(F.struct(F.lit(a).alias("anchor"), F.col(a).cast("string").alias("at")) for a in anchors)))).where(~C.is_blank(F.col("at")))
+    rows = df.select("row_id", pair.alias("pair"), F.col(lhs).alias("l"), F.col(rhs).alias("r"), F.inline(F.array(*(F.struct(F.lit("|".join(a)).alias("anchor"), key(a).alias("at")) for a in every)))).where("at is not null")
     counts = rows.groupBy("anchor", "at", "pair", "l", "r").agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("total"))
+    total = df.agg(F.count("*").alias("total"))  # one row
     tops = counts.groupBy("anchor", "at").agg(F.max(F.struct("n", "pair", "l", "r")).alias("t"), F.sum("n").alias("size"))
     peers = rows.join(tops, ["anchor", "at"]).join(F.broadcast(total))
-    other = F.col("pair") != F.col("t.pair")
+    same = F.col("pair") == F.col("t.pair")
     left = F.col("size") - 1
-    sure = (left >= min_support) & (F.col("size") <= most * F.col("total")) & (F.col("t.n") / left >= share) & other
-    side = F.when(~F.col("l").eqNullSafe(F.col("t.l")) & F.col("r").eqNullSafe(F.col("t.r")), "lhs").when(F.col("l").eqNullSafe(F.col("t.l")), "rhs").otherwise("unresolved")
-    votes = peers.where(sure).select("row_id", side.alias("side"), F.when(side == "lhs", F.col("t.l")).when(side == "rhs", F.col("t.r")).alias("fix"))
-    out = votes.groupBy("row_id").agg(F.count_distinct("side", F.coalesce("fix", F.lit(""))).alias("k"), F.min("side").alias("side"), F.min("fix").alias("fix"))
-    return out.select("row_id", F.when(F.col("k") == 1, F.col("side")).otherwise("unresolved").alias("side"), F.when(F.col("k") == 1, F.col("fix")).alias("fix"))
+    sure = (left >= min_support) & (left <= most * F.col("total")) & (F.when(same, F.col("t.n") - 1).otherwise(F.col("t.n")) / left >= share)
+    same_l, same_r = F.col("l").eqNullSafe(F.col("t.l")), F.col("r").eqNullSafe(F.col("t.r"))
+    target = F.when(same, "none").when(~same_l & same_r, "lhs").when(same_l, "rhs").otherwise("both")
+    votes = peers.where(sure).select("row_id", target.alias("target"), F.when(target == "lhs", F.col("t.l")).when(target == "rhs", F.col("t.r")).alias("fix"))
+    out = votes.groupBy("row_id").agg(F.min("target").alias("target"), F.max("target").alias("other"), F.min("fix").alias("fix"))
+    one = F.col("target") == F.col("other")
+    status = F.when(~one, "conflicting_context").when(F.col("target") == "none", "context_supports_original").when(F.col("target") == "both", "multiple_participants_differ").otherwise("localized")
+    found = status == "localized"
+    return out.select("row_id", F.when(found, F.col("target")).otherwise("unresolved").alias("side"), F.when(found, F.col("fix")).alias("fix"), status.alias("status")).where(F.lit(supported) | (F.col("status") != "context_supports_original"))
+
+
+def with_localisation(evidence: DataFrame, places: DataFrame, lhs: str, rhs: str, constraint_ids: list[str]) -> DataFrame:
+    """The evidence of a dependency's constraints after localisation (row_id, side, fix, status; with `supported`), with counterevidence.
+
+    The localised participant is a violation with the context's fix; the other one, and both where the context
+    supports the original, keep a quarter of their reliability and count as having counter-evidence.
+    """
+    mine = F.col("constraint_id").isin(*constraint_ids) & (F.col("family") == "relation")
+    side = F.when(F.col("_side") == "lhs", lhs).when(F.col("_side") == "rhs", rhs)
+    both = evidence.join(places.select("row_id", F.col("side").alias("_side"), F.col("fix").alias("_fix"), F.col("status").alias("_status")), "row_id", "left")
+    hit = mine & (F.col("_status") == "localized") & (side == F.col("column"))
+    against = mine & (F.col("status") == "violation") & ((F.col("_status") == "context_supports_original") | ((F.col("_status") == "localized") & (side != F.col("column"))))
+    hit, against = F.coalesce(hit, F.lit(False)), F.coalesce(against, F.lit(False))
+    new = {"status": F.when(hit, "violation").otherwise(F.col("status")), "score": F.when(hit, 0.9).otherwise(F.col("score")), "suggested_fix": F.when(hit, F.col("_fix")).otherwise(F.col("suggested_fix")), "reliability": F.when(against, F.col("reliability") * 0.25).otherwise(F.col("reliability"))}
+    return both.select(*(new.get(c, F.col(c)).alias(c) for c in evidence.columns), against.alias("counterevidence"))
 
 
 def local_program(df: DataFrame, columns: list[str], confidence: float = 0.9) -> list[Constraint]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablewarden.functions import cells as C
-from tablewarden.plans.tables import counted, majority, pairs
+from tablewarden.plans.tables import counted, leading, majority, pairs
 
 #: How much each detector's score counts, and to which family it belongs (fixed values).
 WEIGHTS = {"strong_rule": 1.0, "approx_fd": 0.9, "approx_fd_medium": 0.5, "reconstruction": 0.85, "numeric_format": 0.85, "categorical_typo": 0.8, "typo": 0.8, "neighbor_consistency": 0.75, "pattern_outlier": 0.6, "statistical": 0.6, "format_cluster": 0.6, "value_burst": 0.6, "secondary_format": 0.5}
@@ -136,6 +136,6 @@ def propagated_fixes(judged_cells: DataFrame) -> DataFrame:
 
 def refined_dirty(dirty: DataFrame, judged_cells: DataFrame, n_rows: int, sure: float = 0.6, most: float = 0.05) -> DataFrame:
     """The dirty cells after judgment: sure errors are added, up to a share of each column; sure rejections are taken out."""
-    wrong = judged_cells.where(F.col("is_error") & (F.col("confidence") >= sure)).withColumn("nth", F.row_number().over(W.partitionBy("column").orderBy(F.desc("confidence"), "row_id"))).where(F.col("nth") <= int(most * n_rows)).select("row_id", "column")
+    wrong = leading(judged_cells.where(F.col("is_error") & (F.col("confidence") >= sure)), ["column"], F.col("confidence"), F.lit(int(most * n_rows))).select("row_id", "column")
     right = judged_cells.where(~F.col("is_error") & (F.col("confidence") >= sure) & ~F.col("error_type").isin("MV", "DMV")).select("row_id", "column")
     return dirty.join(right, ["row_id", "column"], "left_anti").unionByName(wrong).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -44,6 +45,19 @@ def at_most(df: DataFrame, n: int, keys: list[str], *order: Column) -> DataFrame
     return df.withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_nth") <= n).drop("_nth")
 
 
+def leading(df: DataFrame, keys: list[str], score: Column, most: Column, block: int = 100_000) -> DataFrame:
+    """Of each key the rows of highest score, the smallest row_id first among equals, up to `most` (a column of each row).
+
+    Rows are counted by score and block of row_ids; only a block's rows of one score are ranked in one task.
+    """
+    rows = df.withColumn("_score", score).withColumn("_most", most).withColumn("_block", F.floor(F.col("row_id") / block))
+    counts = rows.groupBy(*keys, "_score", "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy(F.desc("_score"), "_block")) - F.col("_n")
+    counts = counts.withColumn("_before", before).drop("_n")
+    nth = F.row_number().over(W.partitionBy(*keys, "_score", "_block").orderBy("row_id"))
+    return rows.join(counts, [*keys, "_score", "_block"]).withColumn("_nth", nth + F.col("_before")).where(F.col("_nth") <= F.col("_most")).drop("_score", "_most", "_block", "_before", "_nth")
+
+
 def errors(df: DataFrame, error_type: str, rule: str, fix: Column | None = None, confidence: float | None = None, severity: str = "high") -> DataFrame:
     """Cells as findings."""
     return df.select("row_id", "column", "value", F.lit(error_type).alias("error_type"), F.lit(rule).alias("rule"), (F.lit(None) if fix is None else fix).cast("string").alias("suggested_fix"), F.lit(confidence).cast("double").alias("confidence"), F.lit(severity).alias("severity"))
@@ -58,7 +72,11 @@ def share_package(spark: SparkSession) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table that many plans read, as Parquet in the folder that all executors share (spark.checkpoint.dir)."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tablewarden"  # unset in tests only
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

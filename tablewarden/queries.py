@@ -213,7 +213,17 @@ def fd_stability(spark, sf_dir):
     return dependencies.stability(view(spark, sf_dir, "customers"), "nationkey", "nation")
 
 
-@query()
+def _conditional_sql(columns: list[str], conditions: list[str], gain: float, confidence: float, min_support: int = 30, top: int = 10) -> str:
+    scoped = " UNION ALL ".join(f"SELECT '{c}' AS \"on\", {c} AS \"is\", row_id AS r FROM customers WHERE NOT {blank(c)}" for c in conditions)
+    tops = lambda keys: f"SELECT {keys}, a, max(n) AS top_n, sum(n) AS size, arg_max(b, {{'n': n, 'f': -f}}) AS top FROM (SELECT {keys}, a, b, count(*) AS n, min(row_id) AS f FROM j GROUP BY ALL) GROUP BY ALL"
+    return f"""{view_sql('customers')}, p AS ({paired('customers', columns)}), c AS ({scoped}), u AS (SELECT "on", "is" FROM c GROUP BY "on", "is" HAVING count(*) >= {min_support} QUALIFY row_number() OVER (PARTITION BY "on" ORDER BY count(*) DESC, "is") <= {top}),
+j AS (SELECT * FROM c JOIN u USING ("on", "is") JOIN p ON r = p.row_id WHERE "on" <> lhs AND "on" <> rhs), g AS ({tops('"on", "is", lhs, rhs')}),
+l AS (SELECT "on", "is", lhs, rhs, sum(top_n) / sum(size) AS confidence, CAST(sum(CASE WHEN size >= 5 AND top_n / size >= {confidence} THEN size ELSE 0 END) AS BIGINT) AS support, count(DISTINCT CASE WHEN size >= 5 AND top_n / size >= {confidence} THEN top END) AS dependents FROM g GROUP BY ALL),
+o AS (SELECT lhs, rhs, sum(top_n) / sum(size) AS overall FROM (SELECT lhs, rhs, a, max(n) AS top_n, sum(n) AS size FROM (SELECT lhs, rhs, a, b, count(*) AS n FROM p GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)
+SELECT "on", "is", lhs, rhs, round(confidence, 6) AS confidence, round(overall, 6) AS overall, support FROM l JOIN o USING (lhs, rhs) WHERE confidence >= {confidence} AND dependents >= 2 AND confidence - overall >= {gain}"""
+
+
+@query(_conditional_sql(["nationkey", "nation", "region"], ["segment", "note"], 0.001, 0.9))
 def cfd_variable(spark, sf_dir):
     out = dependencies.conditional(view(spark, sf_dir, "customers"), ["nationkey", "nation", "region"], ["segment", "note"], gain=0.001, confidence=0.9)
     return out.select("on", "is", "lhs", "rhs", F.round("confidence", 6).alias("confidence"), F.round("overall", 6).alias("overall"), "support")
@@ -593,15 +603,64 @@ ORDER_PROGRAM = [
     constraints.Constraint("compare", ("low_day", "high_day"), ("low_day", "high_day")),
     constraints.Constraint("arithmetic", ("qty", "price", "total"), ("total",), params={"expression": "qty * price - total"}),
     constraints.Constraint("statistical", ("total",), ("total",), params={"z": 6}),
-    constraints.Constraint("temporal", ("day", "day"), ("day",)),
+    constraints.Constraint("temporal", ("day", "due"), ("day",)),
 ]
 
 
+def _evidence_sql(table: str, c: constraints.Constraint, target: str, kind: str, bad: str, fix: str = "CAST(NULL AS VARCHAR)", support: str | None = None, source: str | None = None, scope: str = "true") -> str:
+    """One constraint's evidence on one target. bad is null where it abstains; support without a value counts the rows in scope."""
+    n = f"CASE WHEN {bad} IS NULL THEN 0 ELSE (SELECT count(*) FROM {table} WHERE {scope}) END" if support is None else f"coalesce({support}, 0)"
+    family = {"missing": "missing", "dmv": "missing", "duplicate": "format", "normalize": "semantic", "regex": "format", "type": "format", "range": "domain", "statistical": "statistical", "neighbor": "neighbor"}.get(c.operator, "relation")
+    return f"""SELECT row_id, '{target}' AS "column", '{c.id}' AS constraint_id, '{c.operator}:{c.id}' AS source_group, '{family}' AS family, CASE WHEN {bad} IS NULL THEN 'abstain' WHEN {bad} THEN 'violation' ELSE 'check_passed' END AS status, CASE WHEN {bad} THEN 0.9 ELSE 0.0 END AS score, '{kind}' AS error_type,
+CASE WHEN {bad} THEN {fix} END AS suggested_fix, CAST({n} AS BIGINT) AS support, round(least(0.95, 0.5 + 0.45 * {n} / ({n} + 20)), 6) AS reliability FROM {source or table}"""
+
+
+def _peers_sql(name: str, rows: str, key: str, value: str, confidence: float = 0.9) -> str:
+    """CTEs that end in {name}: row_id, bad, peer_top, support of each row with a key and a value, against the others of its key."""
+    return f"""{name}_t AS (SELECT row_id, {key} AS k, {value} AS v FROM {rows} WHERE NOT {blank(key)} AND NOT {blank(value)}), {name}_g AS (SELECT k, v, count(*) AS n, min(row_id) AS f FROM {name}_t GROUP BY ALL),
+{name}_l AS (SELECT t.row_id, t.v AS own, g.v, CASE WHEN g.v = t.v THEN g.n - 1 ELSE g.n END AS n, g.f, sum(g.n) OVER (PARTITION BY t.row_id) - 1 AS support FROM {name}_t t JOIN {name}_g g USING (k)), {name}_b AS (SELECT * FROM {name}_l QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, f) = 1),
+{name} AS (SELECT row_id, CASE WHEN support >= 3 AND n / support >= {confidence} THEN own <> v END AS bad, CASE WHEN support >= 3 AND n / support >= {confidence} THEN v END AS peer_top, support FROM {name}_b)"""
+
+
+def _customer_program_sql() -> str:
+    c = CUSTOMER_PROGRAM
+    unless = lambda col, test: f"CASE WHEN NOT {blank(col)} THEN {test} END"
+    parts = "list_transform(string_split(name, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))"
+    own = [
+        _evidence_sql("customers", c[0], "nation", "MV", blank("nation")),
+        _evidence_sql("customers", c[1], "region", "DMV", unless("region", f"lower(regexp_replace(region, '^\\s+|\\s+$', '', 'g')) IN {DEFAULT_TOKENS_SQL}"), "''"),
+        _evidence_sql("customers", c[2], "name", "FI", unless("name", f"len({parts}) > 1 AND {parts}[1] <> '' AND len(list_distinct({parts})) = 1"), f"{parts}[1]"),
+        _evidence_sql("customers", c[3], "segment", "FI", unless("segment", "upper(segment) <> segment"), "upper(segment)"),
+        _evidence_sql("customers", c[4], "nation", "FI", unless("nation", "NOT regexp_full_match(nation, 'NATION_\\d+')")),
+        _evidence_sql("customers", c[5], "nationkey", "FI", unless("nationkey", "NOT regexp_full_match(nationkey, '\\d+')")),
+        _evidence_sql("customers", c[6], "nationkey", "FI", unless("nationkey", "CAST(nationkey AS INTEGER) NOT BETWEEN 0 AND 24")),
+        _evidence_sql("customers", c[7], "nationkey", "VAD", unless("nationkey", "bad"), support="support", source="customers LEFT JOIN fd USING (row_id)"),
+        _evidence_sql("customers", c[7], "nation", "VAD", unless("nation", "bad"), "peer_top", "support", "customers LEFT JOIN fd USING (row_id)"),
+        _evidence_sql("customers", c[8], "region", "OTHER", unless("region", "bad"), "peer_top", "support", "customers LEFT JOIN nb USING (row_id)"),
+    ]
+    return f"{view_sql('customers')}, {_peers_sql('fd', 'customers', 'nationkey', 'nation')}, building AS (SELECT * FROM customers WHERE segment = 'BUILDING'), {_peers_sql('nb', 'building', 'nationkey', 'region')}, ev AS ({' UNION ALL '.join(own)}) "
+
+
+_EV = _customer_program_sql()
+
+
+def _order_program_sql() -> str:
+    c, num = ORDER_PROGRAM, "TRY_CAST({} AS DOUBLE)"
+    low, high, qty, price, total = (num.format(x) for x in ("low_day", "high_day", "qty", "price", "total"))
+    date = "coalesce(try_strptime({0}, '%Y-%m-%d'), try_strptime({0}, '%m/%d/%Y'))"
+    parts = [_evidence_sql("dated", c[0], t, "VAD", f"{low} > {high}") for t in ("low_day", "high_day")]
+    parts.append(_evidence_sql("dated", c[1], "total", "VAD", f"abs({qty} * {price} - {total}) > 1e-6"))
+    parts.append(_evidence_sql("dated", c[2], "total", "OTHER", f"abs({total} - median) / mad > 6", "CAST(median AS VARCHAR)", "n", "dated, spread"))
+    parts.append(_evidence_sql("dated", c[3], "day", "VAD", f"{date.format('day')} > {date.format('due')}"))
+    spread = f"middle AS (SELECT quantile_cont({total}, 0.5) AS median, stddev_pop({total}) AS sd, count({total}) AS n FROM dated), spread AS (SELECT median, n, greatest(1.4826 * quantile_cont(abs({total} - median), 0.5), 0.1 * any_value(sd), 1e-6) AS mad FROM dated, middle GROUP BY median, n)"
+    return f"{view_sql('orders_table')}, dated AS (SELECT *, CASE WHEN row_id % 173 = 0 THEN '1990-01-01' ELSE day END AS due FROM orders_table), {spread}, ev AS ({' UNION ALL '.join(parts)}) SELECT * FROM ev WHERE status <> 'check_passed'"
+
+
 def _program_evidence(spark, sf_dir) -> DataFrame:
     return constraints.execute(view(spark, sf_dir, "customers"), CUSTOMER_PROGRAM)
 
 
-@query()
+@query(_EV + "SELECT * FROM ev")
 def constraint_evidence(spark, sf_dir):
     return _program_evidence(spark, sf_dir)
 
@@ -618,9 +677,10 @@ def constraint_status(spark, sf_dir):
     return _program_evidence(spark, sf_dir).where(F.col("constraint_id").isin(ids)).select("row_id", "column", "constraint_id", "status")
 
 
-@query()
+@query(_order_program_sql())
 def order_program(spark, sf_dir):
-    return constraints.execute(view(spark, sf_dir, "orders_table"), ORDER_PROGRAM).where("status <> 'check_passed'")
+    dated = view(spark, sf_dir, "orders_table").withColumn("due", F.when(F.col("row_id") % 173 == 0, "1990-01-01").otherwise(F.col("day")))
+    return constraints.execute(dated, ORDER_PROGRAM).where("status <> 'check_passed'")
 
 
 _LOO = f"""{view_sql('customers')}, t AS (SELECT row_id, nationkey AS k, nation AS v FROM customers WHERE NOT {blank('nation')} AND NOT {blank('nationkey')}), g AS (SELECT k, v, count(*) AS n, min(row_id) AS f FROM t GROUP BY ALL),
@@ -633,22 +693,27 @@ def leave_one_out(spark, sf_dir):
     return constraints.leave_one_out(view(spark, sf_dir, "customers"), ["nationkey"], "nation", confidence=0.8).select("row_id", "bad", "peer_top")
 
 
-@query()
+@query(_EV + """SELECT row_id, "column", family, round(avg(CASE WHEN status = 'violation' THEN score ELSE 0 END), 6) AS violation, round(avg(CASE WHEN status = 'violation' THEN 0.0 ELSE 1.0 END), 6) AS passed, round(avg(reliability), 6) AS reliability, round(avg(least(support / 50, 1.0)), 6) AS support, CAST(1.0 AS DOUBLE) AS coverage,
+CAST(CASE WHEN bool_or(status = 'violation') AND bool_or(status <> 'violation') THEN 1 ELSE 0 END AS DOUBLE) AS disagreement FROM ev WHERE status <> 'abstain' GROUP BY ALL""")
 def evidence_features(spark, sf_dir):
     return constraints.evidence_features(_program_evidence(spark, sf_dir))
 
 
-@query()
+@query(_EV + """, q AS (SELECT constraint_id, avg(CASE WHEN status = 'abstain' THEN 0.0 ELSE 1.0 END) AS coverage, avg(least(support / 50, 1.0)) FILTER (status <> 'abstain') AS support, avg(CASE WHEN status = 'violation' THEN 1.0 ELSE 0.0 END) FILTER (status <> 'abstain') AS p, count(*) FILTER (status <> 'abstain') AS n FROM ev GROUP BY 1)
+SELECT constraint_id, round(coverage, 6) AS coverage, round(coalesce(support, 0), 6) AS support, round(coalesce(greatest(0, 1 - 4 * sqrt(p * (1 - p) / n)), 0), 6) AS stability, CAST(0.0 AS DOUBLE) AS counterevidence FROM q""")
 def constraint_quality(spark, sf_dir):
     return constraints.constraint_quality(_program_evidence(spark, sf_dir))
 
 
-@query()
+@query(_EV + """, v AS (SELECT row_id, "column", error_type, suggested_fix, score * reliability AS w FROM ev WHERE status = 'violation' QUALIFY row_number() OVER (PARTITION BY row_id, "column" ORDER BY score * reliability DESC, constraint_id DESC) = 1), k AS (SELECT row_id, "column", count(DISTINCT CASE WHEN reliability >= 0.5 THEN family END) AS families FROM ev WHERE status <> 'abstain' GROUP BY ALL),
+d AS (SELECT k.*, round(coalesce(w, 0), 6) AS error_score, error_type, suggested_fix FROM k LEFT JOIN v USING (row_id, "column")) SELECT row_id, "column", error_score >= 0.5 AS is_error, error_score, coalesce(error_type, 'NONE') AS error_type, error_score BETWEEN 0.35 AND 0.65 OR families < 2 AS low_confidence, suggested_fix FROM d""")
 def cell_decisions(spark, sf_dir):
     return constraints.decisions(_program_evidence(spark, sf_dir))
 
 
-@query()
+@query(f"""{view_sql('customers')}, t AS (SELECT row_id, nationkey AS k, nation AS l, region AS r FROM customers WHERE NOT {blank('nationkey')}), g AS (SELECT k, l, r, count(*) AS n FROM t GROUP BY ALL), m AS (SELECT k, l AS tl, r AS tr, n AS top_n, sum(n) OVER (PARTITION BY k) AS size FROM g QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1),
+v AS (SELECT row_id, l IS NOT DISTINCT FROM tl AS same_l, r IS NOT DISTINCT FROM tr AS same_r, tl, tr, CASE WHEN l IS NOT DISTINCT FROM tl AND r IS NOT DISTINCT FROM tr THEN top_n - 1 ELSE top_n END / (size - 1) AS share FROM t JOIN m USING (k) WHERE size - 1 >= 3 AND size - 1 <= 0.5 * (SELECT count(*) FROM customers))
+SELECT row_id, CASE WHEN NOT same_l AND same_r THEN 'lhs' WHEN same_l AND NOT same_r THEN 'rhs' ELSE 'unresolved' END AS side, CASE WHEN NOT same_l AND same_r THEN tl WHEN same_l AND NOT same_r THEN tr END AS fix, CASE WHEN same_l OR same_r THEN 'localized' ELSE 'multiple_participants_differ' END AS status FROM v WHERE share >= 0.8 AND NOT (same_l AND same_r)""")
 def localised_errors(spark, sf_dir):
     return constraints.localised(view(spark, sf_dir, "customers"), "nation", "region", ["nationkey"], share=0.8)
 

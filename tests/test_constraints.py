@@ -75,3 +75,19 @@ def test_dense_output_and_decisions(spark):
     assert len(out) == 26
     wrong = {(r["row_id"], r["column"]) for r in out if r["is_error"]}
     assert (12, "city") in wrong
+
+
+def test_localisation_with_two_anchors_and_counterevidence(spark):
+    """No single anchor says enough, both together do; the participant that isn't to blame keeps a quarter of its reliability."""
+    rows = [(i, "A", "X", "one", "p") for i in range(4)] + [(4 + i, "C", "Z", "one", "q") for i in range(4)] + [(8 + i, "D", "W", "two", "p") for i in range(4)] + [(12, "A", "Q", "one", "p")]
+    df = spark.createDataFrame(rows, "row_id long, l string, r string, a string, b string")
+    assert [r["side"] for r in K.localised(df, "l", "r", ["a"]).collect()] == []
+    places = K.localised(df, "l", "r", ["a", "b"], supported=True)
+    got = {r["row_id"]: (r["side"], r["fix"], r["status"]) for r in places.collect()}
+    assert got[12] == ("rhs", "X", "localized") and got[4][2] == "context_supports_original" and 0 not in got
+    said = spark.createDataFrame([(12, c, "k", "k", "relation", s, 0.9, "VAD", None, 30, 0.8) for c, s in (("l", "violation"), ("r", "violation"))], "row_id long, column string, constraint_id string, source_group string, family string, status string, score double, error_type string, suggested_fix string, support long, reliability double")
+    after = {r["column"]: r for r in K.with_localisation(said, places, "l", "r", ["k"]).collect()}
+    assert after["r"]["suggested_fix"] == "X" and not after["r"]["counterevidence"] and after["r"]["reliability"] == 0.8
+    assert after["l"]["counterevidence"] and abs(after["l"]["reliability"] - 0.2) < 1e-9
+    verdict = {r["column"]: r["error_score"] for r in K.decisions(K.with_localisation(said, places, "l", "r", ["k"])).collect()}
+    assert verdict == {"r": 0.72, "l": 0.09}
