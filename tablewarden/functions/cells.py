@@ -16,9 +16,13 @@ UNITS = {"min": "minute", "mins": "minute", "minutes": "minute", "hr": "hour", "
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 
 
+#: Characters of white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(v: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
+    return F.btrim(v, F.lit(WHITE))
 
 
 def is_blank(v: Column, values: tuple[str, ...] = BLANK) -> Column:

@@ -137,9 +137,12 @@ def _in_scope(c: Constraint) -> Column:
     return reduce(lambda a, x: a & F.coalesce(F.col(x[0]) == x[1], F.lit(False)), c.conditions, F.lit(True))
 
 
-def _evidence(df: DataFrame, c: Constraint, target: str, bad: Column, fix: Column, support: Column) -> DataFrame:
+def _evidence(df: DataFrame, c: Constraint, target: str, bad: Column, fix: Column, support: Column, abstaining: bool = False) -> DataFrame:
+    """abstaining: whether a check that abstains has support. The check itself is a column of its own, so that it runs once."""
+    df = df.select("row_id", bad.alias("_bad"), fix.alias("_fix"), support.cast("long").alias("_support"))
+    bad, fix = F.col("_bad"), F.col("_fix")
     status = F.when(bad.isNull(), "abstain").when(bad, "violation").otherwise("check_passed")
-    n = F.coalesce(support, F.lit(0)).cast("long")
+    n = F.coalesce(F.col("_support") if abstaining else F.when(bad.isNotNull(), F.col("_support")), F.lit(0).cast("long"))
     kind = "DMV" if c.operator == "dmv" else ERROR_TYPE[FAMILY[c.operator]]
     return df.select(
         "row_id", F.lit(target).alias("column"), F.lit(c.id).alias("constraint_id"), F.lit(f"{c.operator}:{c.id}").alias("source_group"), F.lit(FAMILY[c.operator]).alias("family"), status.alias("status"),
@@ -181,7 +184,7 @@ def execute(df: DataFrame, program: list[Constraint]) -> DataFrame:
                 peers = leave_one_out(df.where(scope), list(keys), value, c.params.get("min_support", 3), c.params.get("confidence", 0.9))
                 rows = df.select("row_id", F.when(C.is_blank(F.col(target)), F.lit(None)).otherwise(F.lit(True)).alias("filled")).join(peers, "row_id", "left")
                 bad = F.when(F.col("filled"), F.col("bad"))
-                own.append(_evidence(rows, c, target, bad, F.col("peer_top") if target == value else F.lit(None).cast("string"), F.col("support")))
+                own.append(_evidence(rows, c, target, bad, F.col("peer_top") if target == value else F.lit(None).cast("string"), F.col("support"), True))
             elif c.operator == "statistical":
                 x = C.number_with_unit(F.col(target))
                 rows = df.select("row_id", F.when(scope & ~C.is_blank(F.col(target)), x).alias("nu")).select("row_id", "nu.x", "nu.unit")
@@ -189,12 +192,12 @@ def execute(df: DataFrame, program: list[Constraint]) -> DataFrame:
                 raw = rows.join(F.broadcast(q), "unit").groupBy("unit").agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("raw"))
                 s = q.join(raw, "unit").withColumn("mad", F.greatest(1.4826 * F.col("raw"), 0.1 * F.col("sd"), F.lit(1e-6)))
                 far = F.abs(F.col("x") - F.col("median")) / F.col("mad") > c.params.get("z", 6)
-                own.append(_evidence(rows.join(s, "unit", "left"), c, target, F.when(F.col("n") >= 5, far), F.col("median").cast("string"), F.when(F.col("n") >= 5, F.col("n"))))
+                own.append(_evidence(rows.join(s, "unit", "left"), c, target, F.when(F.col("n") >= 5, far), F.col("median").cast("string"), F.col("n")))
             else:
                 total = df.where(scope).agg(F.count("*").alias("_n"))  # one row
                 bad, fix = _own_checks(c, target)
                 bad = F.when(scope, bad)
-                own.append(_evidence(df.join(F.broadcast(total)), c, target, bad, fix, F.when(bad.isNotNull(), F.col("_n"))))
+                own.append(_evidence(df.join(F.broadcast(total)), c, target, bad, fix, F.col("_n")))
     return reduce(DataFrame.unionByName, own)
 
 

@@ -31,8 +31,8 @@ class Rule:
         return self.name or f"{self.kind}:{self.column}"
 
 
-def violates(rule: Rule) -> Column | None:
-    """Whether a cell that isn't blank breaks the rule; null for a rule without effect."""
+def violates(rule: Rule, blank: Column | None = None) -> Column | None:
+    """Whether a cell that isn't blank breaks the rule; null for a rule without effect. blank: a column that says so, if there."""
     v, s = F.col(rule.column), rule.spec
     if rule.kind == "regex" and s.get("pattern"):
         bad = ~C.starts_with_match(v, s["pattern"])
@@ -50,7 +50,7 @@ def violates(rule: Rule) -> Column | None:
         bad = ~ok[TYPES[str(s["type"]).strip().lower()]]
     else:
         return None
-    return ~C.is_blank(v) & bad
+    return ~(C.is_blank(v) if blank is None else blank) & bad
 
 
 def _any(tests: list[Column]) -> Column:
@@ -60,10 +60,16 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
+def _flagged(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with a flag for each column, so that each cell is tested for blanks once."""
+    return df.select("*", *(C.is_blank(F.col(c)).alias(f"_blank_{c}") for c in columns))
+
+
 def violation_rates(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """rule, violations, rows, rate: all rules in one pass; blank cells are in the denominator."""
-    compiled = [(r, p) for r in rules if (p := violates(r)) is not None]
-    sums = df.agg(F.count("*").alias("rows"), *(F.sum(F.coalesce(p, F.lit(False)).cast("long")).alias(f"v{i}") for i, (_, p) in enumerate(compiled)))
+    flagged = _flagged(df, list(dict.fromkeys(r.column for r in rules)))
+    compiled = [(r, p) for r in rules if (p := violates(r, F.col(f"_blank_{r.column}"))) is not None]
+    sums = flagged.agg(F.count("*").alias("rows"), *(F.sum(F.coalesce(p, F.lit(False)).cast("long")).alias(f"v{i}") for i, (_, p) in enumerate(compiled)))
     each = F.array(*(F.struct(F.lit(r.label).alias("rule"), F.col(f"v{i}").alias("violations")) for i, (r, _) in enumerate(compiled)))
     return sums.select("rows", F.inline(each)).select("rule", "violations", "rows", (F.col("violations") / F.col("rows")).alias("rate"))
 
@@ -84,12 +90,12 @@ def first_violations(df: DataFrame, rules: list[Rule], nullable: frozenset[str]
     columns = [c for c in df.columns if c != "row_id"]
     found = []
     for column in columns:
-        v = F.col(column)
+        v, blank = F.col(column), F.col(f"_blank_{column}")
         hit = lambda kind, name: F.struct(F.lit(kind).alias("error_type"), F.lit(name).alias("rule"))
-        case = F.when(C.is_blank(v), hit("MV", "missing_value")) if column not in nullable else F.when(F.lit(False), hit("MV", ""))
+        case = F.when(blank, hit("MV", "missing_value")) if column not in nullable else F.when(F.lit(False), hit("MV", ""))
         for r in rules:
-            if r.column == column and (bad := violates(r)) is not None:
+            if r.column == column and (bad := violates(r, blank)) is not None:
                 case = case.when(bad, hit(r.error_type, r.label))
         found.append(F.struct(F.lit(column).alias("column"), v.cast("string").alias("value"), case.alias("hit")))
-    out = df.select("row_id", F.inline(F.array(*found))).where("hit is not null")
+    out = _flagged(df, columns).select("row_id", F.inline(F.array(*found))).where("hit is not null")
     return out.select("row_id", "column", "value", "hit.error_type", "hit.rule")
