@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tablewarden import pipeline
 from tablewarden.sources import tables as S
@@ -60,3 +61,19 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert sorted(map(tuple, spark.table("found").collect())) == sorted(map(tuple, first_violations(df, rules).collect()))
+
+
+def test_headers_are_read_as_they_stand(spark, tmp_path):
+    for name, head in (("twice", "a,a,b"), ("blank", "a,,b"), ("none", "")):
+        (tmp_path / f"{name}.csv").write_text(f"{head}\n1,2,3\n" if head else "")
+        with pytest.raises(ValueError):
+            S.read_csv(spark, str(tmp_path / f"{name}.csv"), keep_empty=True)
+    (tmp_path / "good.csv").write_text("﻿a,\"b,c\"\n1,\n,2\n")
+    got = S.read_csv(spark, str(tmp_path / "good.csv"), keep_empty=True)
+    assert got.columns == ["row_id", "a", "b,c"] and [tuple(r) for r in got.orderBy("row_id").collect()] == [(0, "1", ""), (1, "", "2")]
+
+
+def test_row_ids_count_over_partitions(spark):
+    df = spark.range(0, 1000, 1, 7).select(F.col("id").cast("string").alias("v")).where("id % 3 = 0")
+    got = S.with_row_ids(df).collect()
+    assert sorted(r["row_id"] for r in got) == list(range(334)) and all(int(r["v"]) == 3 * r["row_id"] for r in got)
