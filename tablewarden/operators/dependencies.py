@@ -91,6 +91,25 @@ def grade(support: int, confidence: float, stable: float | None, g: Gates = Gate
     return "high" if support >= g.high_support and confidence >= g.high_confidence and steady >= g.high_stability else "medium"
 
 
+def graded(df: DataFrame, columns: list[str], g: Gates = Gates()) -> list[tuple[str, str, str]]:
+    """(lhs, rhs, high or medium) of the dependencies that are not dropped. One row for each found dependency comes to the
+    driver, and one number for each that is strong enough to be high, which then must be stable too."""
+    out = []
+    for r in dependencies(group_tops(df, columns, g), g).orderBy("lhs", "rhs").collect():
+        strong = r["support"] >= g.high_support and r["confidence"] >= g.high_confidence
+        stable = stability(df, r["lhs"], r["rhs"], confidence=g.confidence).first()["stability"] if strong else 0.0
+        if (severity := grade(r["support"], r["confidence"], stable, g)) != "drop":
+            out.append((r["lhs"], r["rhs"], severity))
+    return out
+
+
+def graded_violations(df: DataFrame, columns: list[str], g: Gates = Gates()) -> DataFrame:
+    """dependency_violations of the graded dependencies, with their severity; those of medium severity don't mark a cell dirty."""
+    rules = df.sparkSession.createDataFrame([(f"fd:{a}->{b}", s) for a, b, s in graded(df, columns, g)], "rule string, _severity string")
+    found = dependency_violations(df, columns, g).join(F.broadcast(rules), "rule")  # one row for each dependency
+    return found.withColumn("severity", F.col("_severity")).select("row_id", "column", "value", "error_type", "rule", "suggested_fix", "confidence", "severity")
+
+
 def conditional(df: DataFrame, columns: list[str], conditions: list[str], min_support: int = 30, top: int = 10, confidence: float = 0.95, gain: float = 0.1, g: Gates = Gates()) -> DataFrame:
     """Dependencies that hold for the rows of one condition value, by `gain` better than for all rows."""
     scope = Gates(confidence=confidence, group_confidence=confidence)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.operators import anomalies, dependencies, detectors, fusion, models, profile, rules
+from tablewarden.operators import anomalies, dependencies, detectors, discovery, fusion, models, profile, rules
 from tablewarden.plans.tables import written
 from tablewarden.sources import tables
 
@@ -20,6 +20,7 @@ class Options:
     statistical: bool = True
     model: bool = True
     min_tier: str = "low"
+    as_of_year: int | None = None  # years beyond the next one are errors; none: years aren't checked
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,11 @@ def run(df: DataFrame, options: Options = Options(), judgments: DataFrame | None
     chain += [detectors.out_of_range(df, c) for c in columns if kinds.get(c) == "numeric" and detectors.bounds_of(c)]
     grouped = [c for c in columns if kinds.get(c) in ("categorical", "id", "numeric")]
     if len(grouped) > 1:
-        chain.append(dependencies.dependency_violations(df, grouped))
+        chain.append(dependencies.graded_violations(df, grouped))
+    plain = lambda f: f.select("row_id", "column", F.col("value").cast("string").alias("value"), "error_type", "rule", F.lit(None).cast("string").alias("suggested_fix"), F.lit(None).cast("double").alias("confidence"), F.lit("high").alias("severity"))
+    chain += [plain(dependencies.compare(df, a, b)) for a, b in discovery.compare_pairs(columns) if kinds.get(a) == kinds.get(b) == "numeric"]
+    if options.as_of_year is not None:
+        chain += [plain(dependencies.impossible_years(df, c, options.as_of_year)) for c in discovery.year_columns(df, columns)]
     findings = written(detectors.first_of_each_cell(chain), "findings")
     dirty = detectors.dirty_cells(findings)
     found = []
@@ -51,7 +56,10 @@ def run(df: DataFrame, options: Options = Options(), judgments: DataFrame | None
         clean = df.select("row_id").join(dirty.select("row_id"), "row_id", "left_anti")
         found += [anomalies.outliers(df, c, clean) for c in columns if kinds.get(c) == "numeric"]
         found += [anomalies.typos(df, c) for c in columns if kinds.get(c) == "categorical"]
-        found += [anomalies.odd_patterns(df, c) for c in columns if kinds.get(c) not in ("numeric", "empty")]
+        dated = set(discovery.date_columns(df, columns)) - {c for c in columns if kinds.get(c) == "empty"}
+        found += [anomalies.odd_patterns(df, c, dates=c in dated) for c in columns if kinds.get(c) not in ("numeric", "empty")]
+        found += [f for c in sorted(dated) for f in (anomalies.secondary_formats(df, c), anomalies.bursts(df, c, dates=True))]
+        found += [anomalies.outliers(df, c, clean, dates=True) for c in sorted(dated) if kinds.get(c) in ("categorical", "highcard")]
         found += [anomalies.odd_number_counts(df, c) for c in columns if kinds.get(c) == "numeric"]
     if options.model and len(grouped) > 1:
         found.append(models.unlikely_cells(models.predictions(df, grouped, dirty), dirty))
@@ -70,11 +78,14 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--output", default="outputs")
     parser.add_argument("--min-tier", choices=("low", "mid", "high"), default="low")
     parser.add_argument("--no-model", action="store_true")
+    parser.add_argument("--no-statistical", action="store_true")
+    parser.add_argument("--nullable", nargs="*", default=[], metavar="COLUMN", help="columns in which blanks are allowed")
+    parser.add_argument("--as-of-year", type=int, help="check years against this one")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("tablewarden").getOrCreate()
     paths = tables.dataset_paths(args.input, args.output)
     df = tables.read_csv(spark, args.input)
-    result = run(df, Options(model=not args.no_model, min_tier=args.min_tier))
+    result = run(df, Options(model=not args.no_model, statistical=not args.no_statistical, min_tier=args.min_tier, nullable=frozenset(args.nullable), as_of_year=args.as_of_year))
     tables.write_findings(result.findings, paths["errors"])
     tables.write_findings(result.fused, paths["fused"])
     tables.write_findings(result.final, paths["final"])

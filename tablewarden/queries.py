@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.operators import anomalies, constraints, dependencies, detectors, evaluation, fusion, models, profile, rules
+from tablewarden.operators import anomalies, constraints, dependencies, detectors, discovery, evaluation, fusion, models, profile, rules
 from tablewarden.plans.dirty import view, view_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +260,23 @@ def dc_arithmetic(spark, sf_dir):
     return dependencies.arithmetic_violations(view(spark, sf_dir, "orders_table"), "qty * price", "total")
 
 
+_YEARS = " UNION ALL ".join(f"SELECT 'year' AS kind, '{c}' AS \"column\", CAST(NULL AS VARCHAR) AS other FROM (SELECT {number_sql(c)} AS x FROM orders_table) HAVING count(x) >= 30 AND ('{c}' LIKE '%year%' OR (avg(CASE WHEN x = floor(x) THEN 1.0 WHEN x IS NOT NULL THEN 0.0 END) > 0.95 AND avg(CASE WHEN x BETWEEN 1000 AND 2100 THEN 1.0 WHEN x IS NOT NULL THEN 0.0 END) > 0.9))" for c in ORDER_COLUMNS)
+
+
+@query(f"{view_sql('orders_table')} SELECT 'compare' AS kind, 'low_day' AS \"column\", 'high_day' AS other UNION ALL SELECT 'date', unnest(['day', 'low_day', 'high_day', 'year']), NULL UNION ALL {_YEARS}")
+def discovered_columns(spark, sf_dir):
+    """The columns of the orders that hold years or dates, and the pairs to compare."""
+    df = view(spark, sf_dir, "orders_table")
+    rows = [("compare", a, b) for a, b in discovery.compare_pairs(ORDER_COLUMNS)] + [("year", c, None) for c in discovery.year_columns(df, ORDER_COLUMNS)] + [("date", c, None) for c in discovery.date_columns(df, ORDER_COLUMNS)]
+    return spark.createDataFrame(rows, "kind string, column string, other string")
+
+
+@query(_FD + "SELECT lhs, rhs, CASE WHEN support >= 50 AND confidence >= 0.95 THEN 'high' ELSE 'medium' END AS severity FROM ok WHERE support >= 10 AND confidence >= 0.8")
+def graded_dependencies(spark, sf_dir):
+    """Severity of each dependency. The SQL leaves out stability, which is 1 where the confidence is well above its gate."""
+    return spark.createDataFrame(dependencies.graded(view(spark, sf_dir, "customers"), _FD_COLUMNS), "lhs string, rhs string, severity string")
+
+
 def _region_findings(spark, sf_dir) -> DataFrame:
     df = view(spark, sf_dir, "customers")
     fd = dependencies.dependency_violations(df, _FD_COLUMNS).withColumn("place", F.lit(1))
