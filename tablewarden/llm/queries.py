@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .fingerprints import op4_minhash_fingerprints
 from .language_id import op10_language_id
+from .lexical_search import SQL as LEXICAL_SQL
+from .lexical_search import op12_lexical_search
 from .licences import op8_licence_scan
 from .mixing import op1_source_mix
 from .near_dedup import op9_near_dedup
@@ -11,9 +13,12 @@ from .packing import op6_best_fit_packing
 from .quality_rules import op5_quality_rules
 from .substring_dedup import op3_substring_dedup
 from .toxicity import op7_toxicity
+from .vector_search import SQL as VECTOR_SQL
+from .vector_search import op11_vector_search
 from .warc import op2_warc_derivatives
+from .whitening import op13_whitening
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_warc_derivatives, op3_substring_dedup, op4_minhash_fingerprints, op5_quality_rules, op6_best_fit_packing, op7_toxicity, op8_licence_scan, op9_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_warc_derivatives, op3_substring_dedup, op4_minhash_fingerprints, op5_quality_rules, op6_best_fit_packing, op7_toxicity, op8_licence_scan, op9_near_dedup, op10_language_id, op11_vector_search, op12_lexical_search, op13_whitening)}
 
 
 def substring_sql(min_words: int = 50, levels: int = 11) -> str:
@@ -34,4 +39,4 @@ def substring_sql(min_words: int = 50, levels: int = 11) -> str:
     FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN q USING (doc_id)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substring_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substring_sql(), "op11_vector_search": VECTOR_SQL, "op12_lexical_search": LEXICAL_SQL}
