@@ -1,8 +1,8 @@
 """Operator 4: one-permutation MinHash fingerprints, with DataFrame functions alone.
 
 Each shingle (five words) is hashed once; the top bits of the hash name its bin and each bin keeps its least hash.
-An empty bin borrows, by optimal densification, from a bin with a value: of those, the first in an order of all
-bins that is random for each empty bin, the same for every text. Of each bin the lowest `BITS` bits are kept, as
+An empty bin borrows, by optimal densification, from a bin with a value: the first in an order of all
+bins that is random for each empty bin, the same for every text (`TRIES` bins by a hash of the try, then the others by a hash of theirs). Of each bin the lowest `BITS` bits are kept, as
 hexadecimal digits, and the chance that such bits agree by accident is taken out of the likeness.
 
 Defined results: a null text is an empty one; a text without words has an empty fingerprint, which is like another
@@ -45,16 +45,28 @@ def bin_minima(hashes: str) -> Column:
     return F.aggregate(F.array(ordered), F.array().cast("array<bigint>"), lambda _, a: F.filter(a, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(a, i - 1)))))
 
 
-def densified(minima: str, bins: str) -> Column:
-    """Digits of all bins: the bin's own or a borrowed minimum's lowest bits. minima, bins: of those that have one."""
+#: Bins that an empty bin looks at by number, before it takes the first of those left in an order of its own.
+TRIES = 16
+
+
+def own_digits(minima: str, bins: str) -> tuple[Column, Column]:
+    """The digits of each minimum; and, of the column `low`, those of each bin, null where it has none. minima, bins: of those that have one."""
     low = F.transform(F.col(minima), lambda h: F.lpad(F.hex(h.bitwiseAND(F.lit((1 << BITS) - 1))), DIGITS, "0"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.get("low", F.nullif(F.array_position(F.col(bins), j.cast("bigint")), F.lit(0)).cast("int") - 1))
+    half = BINS // 2  # minima are in order of signed hashes: the bins of the upper half first
+    return low, F.when(F.size(bins) == BINS, F.concat(F.slice("low", half + 1, half), F.slice("low", 1, half))).otherwise(each)
+
+
+def densified(bins: str) -> Column:
+    """Digits of all bins, of the columns `low` and `own`: the bin's own or those that it borrows. An empty bin looks at bins in a fixed
+    order until one is filled; coalesce ends with the first."""
 
-    def digit(j: Column) -> Column:
-        own = F.array_position(F.col(bins), j)
-        lent = F.array_min(F.transform(F.col(bins), lambda b, i: F.struct(F.hash(j, b).alias("rank"), i.alias("i"))))["i"]
-        return F.get(F.col("low"), F.when(own > 0, own.cast("int") - 1).otherwise(lent))
+    def digit(d: Column, j: Column) -> Column:
+        tries = (F.get("own", F.hash(F.lit(t), j).bitwiseAND(BINS - 1)) for t in range(TRIES))
+        last = F.array_min(F.transform(F.col(bins), lambda b, i: F.struct(F.hash(j, b).alias("rank"), i.alias("i"))))["i"]
+        return F.coalesce(d, *tries, F.get("low", last))
 
-    return low, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: digit(j.cast("bigint"))), "")
+    return F.array_join(F.transform("own", digit), "")
 
 
 def fingerprint(rows: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
@@ -65,9 +77,10 @@ def fingerprint(rows: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
     step = step.select(*keep, hashes.alias("hashes"))
     step = step.select(*keep, bin_minima("hashes").alias("minima"))
     step = step.select(*keep, "minima", F.transform("minima", _bin).alias("filled"))
-    low, digits = densified("minima", "filled")
-    step = step.select(*keep, "minima", "filled", low.alias("low"))
-    return step.select(*keep, F.when(F.size("minima") == 0, "").otherwise(digits).alias(out))
+    low, own = own_digits("minima", "filled")
+    step = step.select(*keep, "filled", low.alias("low"))
+    step = step.select(*keep, "filled", "low", own.alias("own"))
+    return step.select(*keep, F.when(F.size("filled") == 0, "").otherwise(densified("filled")).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -82,8 +95,8 @@ def likeness(a: Column, b: Column) -> Column:
 QUANTILES = 512
 
 
-def bucket_of(rows: DataFrame) -> Column:
-    """Buckets of about as many neighbouring rows (doc_id, h) as there are buckets, by rank: exact at quantiles of the ids, and
+def with_bucket(rows: DataFrame) -> DataFrame:
+    """rows with a bucket: buckets of about as many neighbouring rows (doc_id, h) as there are buckets, by rank: exact at quantiles of the ids, and
     in proportion between two. Null ids come first, by hash. Only the quantiles come to the driver."""
     shares = [i / QUANTILES for i in range(QUANTILES + 1)] + [1 - 10.0**-i for i in (3, 4)]
     known, n = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, sorted(shares))), F.lit(100 * QUANTILES)), F.count("*")).first()
@@ -92,13 +105,14 @@ def bucket_of(rows: DataFrame) -> Column:
         if not at or x > at[-1]:
             at.append(x), share.append(s)
     bounds, ranks = F.array(*map(F.lit, at)), F.array(*map(F.lit, share))
-    i = F.greatest(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))) - 1, F.lit(0))  # the segment
-    low, high = F.get(bounds, i), F.coalesce(F.get(bounds, i + 1), F.get(bounds, i) + 1)
-    part = (F.col("doc_id") - low).cast("double") / (high - low).cast("double")
-    rank = F.get(ranks, i) + part * (F.coalesce(F.get(ranks, i + 1), F.lit(1.0)) - F.get(ranks, i))
+    i = F.greatest(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))) - 1, F.lit(0))
+    rows = rows.withColumn("_i", i)  # the segment, searched for once
+    low, high = F.get(bounds, F.col("_i")).cast("double"), F.get(bounds, F.col("_i") + 1).cast("double")
+    part = F.coalesce(F.try_divide(F.col("doc_id").cast("double") - low, high - low), F.lit(0.0))  # as doubles, ids are never too far apart
+    rank = F.get(ranks, F.col("_i")) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)) * (F.coalesce(F.get(ranks, F.col("_i") + 1), F.lit(1.0)) - F.get(ranks, F.col("_i")))
     many = max(1, int(n**0.5))
     null = F.floor(F.col("h").cast("double") / 2.0**64 * many).cast("long") - many  # below all others
-    return F.when(F.col("doc_id").isNull(), null).otherwise(F.floor(rank * many).cast("long"))
+    return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), null).otherwise(F.floor(rank * many).cast("long"))).drop("_i")
 
 
 def in_buckets(docs: DataFrame) -> DataFrame:
@@ -106,7 +120,7 @@ def in_buckets(docs: DataFrame) -> DataFrame:
     row that follows the bucket's last: the next bucket's first, after the last bucket the first one's."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    rows = rows.withColumn("bucket", bucket_of(rows.select("doc_id", "h")))
+    rows = with_bucket(rows)
     heads = written(rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("head")), "heads")
     order = W.orderBy("bucket")
     before = F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,27 +31,35 @@ from .shared import by_bytes, documents, parts, session_defaults, written
 END = 0
 
 
+#: The one way of splitting texts whose tokenizer files are read here; the pattern is that of the byte-level pre-tokenizer.
+SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of white space in one run, or of one word, above which the tokenizer itself encodes a text.
+LONG_RUN = re.compile(r"\s{20000}|\w{20000}|[^\w\s]{20000}")
+
+
 @functools.lru_cache(1)
 def encoder(path: str):
     """Token ids of a text, as the tokenizer file at `path` gives them.
 
     The file's vocabulary and ranks also hold for tiktoken, which gives the same ids several times as fast.
-    Texts with the special token's name take the tokenizer itself.
+    Texts with the special token's name, and those with very long runs (which its pattern can't bear), take the tokenizer itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
     whole = functools.cache(lambda: Tokenizer.from_file(path))  # few texts need it
     spec = json.load(open(path, encoding="utf-8"))
+    if spec.get("normalizer") or spec["model"].get("type") != "BPE" or any((spec.get("pre_tokenizer") or {}).get(k) != v for k, v in SPLIT.items()):
+        raise ValueError(f"{path}: only byte-level BPE without a normalizer is known here")
     special = {t["content"] for t in spec.get("added_tokens", ())}
     symbols = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in symbols} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in symbols)}
     ranks = {bytes(byte_of[ch] for ch in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or len(text) >= 20_000 and LONG_RUN.search(text):
             return np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
         return fast.encode_to_numpy(text, disallowed_special=())
 

@@ -28,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -172,56 +173,97 @@ def build_derivatives(responses: DataFrame, date: str = "1970-01-01T00:00:00Z")
     return rows.mapInArrow(_derive(date), schema)
 
 
-def _records(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a stream of bytes."""
-    held = bytearray()
+class Skipped(NamedTuple):
+    """Bytes of a stream that hold no whole record."""
+
+    reason: str
+    size: int
+
+
+_BEGIN = re.compile(rb"(?:\A|(?<=\n))WARC/\d+\.\d+\r?\n")
+
+
+def _records(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes] | Skipped]:
+    """Headers and block of each record of a stream of bytes. After bytes that are no record, as its headers or its length
+    don't hold, reading goes on where the next line names a WARC version; what was passed over is told."""
+    held, ended = bytearray(), False
 
     def more(n: int) -> bool:
+        nonlocal ended
         while len(held) < n:
             piece = next(data, None)
             if piece is None:
+                ended = True
                 return False
             held.extend(piece)
         return True
 
+    def skip(reason: str) -> Skipped:
+        """Drop all before the next line that begins a record, but not one in the first byte."""
+        gone, start = 0, 1
+        while True:
+            found = _BEGIN.search(held, start)
+            if found and (found.end() < len(held) or not more(len(held) + 1)):
+                del held[: found.start()]
+                return Skipped(reason, gone + found.start())
+            keep = 32  # a line cut in two
+            if len(held) > keep:
+                gone, start = gone + len(held) - keep, 0
+                del held[: len(held) - keep]
+            if not more(len(held) + 1):
+                gone += len(held)
+                held.clear()
+                return Skipped(reason, gone)
+
     while True:
+        while more(1) and held[0] in b"\r\n":  # what ends a record
+            del held[:1]
+        if not held:
+            return
         seen = 0
-        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0 and len(held) < MOST_HEADER:
             seen = len(held)
             if not more(seen + 1):
-                return
-        lines = bytes(held[:end]).decode("utf-8", "replace").strip().split("\r\n")
+                break
+        if end < 0:
+            yield skip("no end of headers")
+            continue
+        lines = bytes(held[:end]).decode("utf-8", "replace").split("\r\n")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        del held[: end + 4]
-        if not lines[0].startswith("WARC/") or not head.get("content-length", "").isdigit():
-            return
-        size = int(head["content-length"])
-        if not more(size):
-            return
-        yield head, bytes(held[:size])
+        length = head.get("content-length", "")
+        if not lines[0].startswith("WARC/") or not re.fullmatch(r"[0-9]{1,18}", length):
+            yield skip("no length" if lines[0].startswith("WARC/") else "no version")
+            continue
+        size = end + 4 + int(length)
+        if not more(size) or (more(size + 4) or len(held) > size) and not held[size:].startswith(b"\r\n"):
+            yield skip("the length is not that of the block")
+            continue
+        yield head, bytes(held[end + 4 : size])
         del held[:size]
-        more(4)
-        del held[:4]
+
+
+MEMBER = b"\x1f\x8b\x08"
+#: Bytes of headers of a record at most.
+MOST_HEADER = 1 << 20
 
 
 def _unzipped(content: bytes, at_once: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a file; of a gzip file those of all its members, piece by piece."""
-    if content[:2] != b"\x1f\x8b":
+    """The bytes of a file; of a gzip file those of all its members, piece by piece. After a damaged member comes the next one."""
+    if content[:2] != MEMBER[:2]:
         yield from (content[i : i + at_once] for i in range(0, len(content), at_once))
         return
-    stream, rest, at = zlib.decompressobj(31), content[:at_once], at_once
-    while rest:
-        with contextlib.suppress(zlib.error):
-            yield stream.decompress(rest)
-            rest = stream.unused_data
-            if stream.eof:
-                stream = zlib.decompressobj(31)
-            if not rest:
-                rest, at = content[at : at + at_once], at + at_once
-            elif len(rest) < 18:
-                rest, at = rest + content[at : at + at_once], at + at_once
-            continue
-        return  # what follows is no gzip member
+    begin = 0
+    while begin >= 0:
+        stream, at = zlib.decompressobj(31), begin
+        try:
+            while at < len(content) and not stream.eof:
+                piece = content[at : at + at_once]
+                yield stream.decompress(piece, at_once)
+                at += len(piece) - len(stream.unconsumed_tail) - len(stream.unused_data)
+        except zlib.error:
+            yield b"\r\n\r\n"  # ends what the damaged member began
+            at = begin + 1
+        begin = content.find(MEMBER, at)
 
 
 def _payload(block: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -253,19 +295,48 @@ RESPONSE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("body", pa
 def _read_responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
-            for head, block in _records(_unzipped(content.as_py())):
+            for record in _records(_unzipped(content.as_py())):
+                if isinstance(record, Skipped):
+                    continue
+                head, block = record
                 if head.get("warc-type") == "response" and (found := _payload(block)):
                     given = {k: head[k.lower()] for k in ("WARC-Record-ID", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-IP-Address") if k.lower() in head}
                     row = {"page_id": None, "url": head.get("warc-target-uri", "").strip("<>") or None, "body": found[1], "date": head.get("warc-date"), "source": list((found[0] | given).items())}
                     yield pa.RecordBatch.from_pylist([row], RESPONSE)
 
 
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            kinds: dict[tuple[str, str], list[int]] = {}
+            for record in _records(_unzipped(content.as_py())):
+                if isinstance(record, Skipped):
+                    key, size = ("skipped", record.reason), record.size
+                else:
+                    key, size = (record[0].get("warc-type", ""), ""), len(record[1])
+                    if key[0] == "response" and not _payload(record[1]):
+                        key = ("skipped", "no HTTP response")
+                now = kinds.setdefault(key, [0, 0])
+                now[0], now[1] = now[0] + 1, now[1] + size
+            rows = [[path] * len(kinds), [k for k, _ in kinds], [r or None for _, r in kinds], [n for n, _ in kinds.values()], [b for _, b in kinds.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["path", "kind", "reason", "records", "bytes"])
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    session_defaults(spark)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """The responses of WARC files as build_derivatives takes them. A gzip file can't be split, so each file is read by one
-    task, which holds it as it is packed and one record of it; Spark reads files of up to 2 GB so."""
-    session_defaults(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
-    return files.mapInArrow(_read_responses, "page_id long, url string, body binary, date string, source map<string,string>")
+    task, which holds it as it is packed and one record of it; Spark reads files of up to 2 GB so. Damaged records and
+    gzip members are passed over, and the ones after them read; `read_report` counts them."""
+    return _files(spark, path).select("content").mapInArrow(_read_responses, "page_id long, url string, body binary, date string, source map<string,string>")
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """path, kind (a WARC type, or skipped), reason, records and bytes: what each file holds, and what of it can't be read."""
+    return _files(spark, path).select("path", "content").mapInArrow(_report, "path string, kind string, reason string, records long, bytes long")
 
 
 def write_warc(records: DataFrame, path: str) -> None:

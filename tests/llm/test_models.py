@@ -1,7 +1,9 @@
+import gzip
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from tests_llm_helpers import SCHEMA, awkward, words
 
 from tablewarden.llm import fingerprints, licences, toxicity, warc
@@ -248,3 +250,25 @@ def test_pairs_of_words_are_those_of_a_sentence():
     got = [(int(words.doc[i]), f"{raw[words.start[i]:words.end[i]].decode()} {raw[words.start[i + 1]:words.end[i + 1]].decode()}".lower()) for i in toxicity._pairs_of(words)]
     assert sorted(set(got)) == sorted((d, p) for d, t in enumerate(texts) for p in toxicity.sentence_pairs(t or ""))
     assert (0, "id iot.") in got and (0, "iot. of") not in got and (0, "use to") not in got
+
+
+@pytest.mark.parametrize("pack", [lambda *parts: b"".join(parts), lambda *parts: b"".join(map(gzip.compress, parts))])
+def test_records_after_a_damaged_one_are_read(spark, tmp_path, pack):
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>%d</p>"
+    good = [warc_bytes("1.0", "response", page % i, **{"WARC-Target-URI": f"http://a/{i}"}) for i in range(6)]
+    long = good[4].replace(b"Content-Length: ", b"Content-Length: 9")
+    packed = pack(good[0], good[1].replace(b"Content-Length: ", b"Content-Length: x"), good[2], b"stray bytes\r\nof no record\r\n\r\n", good[3], long, good[5])
+    (tmp_path / "a.warc").write_bytes(packed)
+    got = {r["url"] for r in warc.read_responses(spark, str(tmp_path)).collect()}
+    assert got == {f"http://a/{i}" for i in (0, 2, 3, 5)}
+    report = {(r["kind"], r["reason"]): r["records"] for r in warc.read_report(spark, str(tmp_path)).collect()}
+    assert report[("response", None)] == 4 and sum(n for (k, _), n in report.items() if k == "skipped") == 3
+
+
+def test_a_damaged_gzip_member_costs_its_own_records_alone(spark, tmp_path):
+    rng = random.Random(1)
+    page = b"HTTP/1.1 200 OK\r\n\r\n" + bytes(rng.randrange(97, 120) for _ in range(5000))
+    members = [bytearray(gzip.compress(warc_bytes("1.1", "response", page, **{"WARC-Target-URI": f"http://a/{i}"}))) for i in range(4)]
+    members[1][900:940] = b"\xff" * 40
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(bytes, members)))
+    assert {r["url"] for r in warc.read_responses(spark, str(tmp_path)).collect()} == {f"http://a/{i}" for i in (0, 2, 3)}
