@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablewarden.functions import cells as C
-from tablewarden.plans.tables import leading, share_package
+from tablewarden.plans.tables import leading, share_package, written
+
+from .similarity import similar_pairs
 
 CANDIDATE = ("row_id", "column", "value", "detector", "error_type", "score", "suggested_fix")
 
@@ -103,38 +105,28 @@ def vocabulary_noise(df: DataFrame, column: str, ratio: float = 10, most: float
     return first.select("row_id", "column", "value", F.col("anchor").alias("suggested_fix"), F.round("ratio", 6).alias("ratio"))
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """Twice the longest common subsequence over both lengths."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / max(1, len(a) + len(b))
-
+def typos(df: DataFrame, column: str, dirty: DataFrame | None = None, most_values: int | None = 1000, rare_most: int = 2, anchor_least: int = 3, rare_share: float = 0.001, similarity: float = 0.85, min_rows: int = 30) -> DataFrame:
+    """Rare values of a categorical column whose most similar frequent value is close, the first seen among equally similar ones.
 
-def typos(df: DataFrame, column: str, most_values: int = 1000, rare_most: int = 2, anchor_least: int = 3, similarity: float = 0.85) -> DataFrame:
-    """Rare values of a categorical column whose most similar frequent value is close. Only distinct values are compared,
-    of which a categorical column has `most_values` at most; other columns give nothing."""
-    share_package(df.sparkSession)
-    values = value_counts(df, column)
-    size = values.agg(F.count("*").alias("k"), F.sum("n").alias("total"))
-    listed = values.join(F.broadcast(size)).where(F.col("k") <= most_values).select(F.lit(0).alias("one"), "value", "n", "total")
-
-    def compare(rows):
-        import pandas as pd
-
-        rare = rows[(rows.n <= rare_most) | (rows.n < 0.001 * rows.total)].value
-        anchors = rows[rows.n >= anchor_least].sort_values(["n", "value"], ascending=[False, True]).value.tolist()
-        found = []
-        for v in rare:
-            best = max(((indel_ratio(v, a), -i, a) for i, a in enumerate(anchors) if a != v and 2 * min(len(a), len(v)) >= similarity * (len(a) + len(v))), default=None)
-            if best and best[0] >= similarity:
-                found.append((v, best[2], best[0]))
-        return pd.DataFrame(found, columns=["value", "anchor", "score"])
-
-    best = listed.groupBy("one").applyInPandas(compare, "value string, anchor string, score double")
-    rows = df.select("row_id", F.col(column).alias("value")).join(F.broadcast(best), "value")  # at most most_values rows
+    Values are counted over the cells that aren't dirty (row_id, column), if these are `min_rows` at least, else over all. most_values: a
+    column with more distinct values isn't categorical and gives nothing; None sets no limit.
+    """
+    v = F.col(column)
+    filled = df.where(~C.is_blank(v)).select("row_id", v.alias("value"))
+    clean = filled if dirty is None else filled.join(dirty.where(F.col("column") == column).select("row_id"), "row_id", "left_anti")
+    counts = filled.select("value").distinct().join(clean.groupBy("value").agg(F.count("*").alias("c"), F.min("row_id").alias("c_first")), "value", "left").join(filled.groupBy("value").agg(F.count("*").alias("t"), F.min("row_id").alias("t_first")), "value")
+    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c_total"), F.sum("t").alias("t_total"), F.count("c").alias("c_k"), F.count("t").alias("t_k"))
+    enough = F.col("c_total") >= min_rows
+    pick = lambda a, b: F.when(enough, F.coalesce(a, F.lit(0))).otherwise(F.col(b))
+    values = counts.join(F.broadcast(size)).select("value", pick(F.col("c"), "t").alias("n"), F.when(enough, F.col("c_first")).otherwise(F.col("t_first")).alias("first_row"), pick(F.col("c_total"), "t_total").alias("total"), pick(F.col("c_k"), "t_k").alias("k"))  # one row
+    values = values.where(F.col("total") >= min_rows)
+    if most_values is not None:
+        values = values.where(F.col("k") <= most_values)
+    values = written(values, "values")
+    rare = values.where(((F.col("n") <= rare_most) | (F.col("n") / F.col("total") < rare_share)) & (F.col("n") < anchor_least))
+    near = similar_pairs(rare, values.where(F.col("n") >= anchor_least), similarity).join(values.select(F.col("value").alias("b"), "first_row"), "b")
+    best = near.groupBy("a").agg(F.max_by("b", F.struct("ratio", -F.col("first_row"))).alias("anchor"), F.max("ratio").alias("score"))
+    rows = filled.join(best, filled["value"] == best["a"])
     return _candidates(rows, column, "categorical_typo", "T", F.col("score"), F.col("anchor"))
 
 

@@ -150,54 +150,62 @@ def _evidence(df: DataFrame, c: Constraint, target: str, bad: Column, fix: Colum
     )
 
 
-def leave_one_out(df: DataFrame, keys: list[str], value: str, min_support: int = 3, confidence: float = 0.9) -> DataFrame:
+def leave_one_out(df: DataFrame, keys: list[str], value: str, min_support: int = 3, confidence: float = 0.9, reference: Column | None = None) -> DataFrame:
     """row_id, bad, peer_top, support: whether the value differs from the mode of the other rows of its group; null abstains.
 
-    Of each group two values are enough: the mode without this row is the first or the second.
+    Of each group two values are enough: the mode without this row is the first or the second. reference: of each row,
+    whether it counts for the others; all do by default.
     """
-    rows = df.where(~C.is_blank(F.col(value)) & reduce(lambda a, k: a & ~C.is_blank(F.col(k)), keys, F.lit(True))).select("row_id", *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(value).alias("value"))
+    df = df.withColumn("_counts", F.lit(True) if reference is None else reference)
+    rows = df.where(~C.is_blank(F.col(value)) & reduce(lambda a, k: a & ~C.is_blank(F.col(k)), keys, F.lit(True))).select("row_id", *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(value).alias("value"), "_counts")
     ks = [f"k{i}" for i in range(len(keys))]
-    counts = counted(rows, *ks, value="value")
+    counts = counted(rows.where("_counts"), *ks, value="value")
     place = F.struct("n", (-F.col("first_row")).alias("f"), F.col("value").alias("v"))
     first = counts.groupBy(*ks).agg(F.max(place).alias("one"), F.sum("n").alias("size"))
     second = counts.join(first, ks).where(F.col("value") != F.col("one.v")).groupBy(*ks).agg(F.max(place).alias("two"))
     peers = first.join(second, ks, "left")
     one, two = F.col("one"), F.col("two")
-    mine = F.col("value") == one["v"]
-    left = F.when(mine, one["n"] - 1).otherwise(one["n"])
-    left_two = F.coalesce(F.when(F.col("value") == two["v"], two["n"] - 1).otherwise(two["n"]), F.lit(0))
+    less = F.when(F.col("_counts"), 1).otherwise(0)
+    left = F.when(F.col("value") == one["v"], one["n"] - less).otherwise(one["n"])
+    left_two = F.coalesce(F.when(F.col("value") == two["v"], two["n"] - less).otherwise(two["n"]), F.lit(0))
     top = F.when((left > left_two) | ((left == left_two) & (one["f"] >= F.coalesce(two["f"], one["f"]))), one["v"]).otherwise(two["v"])
     n = F.greatest(left, left_two)
-    support = F.col("size") - 1
+    support = F.col("size") - less
     known = (support >= min_support) & (n / F.nullif(support, F.lit(0)) >= confidence)
     return rows.join(peers, ks).select("row_id", F.when(known, F.col("value") != top).alias("bad"), F.when(known, top).alias("peer_top"), support.alias("support"))
 
 
-def execute(df: DataFrame, program: list[Constraint]) -> DataFrame:
-    """Evidence of every constraint, row and target. Constraints of one row share one pass; those of groups join their counts."""
+def execute(df: DataFrame, program: list[Constraint], reference: Column | None = None, judged: Column | None = None) -> DataFrame:
+    """Evidence of every constraint, row and target. Constraints of one row share one pass; those of groups join their counts.
+
+    reference: of each row, whether groups, medians and totals are taken from it; judged: whether it gets evidence. Both are true by default.
+    """
+    flags = {"_reference": reference, "_judged": judged}
+    df = df.withColumns({k: v for k, v in flags.items() if v is not None})
+    counts, seen = (F.lit(True) if v is None else F.col(k) for k, v in flags.items())
     own: list[DataFrame] = []
     for c in program:
         scope = _in_scope(c)
         for target in c.targets:
             if c.operator in ("fd", "neighbor"):
                 *keys, value = c.participants if c.operator == "fd" else (*(x for x in c.participants if x != target), target)
-                peers = leave_one_out(df.where(scope), list(keys), value, c.params.get("min_support", 3), c.params.get("confidence", 0.9))
-                rows = df.select("row_id", F.when(C.is_blank(F.col(target)), F.lit(None)).otherwise(F.lit(True)).alias("filled")).join(peers, "row_id", "left")
+                peers = leave_one_out(df.where(scope), list(keys), value, c.params.get("min_support", 3), c.params.get("confidence", 0.9), counts)
+                rows = df.where(seen).select("row_id", F.when(C.is_blank(F.col(target)), F.lit(None)).otherwise(F.lit(True)).alias("filled")).join(peers, "row_id", "left")
                 bad = F.when(F.col("filled"), F.col("bad"))
                 own.append(_evidence(rows, c, target, bad, F.col("peer_top") if target == value else F.lit(None).cast("string"), F.col("support"), True))
             elif c.operator == "statistical":
                 x = C.number_with_unit(F.col(target))
-                rows = df.select("row_id", F.when(scope & ~C.is_blank(F.col(target)), x).alias("nu")).select("row_id", "nu.x", "nu.unit")
-                q = rows.where("x is not null").groupBy("unit").agg(F.percentile("x", F.lit(0.5)).alias("median"), F.stddev_pop("x").alias("sd"), F.count("*").alias("n"))
-                raw = rows.join(F.broadcast(q), "unit").groupBy("unit").agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("raw"))
+                rows = df.select("row_id", F.when(scope & ~C.is_blank(F.col(target)), x).alias("nu"), counts.alias("_counts"), seen.alias("_seen")).select("row_id", "nu.x", "nu.unit", "_counts", "_seen")
+                q = rows.where("x is not null and _counts").groupBy("unit").agg(F.percentile("x", F.lit(0.5)).alias("median"), F.stddev_pop("x").alias("sd"), F.count("*").alias("n"))
+                raw = rows.where("_counts").join(F.broadcast(q), "unit").groupBy("unit").agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("raw"))
                 s = q.join(raw, "unit").withColumn("mad", F.greatest(1.4826 * F.col("raw"), 0.1 * F.col("sd"), F.lit(1e-6)))
                 far = F.abs(F.col("x") - F.col("median")) / F.col("mad") > c.params.get("z", 6)
-                own.append(_evidence(rows.join(s, "unit", "left"), c, target, F.when(F.col("n") >= 5, far), F.col("median").cast("string"), F.col("n")))
+                own.append(_evidence(rows.where("_seen").join(s, "unit", "left"), c, target, F.when(F.col("n") >= 5, far), F.col("median").cast("string"), F.col("n")))
             else:
-                total = df.where(scope).agg(F.count("*").alias("_n"))  # one row
+                total = df.where(scope & counts).agg(F.count("*").alias("_n"))  # one row
                 bad, fix = _own_checks(c, target)
                 bad = F.when(scope, bad)
-                own.append(_evidence(df.join(F.broadcast(total)), c, target, bad, fix, F.col("_n")))
+                own.append(_evidence(df.where(seen).join(F.broadcast(total)), c, target, bad, fix, F.col("_n")))
     return reduce(DataFrame.unionByName, own)
 
 

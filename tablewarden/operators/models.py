@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions import cells as C
-from tablewarden.plans.tables import pairs
+from tablewarden.plans.quantiles import quantiles
+from tablewarden.plans.tables import pairs, written
+
+from .constraints import Constraint
 
 
 def folds(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
@@ -22,23 +25,94 @@ def nearly_clean_rows(df: DataFrame, dirty: DataFrame, most: int = 1) -> DataFra
     return df.select("row_id").join(counts, "row_id", "left").na.fill(0, ["n_dirty"]).where(F.col("n_dirty") <= most)
 
 
-def predictions(df: DataFrame, columns: list[str], dirty: DataFrame | None = None, smoothing: float = 1.0) -> DataFrame:
-    """row_id, column, value, p, best, best_p: the chance of each cell's value given each other cell of its row, and the
-    value that the others make most likely. From the pairwise counts of clean cells; each other cell votes with the
-    smoothed share of the value in its group, and the votes are averaged."""
-    rows = pairs(df, columns, ~C.is_blank(F.col("a")) & ~C.is_blank(F.col("b")))
-    basis = rows
-    if dirty is not None:
-        basis = rows.join(dirty.select("row_id", F.col("column").alias("lhs")), ["row_id", "lhs"], "left_anti").join(dirty.select("row_id", F.col("column").alias("rhs")), ["row_id", "rhs"], "left_anti")
-    counts = basis.groupBy("lhs", "a", "rhs", "b").agg(F.count("*").alias("n"))
+def cell_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """row_id, lhs, a, rhs, b of every ordered pair of filled cells of a row."""
+    return pairs(df, columns, ~C.is_blank(F.col("a")) & ~C.is_blank(F.col("b")))
+
+
+def pair_counts(rows: DataFrame, dirty: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """lhs, a, rhs, b, n of cell_pairs, without those of dirty cells. weights (row_id, column, weight): cells that count
+    as less than one; a pair counts as the product of its cells' weights."""
+    for side in ("lhs", "rhs") if dirty is not None else ():
+        rows = rows.join(dirty.select("row_id", F.col("column").alias(side)), ["row_id", side], "left_anti")
+    n = F.count("*")
+    if weights is not None:
+        for side in ("lhs", "rhs"):
+            rows = rows.join(weights.select("row_id", F.col("column").alias(side), F.col("weight").alias(f"_{side}")), ["row_id", side], "left")
+        n = F.sum(F.coalesce("_lhs", F.lit(1.0)) * F.coalesce("_rhs", F.lit(1.0)))
+    return rows.groupBy("lhs", "a", "rhs", "b").agg(n.alias("n"))
+
+
+def votes(rows: DataFrame, counts: DataFrame, smoothing: float = 1.0, left_out: bool = False) -> DataFrame:
+    """row_id, lhs, column, value, p, best_p, best, k: what each other cell of a row (lhs) says about a cell: the smoothed share of the
+    value in the group of the other cell's value, and the group's most frequent value. k: how many values the column has.
+    left_out: the rows are among those counted, and each is judged by the others."""
     groups = counts.groupBy("lhs", "a", "rhs").agg(F.sum("n").alias("size"), F.max(F.struct("n", "b")).alias("top"))
     values = counts.groupBy("rhs").agg(F.count_distinct("b").alias("k"))
     seen = rows.join(counts, ["lhs", "a", "rhs", "b"], "left").join(groups, ["lhs", "a", "rhs"], "left").join(F.broadcast(values), "rhs")  # one row for each column
-    bottom = F.coalesce("size", F.lit(0)) + smoothing * F.col("k")
-    votes = seen.select("row_id", F.col("rhs").alias("column"), F.col("b").alias("value"), ((F.coalesce("n", F.lit(0)) + smoothing) / bottom).alias("p"), ((F.coalesce(F.col("top.n"), F.lit(0)) + smoothing) / bottom).alias("best_p"), F.col("top.b").alias("best"))
+    less = (lambda n, own=None: F.greatest(n - (1 if own is None else F.when(own, 1).otherwise(0)), F.lit(0))) if left_out else (lambda n, own=None: n)
+    bottom = F.coalesce(less(F.col("size")), F.lit(0)) + smoothing * F.col("k")
+    share = lambda n: (F.coalesce(n, F.lit(0)) + smoothing) / bottom
+    top = less(F.col("top.n"), F.col("b") == F.col("top.b"))
+    return seen.select("row_id", "lhs", F.col("rhs").alias("column"), F.col("b").alias("value"), share(less(F.col("n"))).alias("p"), share(top).alias("best_p"), F.col("top.b").alias("best"), "k")
+
+
+def averaged(votes: DataFrame) -> DataFrame:
+    """row_id, column, value, p, best, best_p: the mean of the votes on a cell, and the value of the surest vote."""
     return votes.groupBy("row_id", "column", "value").agg(F.round(F.avg("p"), 6).alias("p"), F.max_by("best", F.struct("best_p", "best")).alias("best"), F.round(F.max("best_p"), 6).alias("best_p"))
 
 
+def predictions(df: DataFrame, columns: list[str], dirty: DataFrame | None = None, smoothing: float = 1.0, weights: DataFrame | None = None) -> DataFrame:
+    """row_id, column, value, p, best, best_p: the chance of each cell's value given each other cell of its row, and the
+    value that the others make most likely. From the pairwise counts of clean cells; each other cell votes with the
+    smoothed share of the value in its group, and the votes are averaged."""
+    rows = cell_pairs(df, columns)
+    return averaged(votes(rows, pair_counts(rows, dirty, weights), smoothing))
+
+
+def loss() -> Column:
+    return -F.log(F.col("p") + 1e-9)
+
+
+def highest_losses(scored: DataFrame, share: float = 0.1) -> DataFrame:
+    """The cells of predictions whose loss is above the quantile 1 - share of their column: row_id, column, loss."""
+    rows = scored.select("row_id", "column", loss().alias("loss"))
+    limits = quantiles(rows, ["column"], "loss", [1 - share]).select("column", F.col("q")[0].alias("limit"))
+    return rows.join(F.broadcast(limits), "column").where("loss > limit").select("row_id", "column", "loss")  # one row for each column
+
+
+def trimmed_predictions(df: DataFrame, columns: list[str], dirty: DataFrame | None = None, rounds: int = 2, share: float = 0.1, weight: float = 0.1) -> DataFrame:
+    """Predictions whose counts trust the cells that they fit worst less: after each round those of the highest losses of
+    their column count as `weight`. Each round is written."""
+    scored = predictions(df, columns, dirty)
+    for _ in range(rounds):
+        low = written(highest_losses(scored, share).select("row_id", "column", F.lit(weight).alias("weight")), "low-weights")
+        scored = predictions(df, columns, dirty, weights=low)
+    return scored
+
+
+def prediction_gain(df: DataFrame, columns: list[str], program: list[Constraint], counts: DataFrame | None = None) -> DataFrame:
+    """constraint_id, cells, gain: how much worse its targets' values are predicted without each constraint, between -1 and 1.
+
+    A cell is predicted by the mean vote of the participants of the constraints it is a target of. Without a constraint its votes are left
+    out, of a cell with no other votes the chance is 1 / k. All constraints are left out in one grouped plan. counts: pair_counts
+    of the rows to learn from (those of df).
+    """
+    context = [(c.id, t, o) for c in program for t in c.targets for o in c.participants if o != t and {t, o} <= set(columns)]
+    if not context:
+        return df.sparkSession.createDataFrame([], "constraint_id string, cells long, gain double")
+    of = df.sparkSession.createDataFrame(context, "constraint_id string, column string, lhs string")
+    rows = cell_pairs(df, columns)
+    said = votes(rows, pair_counts(rows) if counts is None else counts).join(F.broadcast(of), ["column", "lhs"])  # of a bounded program
+    part = said.groupBy("row_id", "column", "constraint_id").agg(F.sum("p").alias("p"), F.count("*").alias("n"), F.first("k").alias("k"))
+    whole = part.groupBy("row_id", "column").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    both = part.join(whole, ["row_id", "column"])
+    rest = F.when(F.col("all_n") > F.col("n"), (F.col("all_p") - F.col("p")) / (F.col("all_n") - F.col("n"))).otherwise(1 / F.col("k"))
+    gain = F.log(F.col("all_p") / F.col("all_n")) - F.log(rest)
+    mean = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.avg(gain)))
+    return both.groupBy("constraint_id").agg(F.count("*").alias("cells"), F.round(mean, 6).alias("gain"))
+
+
 def unlikely_cells(scored: DataFrame, dirty: DataFrame | None = None, quantile: float = 0.99, floor: float = 0.02, min_accuracy: float = 0.5) -> DataFrame:
     """Cells whose surprise (-log p) passes their column's quantile among clean cells, or whose p is below the floor, where
     the model says another value; only columns that the model predicts well enough."""

@@ -55,7 +55,7 @@ def run(df: DataFrame, options: Options = Options(), judgments: DataFrame | None
     if options.statistical:
         clean = df.select("row_id").join(dirty.select("row_id"), "row_id", "left_anti")
         found += [anomalies.outliers(df, c, clean) for c in columns if kinds.get(c) == "numeric"]
-        found += [anomalies.typos(df, c) for c in columns if kinds.get(c) == "categorical"]
+        found += [anomalies.typos(df, c, dirty) for c in columns if kinds.get(c) == "categorical"]
         dated = set(discovery.date_columns(df, columns)) - {c for c in columns if kinds.get(c) == "empty"}
         found += [anomalies.odd_patterns(df, c, dates=c in dated) for c in columns if kinds.get(c) not in ("numeric", "empty")]
         found += [f for c in sorted(dated) for f in (anomalies.secondary_formats(df, c), anomalies.bursts(df, c, dates=True))]

@@ -369,9 +369,18 @@ def vocabulary_noise(spark, sf_dir):
     return anomalies.vocabulary_noise(view(spark, sf_dir, "parts"), "type", ratio=2)
 
 
-@query()
+def _ratio_sql(a: str, b: str) -> str:
+    """Twice the longest common subsequence over both lengths; the subsequence by the bits of one integer."""
+    full = f"((CAST(1 AS HUGEINT) << length({a})) - 1)"
+    masks = f"list_transform(string_split({b}, ''), lambda ch: CAST(list_sum(list_transform(range(length({a})), lambda i: CASE WHEN substr({a}, CAST(i AS INTEGER) + 1, 1) = ch THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE CAST(0 AS HUGEINT) END)) AS HUGEINT))"
+    return f"(2 * (length({a}) - bit_count(list_reduce({masks}, lambda s, x: ((s + (s & x)) | (s - (s & x))) & {full}, {full}))) / (length({a}) + length({b})))"
+
+
+@query(f"""{view_sql('parts')}, v AS (SELECT type AS value, count(*) AS n, min(row_id) AS f FROM parts WHERE NOT {blank('type')} GROUP BY 1), p AS (SELECT a.value AS a, b.value AS b, b.f, {_ratio_sql('a.value', 'b.value')} AS ratio FROM v a JOIN v b ON a.n < 3 AND b.n >= 3 WHERE 2 * least(length(a.value), length(b.value)) >= 0.85 * (length(a.value) + length(b.value))),
+t AS (SELECT a, b, ratio FROM p WHERE ratio >= 0.85 QUALIFY row_number() OVER (PARTITION BY a ORDER BY ratio DESC, f) = 1)
+SELECT row_id, 'type' AS "column", type AS value, 'categorical_typo' AS detector, 'T' AS error_type, round(ratio, 6) AS score, b AS suggested_fix FROM parts JOIN t ON type = a WHERE (SELECT count(*) FROM v) <= 1000""")
 def typo_candidates(spark, sf_dir):
-    return anomalies.typos(view(spark, sf_dir, "parts"), "type", rare_most=5)
+    return anomalies.typos(view(spark, sf_dir, "parts"), "type")
 
 
 _TYPE_SHAPES = f"{view_sql('parts')}, t AS (SELECT row_id, type AS value, {shape_sql('type')} AS shape FROM parts WHERE NOT {blank('type')}), n AS (SELECT value, count(*) AS n FROM t GROUP BY 1), s AS (SELECT shape, count(*) AS k FROM t GROUP BY 1) "
@@ -745,3 +754,6 @@ def induced_program(spark, sf_dir):
 def json_profile(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct(k).alias("keys"), F.min(k).alias("low"), F.max(k).alias("high"))
+
+
+from tablewarden import model_queries  # noqa: E402, F401  it registers its queries with those above
