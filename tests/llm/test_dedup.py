@@ -214,3 +214,61 @@ def test_texts_unlike_their_pivot_are_still_linked(spark, pairwise, plain):
     # bands of one row miss no pair, so what is missing would be the fault of the pivots
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs, plain=plain, bands=24, rows=1, pairwise=pairwise).collect()}
     assert got == want
+
+
+def damped_classes(rows, k=5, threshold=0.8):
+    """Classes by brute force: weighted Jaccard similarity of smoothed TF-IDF weights."""
+    bags = {}
+    for i, t, *_ in rows:
+        w = words(t)
+        bags[i] = Counter(" ".join(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else Counter()
+    df = Counter(s for b in bags.values() for s in b)
+    weight = {i: {s: 1 + n / (1 + n) * math.log1p(len(rows) / df[s]) / math.log1p(len(rows)) for s, n in b.items()} for i, b in bags.items()}
+    least, parent = threshold / (threshold + (1 - threshold) * 1.5), {i: i for i in bags}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b in sorted(bags):
+        for a in sorted(bags):
+            if a < b and bags[a].keys() & bags[b].keys():
+                common = sum(min(w, weight[b].get(s, 0)) for s, w in weight[a].items())
+                if common / (sum(weight[a].values()) + sum(weight[b].values()) - common) >= least:
+                    p, q = root(a), root(b)
+                    parent[max(p, q)] = min(p, q)
+    return {i: root(i) for i in bags}
+
+
+@pytest.mark.parametrize("pairwise", [256, 40])
+def test_weighted_similarity_decides(spark, pairwise):
+    rng = random.Random(31)
+    base = [f"b{i}" for i in range(120)]
+    second = [f"b{i}" if i < 90 else f"s{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(rng, base if i % 2 else second, 12)), "en", "s", 0) for i in range(150)]
+    want = damped_classes(rows)
+    assert 10 < len(set(want.values())) < 140 and want != plain_classes(rows)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs, damped=True, bands=24, rows=1, pairwise=pairwise).collect()}
+    assert got == want
+
+
+def test_recall_of_planted_near_copies(spark, tmp_path):
+    """Copies of many texts with words changed here and there: of those of a plain similarity of 0.8 or more nearly all are found, other texts stay."""
+    rng = random.Random(32)
+    rows, source = [], {}
+    for i in range(120):
+        rows.append((i, " ".join(f"t{rng.randrange(4000)}" for _ in range(rng.randint(40, 200))), "en", "s", 0))
+    for i in range(120, 300):
+        source[i] = 0 if i % 3 == 0 else rng.randrange(1, 90)  # one text has many copies
+        w = rows[source[i]][1].split()
+        for _ in range(max(1, int(len(w) * rng.choice([0.01, 0.02, 0.04, 0.08])))):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.op9_near_dedup(spark, str(tmp_path)).collect()}
+    bag = lambda t: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)}
+    near = [i for i, s in source.items() if len(bag(rows[i][1]) & bag(rows[s][1])) >= 0.8 * len(bag(rows[i][1]) | bag(rows[s][1]))]
+    assert len(near) > 60 and sum(got[i] == got[source[i]] for i in near) >= 0.98 * len(near)
+    assert all(got[i] == i for i in range(90, 120)) and all(got[i] in (i, *source.values()) or got[i] in source for i in source)
