@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tablewarden.operators import constraints, critic, encoding, evaluation, models, sampling
+from tablewarden.operators import constraints, critic, denial, encoding, evaluation, models, sampling
 from tablewarden.plans.dirty import view, view_sql
 from tablewarden.plans.quantiles import quantiles
 from tablewarden.queries import _customer_findings, _EV, _EVAL, _FD_COLUMNS, _MODEL, _truth, CUSTOMER_COLUMNS, CUSTOMER_PROGRAM, blank, number_sql, query, unpivoted
@@ -169,3 +169,49 @@ def f1_interval(spark, sf_dir):
     """F1 of the findings on customers, and whether it lies within its bootstrap interval, which must not be wider than 0.2."""
     out = evaluation.bootstrap_f1(_customer_findings(spark, sf_dir), _truth(spark, sf_dir))
     return out.select("group", F.round("f1", 6).alias("f1"), (F.col("f1").between(F.col("low"), F.col("high")) & (F.col("high") - F.col("low") < 0.2)).alias("inside"))
+
+
+_NULL = "CAST(NULL AS VARCHAR)"
+_GRADE = "CASE WHEN support >= 10 AND kept / support >= 0.8 THEN CASE WHEN support >= 50 AND kept / support >= 0.95 THEN 'high' ELSE 'medium' END END"
+_LEAST = 15  # of rows that a constraint needs, so that one with few of them holds in small tables
+_RARE = "CASE WHEN row_id < {n} * 4 AND row_id % 4 = 1 THEN {v} END"
+_SPANS = f"spans AS (SELECT row_id, low_day, high_day, year, {_RARE.format(n=60, v='low_day')} AS min_size, {_RARE.format(n=60, v='high_day')} AS max_size FROM orders_table)"
+
+
+def _spans(spark, sf_dir):
+    """Orders with two pairs of lower and higher columns, of which one is filled in few rows."""
+    few = (F.col("row_id") < 240) & (F.col("row_id") % 4 == 1)
+    return view(spark, sf_dir, "orders_table").select("row_id", "low_day", "high_day", "year", F.when(few, F.col("low_day")).alias("min_size"), F.when(few, F.col("high_day")).alias("max_size"))
+
+
+@query(f"""{view_sql('orders_table')}, {_SPANS}, t AS (SELECT row_id, 'low_day' AS low, 'high_day' AS high, low_day AS v, high_day AS w FROM spans UNION ALL SELECT row_id, 'min_size', 'max_size', min_size, max_size FROM spans),
+x AS (SELECT *, TRY_CAST(v AS DOUBLE) AS x, TRY_CAST(w AS DOUBLE) AS y FROM t WHERE TRY_CAST(v AS DOUBLE) IS NOT NULL AND TRY_CAST(w AS DOUBLE) IS NOT NULL), s AS (SELECT low, high, count(*) AS support, sum(CASE WHEN x <= y THEN 1 ELSE 0 END) AS kept FROM x GROUP BY ALL),
+h AS (SELECT low, high, round(kept / support, 3) AS confidence, {_GRADE} AS severity FROM s WHERE support >= {_LEAST} AND 1 - kept / support <= 0.1), b AS (SELECT * FROM x JOIN h USING (low, high) WHERE x > y AND severity IS NOT NULL)
+SELECT row_id, low AS "column", v AS value, 'FI' AS error_type, 'dc:compare:' || low || '<=' || high AS rule, {_NULL} AS suggested_fix, confidence, severity FROM b UNION ALL SELECT row_id, high, w, 'FI', 'dc:compare:' || low || '<=' || high, NULL, confidence, severity FROM b""")
+def compared_columns(spark, sf_dir):
+    return denial.compared(_spans(spark, sf_dir), min_support=_LEAST, most=0.1)
+
+
+@query(f"""{view_sql('orders_table')}, s AS (SELECT count(*) AS support, sum(CASE WHEN CAST(year AS INTEGER) BETWEEN 1800 AND 2026 THEN 1 ELSE 0 END) AS kept FROM orders_table WHERE year IS NOT NULL)
+SELECT row_id, 'year' AS "column", year AS value, 'FI' AS error_type, 'dc:temporal:year_range' AS rule, {_NULL} AS suggested_fix, round(kept / support, 3) AS confidence, {_GRADE} AS severity FROM orders_table, s WHERE CAST(year AS INTEGER) NOT BETWEEN 1800 AND 2026 AND 1 - kept / support <= 0.02""")
+def graded_years(spark, sf_dir):
+    return denial.years(view(spark, sf_dir, "orders_table"), 2025)
+
+
+_RANKED = f"""{view_sql('events_table')}, e AS (SELECT row_id, row_id AS place, counter, value, user_id FROM events_table), u AS (SELECT row_id, place AS r, 'counter' AS "column", counter AS m FROM e UNION ALL SELECT row_id, place, 'value', value FROM e UNION ALL SELECT row_id, place, 'user_id', user_id FROM e),
+n AS (SELECT *, lag(m) OVER w AS p, lead(m) OVER w AS x FROM u WINDOW w AS (PARTITION BY "column" ORDER BY r, row_id)), s AS (SELECT "column", sum(CASE WHEN m <> p THEN 1 ELSE 0 END) AS support, greatest(sum(CASE WHEN m > p THEN 1 ELSE 0 END), sum(CASE WHEN m < p THEN 1 ELSE 0 END)) AS kept FROM n GROUP BY 1),
+h AS (SELECT "column", round(kept / support, 3) AS confidence, {_GRADE} AS severity FROM s WHERE support >= 30 AND 1 - kept / support <= 0.02), q AS (SELECT "column", quantile_cont(abs(m - p), 0.5) AS step FROM n WHERE m <> p GROUP BY 1) """
+
+
+@query(_RANKED + f"""SELECT row_id, "column", CAST(CAST(m AS BIGINT) AS VARCHAR) AS value, 'VAD' AS error_type, 'dc:order:place~' || "column" AS rule, {_NULL} AS suggested_fix, confidence, severity FROM n JOIN h USING ("column") JOIN q USING ("column")
+WHERE ((m > p AND m > x) OR (m < p AND m < x)) AND least(abs(m - p), abs(m - x)) >= 3 * step AND severity IS NOT NULL""")
+def ordered_columns(spark, sf_dir):
+    df = view(spark, sf_dir, "events_table").withColumn("place", F.col("row_id"))
+    return denial.ordered(df, "place", ["counter", "value", "user_id"])
+
+
+@query(f"""{view_sql('events_table')}, x AS (SELECT unnest(['row_id', 'counter', 'user_id', 'value']) AS "column", unnest([row_id, counter, user_id, value]) AS x FROM events_table)
+SELECT CASE "column" WHEN 'row_id' THEN 'place' ELSE "column" END AS "column" FROM x WHERE x IS NOT NULL GROUP BY 1 HAVING avg(CASE WHEN abs(x - round(x)) < 1e-6 THEN 1.0 ELSE 0.0 END) > 0.95 AND count(DISTINCT x) / count(*) > 0.95""")
+def rank_columns(spark, sf_dir):
+    df = view(spark, sf_dir, "events_table").withColumn("place", F.col("row_id"))
+    return spark.createDataFrame([(c,) for c in denial.rank_columns(df, ["place", "counter", "user_id", "value"])], "column string")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablewarden.functions import cells as C
-from tablewarden.plans.tables import counted, majority, pairs
+from tablewarden.plans.tables import counted, majority, pairs, written
 
 
 @dataclass(frozen=True)
@@ -64,23 +64,44 @@ def dependencies(groups: DataFrame, g: Gates = Gates()) -> DataFrame:
     return out.where((F.col("confidence") >= g.confidence) & (F.col("pure_ratio") >= g.pure_ratio) & (F.col("dependents") >= g.distinct_dependents))
 
 
-def dependency_violations(df: DataFrame, columns: list[str], g: Gates = Gates()) -> DataFrame:
-    """Cells that differ from what their determinant's group says. Findings, confidence being the group's share."""
-    groups = group_tops(df, columns, g)
-    found = dependencies(groups, g).select("lhs", "rhs")
+def _of_pairs(df: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+    """row_id, lhs, a, rhs, b of the wanted pairs of columns alone, where both cells are filled."""
+    text = lambda c: F.col(c).cast("string")
+    if not wanted:
+        return df.select("row_id", *(F.lit("").alias(c) for c in ("lhs", "a", "rhs", "b"))).where(F.lit(False))
+    every = F.array(*(F.struct(F.lit(x).alias("lhs"), text(x).alias("a"), F.lit(y).alias("rhs"), text(y).alias("b")) for x, y in wanted))
+    return df.select("row_id", F.inline(every)).where(~C.is_blank(F.col("a")) & ~C.is_blank(F.col("b")))
+
+
+def _violations(df: DataFrame, groups: DataFrame, found: list[tuple[str, str]], g: Gates) -> DataFrame:
     share = F.col("top_n") / F.col("size")
-    mapping = groups.where((F.col("size") >= g.group_support) & (share >= g.group_confidence)).join(F.broadcast(found), ["lhs", "rhs"])
-    bad = _pairs(df, columns).join(mapping, ["lhs", "rhs", "a"]).where("b <> top")
+    mapping = groups.where((F.col("size") >= g.group_support) & (share >= g.group_confidence))
+    bad = _of_pairs(df, found).join(mapping, ["lhs", "rhs", "a"]).where("b <> top")
     return bad.select("row_id", F.col("rhs").alias("column"), F.col("b").alias("value"), F.lit("VAD").alias("error_type"), F.concat(F.lit("fd:"), "lhs", F.lit("->"), "rhs").alias("rule"), F.col("top").alias("suggested_fix"), F.round(share, 3).alias("confidence"), F.lit("high").alias("severity"))
 
 
-def stability(df: DataFrame, lhs: str, rhs: str, rounds: int = 30, share: float = 0.8, confidence: float = 0.9) -> DataFrame:
-    """Share of rounds in which a hash sample of the rows holds the dependency with that confidence."""
-    rows = pairs(df, [lhs, rhs], (F.col("lhs") == lhs) & ~C.is_blank(F.col("a")) & ~C.is_blank(F.col("b")))
+def dependency_violations(df: DataFrame, columns: list[str], g: Gates = Gates()) -> DataFrame:
+    """Cells that differ from what their determinant's group says. Findings, confidence being the group's share.
+
+    The found pairs of columns come to the driver; rows are expanded to these alone.
+    """
+    groups = written(group_tops(df, columns, g), "groups")
+    found = [(r["lhs"], r["rhs"]) for r in dependencies(groups, g).select("lhs", "rhs").collect()]
+    return _violations(df, groups, found, g)
+
+
+def stabilities(df: DataFrame, wanted: list[tuple[str, str]], rounds: int = 30, share: float = 0.8, confidence: float = 0.9) -> DataFrame:
+    """lhs, rhs, stability: the share of rounds in which a hash sample of the rows holds each dependency with that confidence. One plan for all."""
     mine = F.filter(F.sequence(F.lit(1), F.lit(rounds)), lambda i: F.pmod(F.xxhash64("row_id", i), F.lit(1000)) < int(1000 * share))
-    counts = rows.select("a", "b", F.explode(mine).alias("round")).groupBy("a", "b", "round").agg(F.count("*").alias("n"))
-    by_round = counts.groupBy("round", "a").agg(F.max("n").alias("top"), F.sum("n").alias("n")).groupBy("round").agg((F.sum("top") / F.sum("n")).alias("confidence"))
-    return by_round.agg(F.avg((F.col("confidence") >= confidence).cast("double")).alias("stability"))
+    keys = ["lhs", "rhs", "round"]
+    counts = _of_pairs(df, wanted).select("lhs", "rhs", "a", "b", F.explode(mine).alias("round")).groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
+    by_round = counts.groupBy(*keys, "a").agg(F.max("n").alias("top"), F.sum("n").alias("n")).groupBy(*keys).agg((F.sum("top") / F.sum("n")).alias("confidence"))
+    return by_round.groupBy("lhs", "rhs").agg(F.avg((F.col("confidence") >= confidence).cast("double")).alias("stability"))
+
+
+def stability(df: DataFrame, lhs: str, rhs: str, rounds: int = 30, share: float = 0.8, confidence: float = 0.9) -> DataFrame:
+    """stabilities of one dependency."""
+    return stabilities(df, [(lhs, rhs)], rounds, share, confidence).select("stability")
 
 
 def grade(support: int, confidence: float, stable: float | None, g: Gates = Gates()) -> str:
@@ -91,22 +112,22 @@ def grade(support: int, confidence: float, stable: float | None, g: Gates = Gate
     return "high" if support >= g.high_support and confidence >= g.high_confidence and steady >= g.high_stability else "medium"
 
 
-def graded(df: DataFrame, columns: list[str], g: Gates = Gates()) -> list[tuple[str, str, str]]:
+def graded(df: DataFrame, columns: list[str], g: Gates = Gates(), groups: DataFrame | None = None) -> list[tuple[str, str, str]]:
     """(lhs, rhs, high or medium) of the dependencies that are not dropped. One row for each found dependency comes to the
-    driver, and one number for each that is strong enough to be high, which then must be stable too."""
-    out = []
-    for r in dependencies(group_tops(df, columns, g), g).orderBy("lhs", "rhs").collect():
-        strong = r["support"] >= g.high_support and r["confidence"] >= g.high_confidence
-        stable = stability(df, r["lhs"], r["rhs"], confidence=g.confidence).first()["stability"] if strong else 0.0
-        if (severity := grade(r["support"], r["confidence"], stable, g)) != "drop":
-            out.append((r["lhs"], r["rhs"], severity))
-    return out
+    driver; those strong enough to be high must be stable too, which one plan counts for all of them."""
+    found = dependencies(group_tops(df, columns, g) if groups is None else groups, g).orderBy("lhs", "rhs").collect()
+    strong = [(r["lhs"], r["rhs"]) for r in found if r["support"] >= g.high_support and r["confidence"] >= g.high_confidence]
+    stable = {(r["lhs"], r["rhs"]): r["stability"] for r in stabilities(df, strong, confidence=g.confidence).collect()} if strong else {}
+    out = [(r["lhs"], r["rhs"], grade(r["support"], r["confidence"], stable.get((r["lhs"], r["rhs"]), 0.0), g)) for r in found]
+    return [x for x in out if x[2] != "drop"]
 
 
 def graded_violations(df: DataFrame, columns: list[str], g: Gates = Gates()) -> DataFrame:
     """dependency_violations of the graded dependencies, with their severity; those of medium severity don't mark a cell dirty."""
-    rules = df.sparkSession.createDataFrame([(f"fd:{a}->{b}", s) for a, b, s in graded(df, columns, g)], "rule string, _severity string")
-    found = dependency_violations(df, columns, g).join(F.broadcast(rules), "rule")  # one row for each dependency
+    groups = written(group_tops(df, columns, g), "groups")
+    kept = graded(df, columns, g, groups)
+    rules = df.sparkSession.createDataFrame([(f"fd:{a}->{b}", s) for a, b, s in kept], "rule string, _severity string")
+    found = _violations(df, groups, [(a, b) for a, b, _ in kept], g).join(F.broadcast(rules), "rule")  # one row for each dependency
     return found.withColumn("severity", F.col("_severity")).select("row_id", "column", "value", "error_type", "rule", "suggested_fix", "confidence", "severity")
 
 

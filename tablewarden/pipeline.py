@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import argparse
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.operators import anomalies, dependencies, detectors, discovery, fusion, models, profile, rules
+from tablewarden.operators import anomalies, denial, dependencies, detectors, discovery, fusion, models, profile, rules
 from tablewarden.plans.tables import written
 from tablewarden.sources import tables
 
 
+FINDING_COLUMNS = ("row_id", "column", "value", "error_type", "rule", "suggested_fix", "confidence", "severity")
+
+
 @dataclass(frozen=True)
 class Options:
     rules: list[rules.Rule] = field(default_factory=list)
@@ -43,12 +47,15 @@ def run(df: DataFrame, options: Options = Options(), judgments: DataFrame | None
     chain += [detectors.disguised_missing(df), detectors.leaked(df, columns), detectors.repeated_values(df)]
     chain += [detectors.out_of_range(df, c) for c in columns if kinds.get(c) == "numeric" and detectors.bounds_of(c)]
     grouped = [c for c in columns if kinds.get(c) in ("categorical", "id", "numeric")]
+    between = []
     if len(grouped) > 1:
-        chain.append(dependencies.graded_violations(df, grouped))
-    plain = lambda f: f.select("row_id", "column", F.col("value").cast("string").alias("value"), "error_type", "rule", F.lit(None).cast("string").alias("suggested_fix"), F.lit(None).cast("double").alias("confidence"), F.lit("high").alias("severity"))
-    chain += [plain(dependencies.compare(df, a, b)) for a, b in discovery.compare_pairs(columns) if kinds.get(a) == kinds.get(b) == "numeric"]
-    if options.as_of_year is not None:
-        chain += [plain(dependencies.impossible_years(df, c, options.as_of_year)) for c in discovery.year_columns(df, columns)]
+        between.append(dependencies.graded_violations(df, grouped))
+        few = [c for c in columns if kinds.get(c) == "categorical"]
+        if few:
+            between.append(dependencies.constant_violations(df, few, grouped))
+    between.append(denial.denial_findings(df, columns, options.as_of_year))
+    named = lambda f, i: f.select(*FINDING_COLUMNS).withColumn("place", F.concat_ws("|", F.lit(i), "rule"))
+    chain.append(dependencies.resolve_conflicts(reduce(DataFrame.unionByName, (named(f, i) for i, f in enumerate(between)))).select(*FINDING_COLUMNS))
     findings = written(detectors.first_of_each_cell(chain), "findings")
     dirty = detectors.dirty_cells(findings)
     found = []
