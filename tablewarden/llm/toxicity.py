@@ -9,7 +9,8 @@ letters are units only within pairs and runs; words of more than `PIECE` charact
 
 Sentences of labelled texts inherit the label. Which unit of a toxic text is the insult isn't known, so training
 alternates (multiple-instance): fit on the present witnesses, then take each toxic text's highest units as its
-witnesses and the highest units of clean texts, pairs included, as hard negatives. Kernel values with `landmarks` units, whitened by
+witnesses and the highest units of clean texts, pairs included, as hard negatives. Units that the machine suspects are judged by a second one of the same kind, with a
+power of the kernel: most clean words that share a part with an insult end there. Kernel values with `landmarks` units, whitened by
 their own kernel matrix, are the features of a linear squared-hinge machine. The machine is linear in kernel values and
 these are sums over subsequences, so it becomes one exact table of weights by subsequence, which scores all texts.
 A logistic curve over the highest units of the training texts gives the score.
@@ -146,6 +147,37 @@ def _fit(units: list[str], y: np.ndarray, weight: np.ndarray, landmarks: list[st
     return (dense @ (whiten @ beta[:-1])).astype(np.float32), float(beta[-1])
 
 
+#: Power of the kernel by which suspects are judged again, and how far below all suspects other units lie.
+POWER, BELOW = 4, 6.0
+#: Units of other texts than those learned from spread so much wider around the middle of the curve.
+OPTIMISM = 3.0
+
+
+def _judge(suspects: list[str], y: np.ndarray, weight: np.ndarray, landmarks: list[str]) -> dict:
+    """A second machine for suspects: the kernel's power tells close strings apart that share most of their subsequences."""
+    row, col, val = features(landmarks)
+    dense = np.zeros((SIZE**3, len(landmarks)), np.float32)
+    np.add.at(dense, (col, row), val)
+    size, vectors = np.linalg.eigh(((dense.T @ dense).astype(np.float64)) ** POWER)
+    good = size > 1e-6 * size.max()
+    whiten = vectors[:, good] / np.sqrt(size[good])
+    beta = _squared_hinge(_kernel(suspects, dense).astype(np.float64) ** POWER @ whiten, y, weight, 0.3)
+    return {"landmarks": dense, "weights": whiten @ beta[:-1], "shift": float(beta[-1])}
+
+
+def sharpened(units: list[str], first: np.ndarray, model: dict) -> np.ndarray:
+    """Final scores of units: those that the table suspects are judged by the second machine, the others lie below."""
+    out = first + model["bias"]
+    judge = model.get("judge")
+    if judge is None or not len(out):
+        return out
+    at = np.flatnonzero(out >= model["suspect"])
+    out = out - BELOW
+    if len(at):
+        out[at] = _kernel([units[i].lower() for i in at], judge["landmarks"]).astype(np.float64) ** POWER @ judge["weights"] + judge["shift"]
+    return out
+
+
 def text_units(text: str) -> set[str]:
     """The words of a text, and runs of three single characters or more as one."""
     words = WORD.findall(text)
@@ -239,13 +271,47 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = 192, rounds: int
         power[sign > 0] *= 0.5 * len(against) / power[sign > 0].sum()
         table, bias = _fit(units, sign, power, marks)
         scores, pair_scores = unit_scores(names, table) + bias, unit_scores(pairs_of, table)
-    best = np.array([scores[b].max() if len(b) else bias for b in bags])
     two = [sorted(sentence_pairs(t)) for t in texts]
     flat, owner = [p for x in two for p in x], np.repeat(np.arange(len(two)), list(map(len, two)))
+    flat_scores = np.concatenate([unit_scores(flat[i : i + 50_000], table) for i in range(0, len(flat), 50_000)] or [np.zeros(0)])
+    top = np.array([scores[b].max() if len(b) else bias for b in bags])
+    model = {"table": table, "bias": bias, "suspect": float(np.quantile(top[y], 0.05)) - 0.05}
+    first, suspect = scores - bias, np.flatnonzero(scores >= model["suspect"])
+    own = {i: n for n, i in enumerate(suspect.tolist())}
+    odd = sorted({flat[i] for i in np.flatnonzero((flat_scores + bias >= model["suspect"]) & ~y[owner])})[: most // 2] if len(flat) else []
+    inside = [np.array([own[i] for i in b.tolist() if i in own], np.int64) for b in bags]
+    held = [names[i] for i in suspect]
+    now = odds[suspect]
+    for _ in range(3 if len(held) else 0):
+        found: dict[int, float] = {}
+        for b, t in zip(inside, y):
+            if t and len(b):
+                i = int(b[np.argmax(now[b])])
+                found[i] = found.get(i, 0) + 1
+        good = np.array([i for i in sorted(found) if count[0, suspect[i]] <= 0.05 * count[1, suspect[i]]], np.int64)
+        bad = np.setdiff1d(np.flatnonzero(count[0, suspect] > 0), good)
+        if not len(good) or not len(bad) + len(odd):
+            break
+        good, bad = good[np.argsort([-found[i] for i in good], kind="stable")][:most], bad[np.argsort(-now[bad], kind="stable")][:most]
+        pos, neg = [held[i] for i in good], [held[i] for i in bad] + odd
+        units = pos + _gapped(pos, rng) + neg
+        sign = np.array([1.0] * (2 * len(pos)) + [-1.0] * len(neg))
+        power = np.concatenate((np.sqrt([found[i] for i in good]), 0.5 * np.sqrt([found[i] for i in good]), np.sqrt(count[0, suspect[bad]]), np.ones(len(odd))))
+        power[sign > 0] *= 0.5 * power[sign < 0].sum() / power[sign > 0].sum()
+        model["judge"] = _judge(units, sign, power, list(dict.fromkeys(pos[:landmarks] + neg[:landmarks])))
+        now = sharpened(held, first[suspect], model)
+    scores = sharpened(names, first, model)
+    best = np.array([scores[b].max() if len(b) else bias - BELOW * ("judge" in model) for b in bags])
     for i in range(0, len(flat), 50_000):
-        np.maximum.at(best, owner[i : i + 50_000], unit_scores(flat[i : i + 50_000], table) + bias)
-    slope, middle = _logistic(best, y)
-    return {"table": table, "bias": bias, "slope": slope, "middle": middle}
+        np.maximum.at(best, owner[i : i + 50_000], sharpened(flat[i : i + 50_000], flat_scores[i : i + 50_000], model))
+    near = np.ones(len(y), bool)
+    if "judge" in model:  # texts without any suspect say nothing about where the curve bends
+        near = np.array([len(x) > 0 for x in inside]) | np.isin(np.arange(len(texts)), owner[flat_scores + bias >= model["suspect"]])
+    if len(set(y[near].tolist())) < 2:
+        near = np.ones(len(y), bool)
+    slope, middle = _logistic(best[near], y[near])
+    slope /= OPTIMISM if "judge" in model else 1.0
+    return model | {"slope": slope, "middle": middle}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -285,9 +351,10 @@ def _score(model: dict | None):
                 size = words.end - words.start
                 _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
                 names = [raw[s:e].decode() for s, e in zip(words.start[first].tolist(), words.end[first].tolist())]
-                got = unit_scores([u if len(u) <= PIECE else "" for u in names], model["table"])
+                whole = [u if len(u) <= PIECE else "" for u in names]
+                got = sharpened(whole, unit_scores(whole, model["table"]), model)
                 for i in np.flatnonzero(np.fromiter(map(len, names), np.int64, len(names)) > PIECE).tolist():
-                    got[i] = unit_scores(_pieces(names[i]), model["table"]).max()
+                    got[i] = sharpened(_pieces(names[i]), unit_scores(_pieces(names[i]), model["table"]), model).max()
                 scores = got[inverse]
                 some = np.flatnonzero(words.count)
                 if len(some):
@@ -300,7 +367,7 @@ def _score(model: dict | None):
                     _, first, inverse_two = np.unique(mix(words.hash[two] + mix(words.hash[two + 1])), return_index=True, return_inverse=True)
                     at_two = two[first]
                     joined = [f"{raw[s:e].decode()} {raw[t:f].decode()}" for s, e, t, f in zip(words.start[at_two].tolist(), words.end[at_two].tolist(), words.start[at_two + 1].tolist(), words.end[at_two + 1].tolist())]
-                    got = unit_scores(joined, model["table"])[inverse_two]
+                    got = sharpened(joined, unit_scores(joined, model["table"]), model)[inverse_two]
                     top = np.full(n, -np.inf)
                     np.maximum.at(top, words.doc[two], got)
                     at = np.flatnonzero((got == top[words.doc[two]]) & (got > worst[words.doc[two]]))
@@ -315,10 +382,10 @@ def _score(model: dict | None):
                         e += 1
                     if e - s > 2:
                         joined = "".join(names[i] for i in inverse[s:e])
-                        top = unit_scores(_pieces(joined), model["table"]).max()
+                        top = sharpened(_pieces(joined), unit_scores(_pieces(joined), model["table"]), model).max()
                         if top > worst[words.doc[s]]:
                             worst[words.doc[s]], units[words.doc[s]] = top, joined
-                worst = np.where(np.isfinite(worst), worst, 0.0) + model["bias"]
+                worst = np.where(np.isfinite(worst), worst, model["bias"] - BELOW * ("judge" in model))
                 score = 1 / (1 + np.exp(-np.clip(model["slope"] * (worst - model["middle"]), -50, 50)))
             else:
                 score = np.zeros(n)
