@@ -604,7 +604,10 @@ def unlikely_cells(spark, sf_dir):
     return models.unlikely_cells(models.predictions(view(spark, sf_dir, "customers"), _FD_COLUMNS))
 
 
-@query()
+_ROW_TEXT = "to_json([" + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in CUSTOMER_COLUMNS) + "])"
+
+
+@query(f"{view_sql('customers')} SELECT row_id, CAST(CAST(('0x' || substr(sha256('42:' || CAST({_ROW_TEXT} AS VARCHAR)), 1, 8)) AS BIGINT) % 3 AS INTEGER) AS fold FROM customers")
 def row_folds(spark, sf_dir):
     return models.folds(view(spark, sf_dir, "customers"))
 
