@@ -85,16 +85,19 @@ def gate_grid(scores: DataFrame, truth: DataFrame, thresholds: list[float]) -> D
 
 
 def ablation(evidence: DataFrame, truth: DataFrame, least: float = 0.6) -> DataFrame:
-    """Quality of the fused score without each detector, and as `without` '' with all: one plan for all subsets."""
-    from .fusion import fused
-
-    names = [r["detector"] for r in evidence.select("detector").distinct().collect()]
-    out = None
-    for name in ["", *sorted(names)]:
-        kept = fused(evidence.where(F.col("detector") != name)).where(F.col("suspicion") >= least)
-        row = quality(kept, truth, False).withColumn("without", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Quality of the fused score without each detector, and as `without` '' with all: one plan, in which each cell counts for
+    every detector that is left out. Only the names of detectors come to the driver."""
+    from .fusion import detector_scores
+
+    names = ["", *sorted(r["detector"] for r in evidence.select("detector").distinct().collect())]
+    left = F.explode(F.array(*map(F.lit, names))).alias("without")
+    each = detector_scores(evidence).select("row_id", "column", "detector", "weighted", left).where(F.col("detector") != F.col("without"))
+    cell = each.groupBy("without", "row_id", "column").agg(F.round(1 - F.product(1 - F.col("weighted")), 6).alias("p")).where(F.col("p") >= least)
+    real = truth.select("row_id", "column").distinct().withColumn("real", F.lit(True))
+    hits = cell.join(real, ["row_id", "column"], "left").groupBy("without").agg(F.count("real").alias("tp"), F.sum(F.col("real").isNull().cast("long")).alias("fp"))
+    every = evidence.sparkSession.createDataFrame([(n,) for n in names], "without string").join(F.broadcast(hits), "without", "left").na.fill(0, ["tp", "fp"])
+    total = real.agg(F.count("*").alias("all"))  # one row
+    return _scores(every.join(F.broadcast(total)).withColumn("fn", F.col("all") - F.col("tp")).drop("all"))
 
 
 def draw_counts(groups: list[tuple[int, ...]], sizes: list[int], draws: int, seed: int) -> np.ndarray:

@@ -47,6 +47,12 @@ def normalised(evidence: DataFrame) -> DataFrame:
     return ranked.select(*evidence.columns).unionByName(hard)
 
 
+def detector_scores(evidence: DataFrame) -> DataFrame:
+    """row_id, column, detector, weighted: each detector's best weighted score of a cell."""
+    weighted = F.col("score") * _lookup(WEIGHTS, F.col("detector"), 0.6)
+    return evidence.groupBy("row_id", "column", "detector").agg(F.max(weighted).alias("weighted"))
+
+
 def fused(evidence: DataFrame) -> DataFrame:
     """One row for each cell: noisy-or of each detector's best weighted score, tier, detectors, families, type and fix."""
     w = evidence.withColumn("weighted", F.col("score") * _lookup(WEIGHTS, F.col("detector"), 0.6)).withColumn("family", _lookup(FAMILIES, F.col("detector"), "other"))

@@ -575,7 +575,9 @@ def mask_leaks(spark, sf_dir):
     return evaluation.mask_leaks(view(spark, sf_dir, "customers"), detectors.dirty_cells(_customer_findings(spark, sf_dir)), _truth(spark, sf_dir))
 
 
-@query()
+@query(_EVAL + """, d AS (SELECT row_id, "column", CASE WHEN error_type = 'VAD' THEN 'approx_fd' ELSE 'strong_rule' END AS detector, coalesce(confidence, 0.9) AS score FROM f), n AS (SELECT DISTINCT detector AS without FROM d UNION ALL SELECT ''),
+k AS (SELECT without, row_id, "column" FROM d JOIN n ON detector <> without WHERE round(score * CASE detector WHEN 'approx_fd' THEN 0.9 ELSE 1.0 END, 6) >= 0.6), h AS (SELECT n.without, count(w.row_id) AS tp, count(k.row_id) - count(w.row_id) AS fp FROM n LEFT JOIN k ON k.without = n.without LEFT JOIN w ON w.row_id = k.row_id AND w."column" = k."column" GROUP BY 1)
+SELECT without, tp, fp, (SELECT count(*) FROM w) - tp AS fn, round_even(coalesce(tp / nullif(tp + fp, 0), 0), 3) AS precision, round_even(tp / (SELECT count(*) FROM w), 3) AS recall, round_even(2 * tp / (tp + fp + (SELECT count(*) FROM w)), 3) AS f1 FROM h""")
 def detector_ablation(spark, sf_dir):
     return evaluation.ablation(fusion.normalised(fusion.as_evidence(_customer_findings(spark, sf_dir))), _truth(spark, sf_dir))
 
