@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from tests_llm_helpers import SCHEMA, awkward, words
 
@@ -272,3 +273,34 @@ def test_recall_of_planted_near_copies(spark, tmp_path):
     near = [i for i, s in source.items() if len(bag(rows[i][1]) & bag(rows[s][1])) >= 0.8 * len(bag(rows[i][1]) | bag(rows[s][1]))]
     assert len(near) > 60 and sum(got[i] == got[source[i]] for i in near) >= 0.98 * len(near)
     assert all(got[i] == i for i in range(90, 120)) and all(got[i] in (i, *source.values()) or got[i] in source for i in source)
+
+
+def test_hashes_of_words_need_no_arrays_as_long_as_the_text():
+    import tracemalloc
+
+    from tablewarden.llm.words import _ODD, hashes, mix
+
+    rng = np.random.default_rng(3)
+    buf = rng.integers(0, 256, 4 << 20).astype(np.uint8)
+    end = np.cumsum(rng.integers(0, 12, len(buf) // 6))
+    end = end[end <= len(buf)]
+    start = np.concatenate(([0], end[:-1]))
+    tracemalloc.start()
+    got = hashes(buf, start, end, seed=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(buf)  # as arrays of a value for each byte it took 21 bytes a byte of text
+    for i in [0, 1, 2, len(end) // 2, len(end) - 1, int(np.argmax(end - start))]:
+        term = sum((int(b) + 1) * pow(_ODD, k, 1 << 64) for k, b in enumerate(buf[start[i] : end[i]])) + 5
+        size = int(mix(np.array([end[i] - start[i]], np.uint64))[0])
+        assert mix(np.array([(term + size) % (1 << 64)], np.uint64))[0] == got[i]
+    one = np.array([0]), np.array([200_000])  # longer than a block
+    assert hashes(buf, *one)[0] == hashes(buf, *one, at_once=1 << 20)[0]
+
+
+def test_order_by_text_is_that_of_both_keys():
+    rng = np.random.default_rng(1)
+    for most in (3, 70_000):
+        doc, h = np.sort(rng.integers(0, most, 100_000)), rng.integers(0, 500, 100_000).astype(np.uint64) << np.uint64(50)
+        got, want = near_dedup.by_text(doc, h), np.lexsort((h, doc))
+        assert (doc[got] == doc[want]).all() and (h[got] == h[want]).all()
