@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def stripped(v: Column) -> Column:
     return F.btrim(v, F.lit(WHITE))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is worked out once. Within a lambda function Spark works an expression out for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def is_blank(v: Column, values: tuple[str, ...] = BLANK) -> Column:
     return v.isNull() | F.lower(stripped(v)).isin(*values)
 
@@ -99,8 +106,10 @@ def tokens(v: Column) -> Column:
 
 def is_abbreviation(short: Column, long: Column) -> Column:
     """Whether the tokens of short are prefixes of tokens of long, in order: two or more, two of them longer than a letter."""
-    mine = tokens(short)
+    return once(tokens(short), lambda mine: _are_prefixes(mine, tokens(long)))
+
 
+def _are_prefixes(mine: Column, theirs: Column) -> Column:
     def step(a: Column, full: Column) -> Column:
         mine_now = F.get(mine, a["k"])
         strong = (F.length(mine_now) >= 2) & full.startswith(mine_now)
@@ -109,8 +118,8 @@ def is_abbreviation(short: Column, long: Column) -> Column:
         return F.when((a["k"] < F.size(mine)) & (strong | weak), go).otherwise(a)
 
     start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("s"))
-    end = F.aggregate(tokens(long), start, step)
-    return (F.size(mine) >= 2) & (end["k"] >= F.size(mine)) & (end["s"] >= 2)
+    end = F.aggregate(theirs, start, step)
+    return (F.size(mine) >= 2) & once(end, lambda e: (e["k"] >= F.size(mine)) & (e["s"] >= 2))
 
 
 def full_match(v: Column, pattern: str) -> Column:
@@ -129,7 +138,7 @@ def hashed_trigrams(v: Column, buckets: int) -> Column:
     """Share of the cell's character 3-grams in each bucket."""
     grams = F.when(F.length(v) < 3, F.array(v)).otherwise(F.transform(F.sequence(F.lit(1), F.length(v) - 2), lambda i: F.substr(v, i, F.lit(3))))
     hit = F.transform(grams, lambda g: F.crc32(g.cast("binary")) % buckets)
-    return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(hit, lambda h: h == b)) / F.size(hit))
+    return once(hit, lambda every: F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(every, lambda h: h == b)) / F.size(every)))
 
 
 def register(spark) -> None:

@@ -237,9 +237,9 @@ def lexical(v: Column) -> Column:
     size = F.sequence(F.lit(1), F.lit(3))
     grams = F.flatten(F.transform(size, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(v) - k + 1, F.lit(1))), lambda i: F.substr(v, i, k))))
     bucket = F.transform(grams, lambda g: F.conv(F.substr(F.md5(g.cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long") % BUCKETS)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(bucket, lambda x: x == b)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.concat(F.array(*look), F.transform(counts, lambda x: x / norm))
+    counts = C.once(bucket, lambda hit: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(hit, lambda x: x == b)).cast("double")))
+    scaled = C.once(counts, lambda n: C.once(F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(n, lambda x: x / norm)))
+    return F.concat(F.array(*look), scaled)
 
 
 class CellEncoder:

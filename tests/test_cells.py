@@ -67,3 +67,17 @@ def test_trigrams_sum_to_one(spark):
 def test_sql_names(spark):
     C.register(spark)
     assert spark.sql("SELECT dq_is_blank(' N/A ') AS a, dq_coarse_shape('ab12') AS b").first() == (True, "AN")
+
+
+def test_grams_of_a_cell_are_hashed_once(spark):
+    from tablewarden.operators.encoding import lexical
+
+    assert str(lexical(F.col("v"))).count("md5(") == 1  # twice before, and there for each of 32 places
+
+
+def test_tokens_of_an_abbreviation_are_split_once(spark):
+    from tablewarden.functions.cells import is_abbreviation
+
+    assert str(is_abbreviation(F.col("a"), F.col("b"))).count("split(") == 2  # of a before for each token of b
+    rows = spark.createDataFrame([("Pro Nat", "Proceedings of Nature"), ("Pro", "Proceedings"), (None, "x"), ("Pro Nat", None), ("Nat Pro", "Proceedings of Nature")], "a string, b string")
+    assert [r[0] for r in rows.select(is_abbreviation(F.col("a"), F.col("b"))).collect()] in ([True, False, None, None, False], [True, False, False, None, False])
