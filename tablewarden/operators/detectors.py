@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablewarden.functions import cells as C
-from tablewarden.plans.tables import cells, errors
+from tablewarden.plans.tables import cells, errors, spread
 
 #: Bounds by a part of the column's kind or name, the first that occurs (fixed values): least, most, whole numbers only.
 RANGES = (
@@ -83,7 +83,7 @@ def out_of_range(df: DataFrame, column: str, kind: str = "", least_numeric: floa
 def abbreviation_pairs(df: DataFrame, columns: list[str], min_rows: int = 30, longer: float = 1.4, multi: float = 0.5, abbreviated: float = 0.55) -> DataFrame:
     """full, short: pairs of columns where the second mostly abbreviates the first. One grouped plan for all pairs."""
     every = F.array(*(F.struct(F.lit(x).alias("full"), F.col(x).alias("a"), F.lit(y).alias("short"), F.col(y).alias("b")) for x in columns for y in columns if x != y))
-    long = df.select(F.inline(every)).where(~C.is_blank(F.col("a")) & ~C.is_blank(F.col("b")))
+    long = spread(df.select("row_id", *columns)).select(F.inline(every)).where(~C.is_blank(F.col("a")) & ~C.is_blank(F.col("b")))
     rates = long.groupBy("full", "short").agg(
         F.count("*").alias("n"), F.percentile(F.length("a"), F.lit(0.5)).alias("len_a"), F.percentile(F.length("b"), F.lit(0.5)).alias("len_b"),
         F.avg((F.size(C.tokens(F.col("b"))) >= 2).cast("double")).alias("multi"), F.avg(C.is_abbreviation(F.col("b"), F.col("a")).cast("double")).alias("rate"),
