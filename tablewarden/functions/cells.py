@@ -69,13 +69,20 @@ def number_tokens(v: Column) -> Column:
 
 def number_with_unit(v: Column) -> Column:
     """Struct of x and unit: thousands separators, exponents and a full stop at the end are read; what is no finite number is null."""
-    text = F.lower(stripped(v))
+    return once(F.lower(stripped(v)), lambda text: once(F.replace(text, F.lit(","), F.lit("")), lambda plain: _parsed(text, plain)))
+
+
+def _parsed(text: Column, plain: Column) -> Column:
     grouped = text.rlike(r"^[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?\s*[a-z%]*\.?\z")
-    plain, pattern = F.replace(text, F.lit(","), F.lit("")), r"^([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?)\s*([a-z%]*)\.?\z"
-    x, word = F.regexp_extract(plain, pattern, 1).try_cast("double"), F.regexp_extract(plain, pattern, 2)
+    pattern = r"^([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?)\s*([a-z%]*)\.?\z"
     known = F.create_map(*(F.lit(y) for pair in UNITS.items() for y in pair))
-    ok = (~F.contains(text, F.lit(",")) | grouped) & plain.rlike(pattern) & x.isNotNull() & (F.abs(x) < float("inf"))
-    return F.when(ok, F.struct(x.alias("x"), F.coalesce(F.try_element_at(known, word), word).alias("unit")))
+    fits = ~F.contains(text, F.lit(",")) | grouped
+
+    def of(x: Column) -> Column:  # null where the pattern doesn't match
+        unit = once(F.regexp_extract(plain, pattern, 2), lambda word: F.coalesce(F.try_element_at(known, word), word))
+        return F.when(fits & (F.abs(x) < float("inf")), F.struct(x.alias("x"), unit.alias("unit")))
+
+    return once(F.regexp_extract(plain, pattern, 1).try_cast("double"), of)
 
 
 def repeated_token(v: Column, sep: str = ",") -> Column:

@@ -123,8 +123,7 @@ def _own_checks(c: Constraint, target: str) -> tuple[Column, Column]:
     elif c.operator in ("compare", "temporal"):
         a, b = (F.col(x) for x in c.participants[:2])
         if c.operator == "compare":
-            x, y = C.number_with_unit(a), C.number_with_unit(b)
-            bad = F.when(x["unit"] == y["unit"], x["x"] > y["x"])
+            bad = C.once(C.number_with_unit(a), lambda x: C.once(C.number_with_unit(b), lambda y: F.when(x["unit"] == y["unit"], x["x"] > y["x"])))
         else:
             bad = parsed_date(a) > parsed_date(b)
     elif c.operator == "arithmetic":

@@ -81,3 +81,10 @@ def test_tokens_of_an_abbreviation_are_split_once(spark):
     assert str(is_abbreviation(F.col("a"), F.col("b"))).count("split(") == 2  # of a before for each token of b
     rows = spark.createDataFrame([("Pro Nat", "Proceedings of Nature"), ("Pro", "Proceedings"), (None, "x"), ("Pro Nat", None), ("Nat Pro", "Proceedings of Nature")], "a string, b string")
     assert [r[0] for r in rows.select(is_abbreviation(F.col("a"), F.col("b"))).collect()] in ([True, False, None, None, False], [True, False, False, None, False])
+
+
+def test_a_number_is_parsed_from_one_stripped_text(spark):
+    assert str(C.number_with_unit(F.col("v"))).count("btrim(") <= 1 and str(C.number_with_unit(F.col("v"))).count("lower(") == 1  # many times before
+    rows = spark.createDataFrame([("1,234.5 oz",), ("1,2",), (" 7 Mins. ",), ("5e400",), ("x",), ("",), (None,), ("-.5%",)], "v string")
+    got = [r[0] and tuple(r[0]) for r in rows.select(C.number_with_unit(F.col("v"))).collect()]
+    assert got == [(1234.5, "ounce"), None, (7.0, "minute"), None, None, None, None, (-0.5, "percent")]
