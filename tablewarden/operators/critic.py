@@ -280,7 +280,7 @@ def cross_fit(df: DataFrame, columns: list[str], program: list[Constraint], k: i
             counts = written(pair_counts(pairs), "counts")
             if trim:
                 low = highest_losses(averaged(votes(pairs, counts))).select("row_id", "column", F.lit(0.1).alias("weight"))
-                counts = written(pair_counts(pairs, weights=written(low, "low-weights")), "counts")
+                counts = written(pair_counts(cell_pairs(train, columns, written(low, "low-weights"))), "counts")
             copies, wrong = corrupted(train, columns, column_scales(train, columns), share, seed + fold)
             wrong = written(wrong, "wrong")
             both = written(train.unionByName(copies), "with-copies")
