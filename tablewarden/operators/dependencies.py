@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablewarden.functions import cells as C
-from tablewarden.plans.tables import counted, majority, pairs, written
+from tablewarden.plans.tables import cells, counted, majority, pairs, spread, written
 
 
 @dataclass(frozen=True)
@@ -33,14 +33,18 @@ class Gates:
 
 
 def _pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    return pairs(df, columns, ~C.is_blank(F.col("a")) & ~C.is_blank(F.col("b")))
+    """The pairs of filled cells. Rows are spread before, as counts of all pairs of a small file are else held by one task."""
+    filled = spread(df.select("row_id", *columns)).select("row_id", *(F.when(~C.is_blank(F.col(c).cast("string")), F.col(c).cast("string")).alias(c) for c in columns))
+    return pairs(filled, columns, F.col("a").isNotNull() & F.col("b").isNotNull())
 
 
 def usable_pairs(df: DataFrame, columns: list[str], g: Gates) -> list[tuple[str, str]]:
-    """Pairs whose determinant repeats and whose dependent varies; one row of counts comes to the driver."""
-    counts = df.agg(F.count("*").alias("_rows"), *(F.count_distinct(F.when(~C.is_blank(F.col(c)), F.col(c))).alias(c) for c in columns)).first()
-    left = [c for c in columns if 1 < counts[c] <= g.determinant_unique_ratio * max(counts["_rows"], 1)]
-    return [(a, b) for a in left for b in columns if a != b and counts[b] >= 2]
+    """Pairs whose determinant repeats and whose dependent varies; one row of counts for each column comes to the driver."""
+    values = cells(spread(df.select("row_id", *columns)), columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+    found = values.groupBy("column").agg(F.sum("n").alias("rows"), F.count(F.when(~C.is_blank(F.col("value")), F.lit(1))).alias("k")).collect()  # one row for each column
+    counts, n = {r["column"]: r["k"] for r in found}, max((r["rows"] for r in found), default=0)
+    left = [c for c in columns if 1 < counts.get(c, 0) <= g.determinant_unique_ratio * max(n, 1)]
+    return [(a, b) for a in left for b in columns if a != b and counts.get(b, 0) >= 2]
 
 
 def group_tops(df: DataFrame, columns: list[str], g: Gates = Gates()) -> DataFrame:

@@ -1,6 +1,8 @@
 """Counts and votes on larger tables: what is worked out once, and that both ways of meeting counts agree."""
 
-from tablewarden.operators import models
+from pyspark.sql import functions as F
+
+from tablewarden.operators import dependencies, models
 
 
 def test_equal_rows_are_judged_once_and_counts_sent_or_not_agree(spark, monkeypatch):
@@ -18,3 +20,11 @@ def test_equal_rows_are_judged_once_and_counts_sent_or_not_agree(spark, monkeypa
     monkeypatch.setattr(models, "SENT", 0)
     assert sorted(models.trimmed_predictions(df, ["a", "b", "c"], rounds=1).collect()) == sent
     assert {r["row_id"] for r in sent} == set(range(300))
+
+
+def test_pairs_of_a_table_in_one_part_are_counted_in_many(spark):
+    df = spark.createDataFrame([(i, f"v{i % 50}", f"w{i % 50}" if i % 9 else " ") for i in range(1000)], "row_id long, a string, b string").coalesce(1)
+    pairs = dependencies._pairs(df, ["a", "b"])
+    parts = pairs.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
+    assert len(parts) > 1 and sum(r["n"] for r in parts) == 2 * sum(i % 9 != 0 for i in range(1000))
+    assert set(dependencies.usable_pairs(df, ["a", "b"], dependencies.Gates())) == {("a", "b"), ("b", "a")}
