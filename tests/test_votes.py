@@ -1,8 +1,9 @@
 """Counts and votes on larger tables: what is worked out once, and that both ways of meeting counts agree."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tablewarden.operators import dependencies, models
+from tablewarden.operators import anomalies, dependencies, models
 
 
 def test_equal_rows_are_judged_once_and_counts_sent_or_not_agree(spark, monkeypatch):
@@ -28,3 +29,19 @@ def test_pairs_of_a_table_in_one_part_are_counted_in_many(spark):
     parts = pairs.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
     assert len(parts) > 1 and sum(r["n"] for r in parts) == 2 * sum(i % 9 != 0 for i in range(1000))
     assert set(dependencies.usable_pairs(df, ["a", "b"], dependencies.Gates())) == {("a", "b"), ("b", "a")}
+
+
+def test_pairs_of_blocks_come_in_small_batches(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i * j % 17) for j in range(16)]) for i in range(400)], "vec_id long, embedding array<float>").coalesce(1)
+
+    def sizes(k):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes]), pa.array([0.0])], ["query_id", "vec_id", "distance"])
+
+        return run
+
+    monkeypatch.setattr(anomalies, "_nearest_of_blocks", sizes)
+    monkeypatch.setattr(anomalies, "PAIR_BYTES", 20_000)
+    got = anomalies.nearest(df, df, 1000, block=16).collect()
+    assert sum(r["query_id"] for r in got) == 25 * 25 and max(r["vec_id"] for r in got) < 40_000
