@@ -19,11 +19,11 @@ from pyspark.sql import Window as W
 
 from tablewarden.functions import cells as C
 from tablewarden.plans.quantiles import quantiles
-from tablewarden.plans.tables import cells, share_package, shared_folder, written
+from tablewarden.plans.tables import cells, share_package, shared_folder, spread, written
 
 from .constraints import Constraint, decisions, evidence_features, execute
 from .encoding import synthetic_value
-from .models import averaged, cell_pairs, folds, highest_losses, loss, pair_counts, prediction_gain, votes
+from .models import averaged, cell_pairs, fold as fold_of, highest_losses, loss, pair_counts, prediction_gain, votes
 
 #: The order of families and of their features in an evidence vector.
 FAMILIES = ("missing", "format", "semantic", "domain", "statistical", "neighbor", "relation")
@@ -267,14 +267,14 @@ def cross_fit(df: DataFrame, columns: list[str], program: list[Constraint], k: i
     written under `folder` (the shared folder by default) by the fingerprint of table, program and parameters: a run that is started again reads the folds that are there.
     """
     spark = df.sparkSession
-    table = written(df.select(F.col("row_id").cast("long").alias("row_id"), *(F.col(c).cast("string").alias(c) for c in columns)), "table")
+    table = written(spread(df.select(F.col("row_id").cast("long").alias("row_id"), *(F.col(c).cast("string").alias(c) for c in columns))), "table")
+    teacher = None if teacher is None else written(teacher.select("row_id", "column", F.col("label").cast("double").alias("label")), "teacher")
     root = f"{folder or shared_folder(spark)}/cross-fit-{fingerprint(table, columns, program, k=k, seed=seed, share=share, model=model, trim=trim, prior=prior, teacher=None if teacher is None else fingerprint(teacher, ['column', 'label'], []), **params)}"
     done = []
     for fold in range(k):
         path = f"{root}/fold={fold}"
         if not _exists(spark, path):
-            of = folds(table, k, seed)
-            rows = table.join(of, "row_id")
+            rows = table.withColumn("fold", fold_of(columns, k, seed))
             train = written(rows.where(F.col("fold") != fold).drop("fold"), "train")
             pairs = cell_pairs(train, columns)
             counts = written(pair_counts(pairs), "counts")
@@ -293,7 +293,7 @@ def cross_fit(df: DataFrame, columns: list[str], program: list[Constraint], k: i
             zeros = own.unionByName(others).select("evidence", "context", F.lit(0.0).alias("label"), F.lit(0.25).alias("weight"))
             examples = ones.unionByName(zeros)
             if teacher is not None:
-                taught = written(known.join(teacher.select("row_id", "column", F.col("label").cast("double").alias("label")), ["row_id", "column"]).select("evidence", "context", "label"), "taught")
+                taught = written(known.join(teacher, ["row_id", "column"]).select("evidence", "context", "label"), "taught")
                 each = 0.2 * examples.count() / max(1, taught.count())  # all together a fifth of the synthetic examples
                 examples = examples.unionByName(taught.withColumn("weight", F.lit(each)))
             critic = build_model(model, examples=examples, seed=seed + fold, **params)

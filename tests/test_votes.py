@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tablewarden.operators import anomalies, dependencies, models
+from tablewarden.operators import anomalies, constraints, dependencies, models
 
 
 def test_equal_rows_are_judged_once_and_counts_sent_or_not_agree(spark, monkeypatch):
@@ -45,3 +45,10 @@ def test_pairs_of_blocks_come_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(anomalies, "PAIR_BYTES", 20_000)
     got = anomalies.nearest(df, df, 1000, block=16).collect()
     assert sum(r["query_id"] for r in got) == 25 * 25 and max(r["vec_id"] for r in got) < 40_000
+
+
+def test_checks_of_one_row_share_one_pass(spark):
+    df = spark.createDataFrame([(1, "x", "3"), (2, "?", "z")], "row_id long, a string, b string")
+    out = constraints.execute(df, [constraints.Constraint("dmv", ("a",), ("a",)), constraints.Constraint("missing", ("b",), ("b",)), constraints.Constraint("type", ("b",), ("b",), params={"type": "integer"})])
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["row_id"], r["column"], r["family"]) for r in out.where("status = 'violation'").collect()) == [(2, "a", "missing"), (2, "b", "format")]
