@@ -1,13 +1,16 @@
+import contextlib
 import hashlib
 import math
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from tests_llm_helpers import SCHEMA, awkward, words
 
-from tablewarden.llm import near_dedup, substring_dedup
+from tablewarden.llm import near_dedup, shared, substring_dedup
 
 
 def random_docs(n, seed, vocabulary=400):
@@ -304,3 +307,26 @@ def test_order_by_text_is_that_of_both_keys():
         doc, h = np.sort(rng.integers(0, most, 100_000)), rng.integers(0, 500, 100_000).astype(np.uint64) << np.uint64(50)
         got, want = near_dedup.by_text(doc, h), np.lexsort((h, doc))
         assert (doc[got] == doc[want]).all() and (h[got] == h[want]).all()
+
+
+def test_shuffle_files_of_stages_go_with_their_stage(spark):
+    texts = [" ".join([*(f"w{i % 150}x{j}" for j in range(120)), f"end{i}"]) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folders = [Path(d.getPath()) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        found = {}
+        for p in (p for d in folders for p in d.rglob("shuffle_*.data")):
+            with contextlib.suppress(FileNotFoundError):
+                found[p] = p.stat().st_size
+        return found
+
+    old, setting = files(), spark.conf.get(shared.FREED, None)
+    found = near_dedup.near_classes(docs, damped=True)
+    for _ in range(50):  # they go in the background
+        left = sum(size for p, size in files().items() if p not in old)
+        if left < 20_000:
+            break
+        time.sleep(0.2)
+    assert left < 20_000 and spark.conf.get(shared.FREED, None) == setting
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {i: i % 150 for i in range(300)}
