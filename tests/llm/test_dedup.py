@@ -309,6 +309,49 @@ def test_order_by_text_is_that_of_both_keys():
         assert (doc[got] == doc[want]).all() and (h[got] == h[want]).all()
 
 
+def test_samples_by_levels_agree_as_often_as_weights_overlap():
+    rng = np.random.default_rng(2)
+    h, w = rng.integers(0, 1 << 62, 60, dtype=np.uint64), rng.random((2, 60)) + 1
+    has, rest = rng.random((2, 60)) < 0.8, (3.7, 1.2)
+    same = 0
+    for seed in range(4000):
+        a, b = (near_dedup.sample_by_levels(h[m], x[m] - 1, np.array([0]), np.array([m.sum()]), np.array([i]), np.array([r]), seed)[0] for i, (m, x, r) in enumerate(zip(has, w, rest)))
+        same += int(a == b)
+    x, y = w * has
+    assert abs(same / 4000 - np.minimum(x, y).sum() / (np.maximum(x, y).sum() + sum(rest))) < 0.03
+
+
+def test_sketches_cost_a_part_of_sampling_by_logarithms():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 1500)]
+    texts = pa.array([" ".join([*base, f"end{i}"]) for i in range(120)], pa.large_string())
+    doc, h, tf = near_dedup._shingles(texts, 5, 8)
+    known, df = np.unique(h, return_counts=True)
+    known, df = known[df > 1], df[df > 1]
+    packed = [r for b in near_dedup._pack_texts(1)(iter([pa.RecordBatch.from_arrays([pa.array(range(120), pa.int64()), texts], ["doc_id", "text"])])) for r in b.to_pylist()]
+    rows = [{"kind": 0, "h": known.astype("<u8").tobytes(), "df": df.astype("<u4").tobytes()}, *({"kind": 1, "doc_id": i, "copies": 1} for i in range(120)), *packed]
+    began = time.thread_time()
+    found = [r for b in near_dedup._sketch(120, 0.727, 16, 4, 5, 8, False, True)(iter([pa.RecordBatch.from_pylist(rows, near_dedup.FIELDS)])) for r in b.to_pylist()]
+    took, began = time.thread_time() - began, time.thread_time()
+    starts, size = shared.runs(doc)
+    for seed in range(64):
+        near_dedup.sample_by_logs(h, np.ones(len(h)), starts, doc[starts], np.ones(len(starts)), seed)
+    assert len(found) == 120 and took < 0.6 * (time.thread_time() - began)
+
+
+def test_shingles_are_sorted_and_looked_up_as_by_numpy():
+    rng = np.random.default_rng(6)
+    for n, texts in ((20_000, 60), (5_000, 3_000), (0, 1)):
+        doc, h = np.sort(rng.integers(0, texts, n)), rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        got = near_dedup.sorted_by_text(doc, h)
+        assert (got == h[np.lexsort((h, doc))]).all()
+        keys = np.unique(np.concatenate((h[::3], h[::5] + np.uint64(1))))
+        where, at = near_dedup.Known(keys).find(got)
+        assert (where == np.flatnonzero(np.isin(got, keys))).all() and (keys[at] == got[where]).all()
+
+
 def test_shuffle_files_of_stages_go_with_their_stage(spark):
     texts = [" ".join([*(f"w{i % 150}x{j}" for j in range(120)), f"end{i}"]) for i in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
