@@ -309,6 +309,18 @@ def test_order_by_text_is_that_of_both_keys():
         assert (doc[got] == doc[want]).all() and (h[got] == h[want]).all()
 
 
+def test_a_bucket_that_pivots_do_not_split_ends_after_a_few_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(rng, base, 4 if i % 12 else 14)), "en", "s", 0) for i in range(150)]
+    rounds, written = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, **more: (rounds.append(name), written(df, name, **more))[1])
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, SCHEMA), damped=True, bands=24, rows=1, pairwise=40).collect()}
+    want = damped_classes(rows)
+    assert got == want and max(map(list(want.values()).count, want.values())) > 80
+    assert rounds.count("compared") <= 6  # with a pivot for each round it took 38
+
+
 def test_samples_by_levels_agree_as_often_as_weights_overlap():
     rng = np.random.default_rng(2)
     h, w = rng.integers(0, 1 << 62, 60, dtype=np.uint64), rng.random((2, 60)) + 1
